@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate
+from codequarry.llm import decontaminate, licenses, secrets
 from codequarry.llm.common import table
 
 QUERIES = {}
@@ -14,6 +14,16 @@ def query(f):
     return f
 
 
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_licenses(spark, sf_dir):
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
