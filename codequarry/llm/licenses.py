@@ -144,6 +144,12 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _places(size: int):
+    """Of a text cut at a phrase of so many words: number of places, first and last start."""
+    last = lambda p: F.col("n_words") - (_blanks(F.element_at(p, -1)) - 1) - size
+    return lambda p: F.struct((F.size(p) - 1).alias("n"), (_blanks(F.element_at(p, 1)) - 1).alias("first"), last(p).alias("last"))
+
+
 def _detections(norm: Column, rule: Column) -> Column:
     """All matches of a rule, with their character intervals: gaps between matches add up."""
     parts = F.struct(F.split(norm, rule["regex"], -1).alias("gaps"), F.regexp_extract_all(norm, rule["regex"], F.lit(0)).alias("hits"))
@@ -177,11 +183,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("n_words", _blanks(F.col("norm")) - 1)
     for k, (phrase, _) in enumerate(PHRASES):
         present = F.contains("norm", F.lit(f" {phrase} "))
-        cut = _let(
-            F.split("norm", f"(?<= ){phrase}(?= )", -1),
-            lambda p, size=phrase.count(" ") + 1: F.struct((F.size(p) - 1).alias("n"), (_blanks(F.element_at(p, 1)) - 1).alias("first"), (F.col("n_words") - (_blanks(F.element_at(p, -1)) - 1) - size).alias("last")),
-        )
-        out = out.withColumn(f"p{k}", F.when(present, cut))
+        out = out.withColumn(f"p{k}", F.when(present, _let(F.split("norm", f"(?<= ){phrase}(?= )", -1), _places(len(phrase.split())))))
     gated = F.col("norm").rlike(" (?:" + "|".join(GATE) + ") ")
     tried = F.filter(table, lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
     found = _let(F.flatten(F.transform(tried, lambda r: _detections(F.col("norm"), r))), _survivors)
