@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, licenses, secrets
+from codequarry.llm import decontaminate, licenses, packing, secrets, sharding
 from codequarry.llm.common import table
 
 QUERIES = {}
@@ -14,11 +14,21 @@ def query(f):
     return f
 
 
+@query
+def op4_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_shard(spark, sf_dir):
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_licenses(spark, sf_dir):
     return licenses.license_digest(table(spark, sf_dir, "documents"))
