@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, licenses, packing, secrets, sharding
+from codequarry.llm import decontaminate, licenses, near_dup, packing, secrets, sharding, sql
 from codequarry.llm.common import table
 
 QUERIES = {}
-SQL: dict[str, str] = {}
+SQL = {"op3_near_dup": sql.NEAR_DUP, "op9_decontaminate": sql.DECONTAMINATE}
 
 
 def query(f):
@@ -14,6 +14,11 @@ def query(f):
     return f
 
 
+@query
+def op3_near_dup(spark, sf_dir):
+    return near_dup.near_dup_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
