@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, licenses, near_dup, packing, secrets, sharding, sql
+from codequarry.llm import decontaminate, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
 from codequarry.llm.common import table
 
 QUERIES = {}
@@ -14,6 +14,11 @@ def query(f):
     return f
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_near_dup(spark, sf_dir):
     return near_dup.near_dup_digest(table(spark, sf_dir, "documents"))
@@ -42,3 +47,8 @@ def op8_licenses(spark, sf_dir):
 @query
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
