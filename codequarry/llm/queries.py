@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
+from codequarry.llm import decontaminate, embedding_dup, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
 from codequarry.llm.common import table
 
 QUERIES = {}
-SQL = {"op3_near_dup": sql.NEAR_DUP, "op9_decontaminate": sql.DECONTAMINATE}
+SQL = {"op3_near_dup": sql.NEAR_DUP, "op5_embedding_dup": sql.EMBEDDING_DUP, "op9_decontaminate": sql.DECONTAMINATE}
 
 
 def query(f):
@@ -29,6 +29,11 @@ def op4_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_embedding_dup(spark, sf_dir):
+    return embedding_dup.embedding_dup_digest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
