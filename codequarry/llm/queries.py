@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, embedding_dup, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
+from codequarry.llm import decontaminate, embedding_dup, html_text, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
 from codequarry.llm.common import table
 
 QUERIES = {}
@@ -14,6 +14,11 @@ def query(f):
     return f
 
 
+@query
+def op1_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
