@@ -3,6 +3,7 @@
 import pytest
 from oracle import spark_rows, sql_rows
 
+from codequarry.plans import extract_queries  # noqa: F401  registers its queries
 from codequarry.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
