@@ -6,7 +6,13 @@ from codequarry.llm import decontaminate, embedding_dup, html_text, licenses, ne
 from codequarry.llm.common import table
 
 QUERIES = {}
-SQL = {"op3_near_dup": sql.NEAR_DUP, "op5_embedding_dup": sql.EMBEDDING_DUP, "op9_decontaminate": sql.DECONTAMINATE}
+SQL = {
+    "op3_near_dup": sql.NEAR_DUP,
+    "op5_embedding_dup": sql.EMBEDDING_DUP,
+    "op6_secrets": sql.secrets_sql(secrets.KINDS, secrets.N_BASE, secrets.PLACEHOLDERS),
+    "op8_licenses": sql.licenses_sql(licenses.rules(), licenses.PHRASES),
+    "op9_decontaminate": sql.DECONTAMINATE,
+}
 
 
 def query(f):

@@ -40,3 +40,54 @@ WITH RECURSIVE
  n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT m.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, m.c = m.id AS kept FROM m LEFT JOIN n ON n.a = m.id
 """
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def secrets_sql(kinds: list, n_base: int, placeholders: list[str]) -> str:
+    """Query op6 for the given kinds (name, regex, group, least length, gate)."""
+    found = " UNION ALL ".join(
+        f"SELECT row, {k} AS rank, '{name}' AS kind, {least} AS least, string_split_regex(t, {_quoted(regex)}) AS gaps, regexp_extract_all(t, {_quoted(regex)}, 0) AS hits, regexp_extract_all(t, {_quoted(regex)}, {group}) AS vals FROM d"
+        for k, (name, regex, group, least, _) in enumerate(kinds)
+    )
+    named = " OR ".join(f"contains(lower(v), '{p}')" for p in placeholders)
+    text = lambda cond: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){cond}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, concat_ws('/', source, lang) AS repo, source AS owner FROM documents),
+ m AS ({found}),
+ u AS (SELECT row, rank, kind, least, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM m),
+ s AS (SELECT row, rank, kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, length(hits[i]) AS n, vals[i] AS v FROM u WHERE length(vals[i]) >= least),
+ p AS (SELECT s.*, start + n AS stop, d.repo, d.owner, len(list_distinct(string_split(v, ''))) >= 6 AND NOT ({named}) AS looks FROM s JOIN d ON d.row = s.row),
+ o AS (SELECT v, count(DISTINCT owner) > 2 OR count(DISTINCT repo) > 4 AS copied FROM p GROUP BY v),
+ g AS (SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, {text(f" FILTER (rank < {n_base})")} AS base, {text("")} AS spans,
+   count(*) FILTER (copied) AS n_copied, count(*) FILTER (looks AND NOT copied) AS n_live FROM p JOIN o ON o.v = p.v GROUP BY row)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g ON g.row = d.row
+"""
+
+
+def licenses_sql(rules: list, phrases: list) -> str:
+    """Query op8 for the given rules (priority, label, keyword, regex, weight) and phrases.
+
+    RE2 has no look-around: blanks are doubled, so that neighbouring matches don't share one.
+    """
+    doubled = lambda r: r.removeprefix("(?<= )").removesuffix("(?= )").replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+    values = ", ".join(f"({p}, '{la}', '{k}', {_quoted(' ' + doubled(r) + ' ')}, {w})" for p, la, k, r, w in rules)
+    places = " UNION ALL ".join(f"SELECT row, '{label}' AS label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()})) AS i FROM d" for p, label in phrases)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ k(priority, label, keyword, regex, weight) AS (VALUES {values}),
+ n AS (SELECT row, '  ' || array_to_string(w, '  ') || '  ' AS norm, w FROM d),
+ m AS (SELECT row, priority, label, weight::DOUBLE AS weight, string_split_regex(norm, regex) AS gaps, regexp_extract_all(norm, regex) AS hits FROM n JOIN k ON list_contains(w, keyword) WHERE regexp_matches(norm, regex)),
+ u AS (SELECT row, priority, label, weight, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM m),
+ f AS (SELECT row, priority, label, weight, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS len FROM u),
+ s AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f e WHERE e.row = f.row AND e.a <= f.a AND e.a + e.len >= f.a + f.len AND (e.len > f.len OR e.priority < f.priority))),
+ p AS ({places}),
+ b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY row),
+ l AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM p UNION ALL SELECT row, label FROM s) GROUP BY row),
+ c AS (SELECT row, max(weight) AS score FROM s GROUP BY row)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b ON b.row = d.row LEFT JOIN l ON l.row = d.row LEFT JOIN c ON c.row = d.row
+"""
