@@ -54,8 +54,8 @@ def components(edges: DataFrame) -> DataFrame:
     so a node with very many edges is spread over tasks. Edges with a null end and loops are
     ignored; nodes without edges don't appear.
     """
-    e = edges.select("a", "b").where("a <> b").distinct()
-    e = materialize(e)
+    e = materialize(edges.select("a", "b").where("a <> b").distinct())
+    mark = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -64,10 +64,10 @@ def components(edges: DataFrame) -> DataFrame:
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
         new = materialize(small.where("a <> b").distinct())
-        same = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (e, new)]
+        before, mark = mark, new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(e)
         e = new
-        if same[0] == same[1]:
+        if mark == before:
             break
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

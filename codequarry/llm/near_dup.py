@@ -10,8 +10,8 @@ and a pair is dropped as soon as the posterior probability that its similarity r
 falls below `miss` (uniform prior on the share of equal bits). Survivors are compared on full sets.
 
 Not all pairs of a bucket are compared. In each of some rounds every bucket names a hub, every
-member of another component picks of its hubs the one with most equal bits, and only these pairs are
-verified; the links found merge components. In the end, pairs are compared in full only in
+member of another component picks of its hubs the TRIES with most equal bits, and only these pairs
+are verified; the links found merge components. In the end, pairs are compared in full only in
 buckets that still hold several components, across components, once for a pair however many
 buckets it shares. So no link that changes a component is skipped, apart from the chance that no
 band agrees (1.2e-5 at similarity 0.85) and `miss`.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,12 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import components, materialize
 
 BANDS, ROWS = 24, 6
-LANE, LANES = 64, 4
-N_HASHES = LANE * LANES
-ROUNDS = 3
+LANE, LANES = 64, 24
+BATCHES = (1, 4, 12, 24)  # lanes that have been compared after each batch
+ROUNDS, TRIES = 3, 4
 
 _rng = np.random.default_rng(20260101)
-_A = _rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
+_HASHES = [[_rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(odd) for odd in (1, 0)] for n in (BANDS * ROWS, LANE * LANES)]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -84,57 +84,61 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands, and the lanes of signature bits."""
+def minima(s: np.ndarray, which: int) -> np.ndarray:
     x = (s >> np.uint64(32)).astype(np.uint32)
-    low = np.full(N_HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 512):
-        h = np.multiply.outer(x[i : i + 512], _A)
-        h += _B
+    a, b = _HASHES[which]
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 256):
+        h = np.multiply.outer(x[i : i + 256], a)
+        h += b
         np.minimum(low, h.min(axis=0), out=low)
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    return low
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    rows = minima(s, 0).reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = _mixed(key + rows[:, j])
-    bits = ((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    return key.view(np.int64), np.packbits(bits).view(np.int64)
+    return key.view(np.int64)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    bits = ((minima(s, 1) * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def most_unequal(threshold: float, miss: float) -> list[int]:
     """After each batch, the largest number of unequal bits at which a pair may still be linked."""
     least = (1 + threshold) / 2  # share of equal bits at the threshold
 
-    def posterior(equal: int, n: int) -> float:
-        """P(share >= least) for a Beta(equal + 1, n - equal + 1), as a binomial tail."""
-        return sum(math.comb(n + 1, i) * least**i * (1 - least) ** (n + 1 - i) for i in range(equal + 1))
+    def posterior(n: int) -> list[float]:
+        """For each number of equal bits, P(share >= least) under Beta(equal + 1, n - equal + 1): a binomial tail."""
+        log = [math.lgamma(n + 2) - math.lgamma(i + 1) - math.lgamma(n + 2 - i) + i * math.log(least) + (n + 1 - i) * math.log1p(-least) for i in range(n + 1)]
+        return list(accumulate(map(math.exp, log)))
 
-    return [max(d for d in range(n + 1) if posterior(n - d, n) >= miss) for n in range(LANE, N_HASHES + 1, LANE)]
+    out = []
+    for n in (LANE * b for b in BATCHES):
+        p = posterior(n)
+        out.append(max(d for d in range(n + 1) if p[n - d] >= miss))
+    return out
 
 
-def _signed(batches, k: int):
+def _banded(batches, k: int):
     words = Words()
     for b in batches:
-        n, cls, bands, bits = [], [], [], []
-        for text in b.column("text").to_pylist():
-            s = shingles(words(text), k) if text else ()
-            n.append(len(s))
-            if len(s):
-                x, y = signature(s)
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(x)
-                bits.append(y)
-            else:
-                cls.append(None)
-                bands.append(None)
-                bits.append(None)
-        yield pa.RecordBatch.from_pydict({"id": b.column("id"), "n": pa.array(n, pa.int32()), "cls": pa.array(cls, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
+        sets = [shingles(words(t), k) if t else () for t in b.column("text").to_pylist()]
+        cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        bands = [band_keys(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_pydict({"id": b.column("id"), "n": pa.array(map(len, sets), pa.int32()), "cls": pa.array(cls, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
 
 def _sets(batches, k: int):
     words = Words()
     for b in batches:
-        out = [shingles(words(t), k).view(np.int64) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": pa.array(out, pa.list_(pa.int64()))})
+        sets = [shingles(words(t), k) for t in b.column("text").to_pylist()]
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": pa.array([s.view(np.int64) for s in sets], longs), "bits": pa.array(map(signature, sets), longs)})
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,9 +154,12 @@ def _possible(percent: int, most: list[int], a: str = "a", b: str = "b"):
     """Lengths allow the threshold, and no batch of bits has ruled the pair out."""
     c = lambda side, name: F.col(f"{side}_{name}")
     ok = (100 * F.least(c(a, "n"), c(b, "n")) >= percent * F.greatest(c(a, "n"), c(b, "n")))
-    unequal = F.lit(0)
-    for j, limit in enumerate(most):
-        unequal = unequal + F.bit_count(c(a, f"s{j}").bitwiseXOR(c(b, f"s{j}")))
+    lane = lambda j: F.bit_count(F.get(c(a, "bits"), j).bitwiseXOR(F.get(c(b, "bits"), j)))
+    unequal, done = F.lit(0), 0
+    for upto, limit in zip(BATCHES, most, strict=True):
+        for j in range(done, upto):
+            unequal = unequal + lane(j)
+        done = upto
         ok = ok & (unequal <= limit)
     return ok, unequal
 
@@ -166,19 +173,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     most = most_unequal(percent / 100, miss)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(src.mapInArrow(lambda it: _signed(it, k), f"id {id_type}, n int, cls binary, bands array<bigint>, bits array<bigint>"))
-    lanes = [F.col("bits")[j].alias(f"s{j}") for j in range(LANES)]
-    lane_names = [f"s{j}" for j in range(LANES)]
-    classes = materialize(rows.where("n > 0").groupBy("cls", "n", "bands", "bits").agg(F.min("id").alias("node")).select("cls", "node", "n", "bands", *lanes))
-    nodes = classes.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bands", *lane_names)])
+    rows = materialize(src.mapInArrow(lambda it: _banded(it, k), f"id {id_type}, n int, cls binary, bands array<bigint>"))
+    classes = materialize(rows.where("n > 0").groupBy("cls", "n", "bands").agg(F.min("id").alias("node")))
+    nodes = classes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
 
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = materialize(buckets.join(shared, "key"))
-    member_nodes = members.select("node").distinct()
-    info = materialize(nodes.join(member_nodes, "node"))
-    texts = src.join(info.select(F.col("node").alias("id"), "node"), "id").select("node", "text")
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node {}, shingles array<bigint>".format(id_type)).dropDuplicates(["node"]))
+    open_nodes = members.select("node").distinct()
+    texts = src.join(open_nodes.select(F.col("node").alias("id"), "node"), "id").select("node", "text")
+    sets = materialize(texts.mapInArrow(lambda it: _sets(it, k), f"node {id_type}, shingles array<bigint>, bits array<bigint>").dropDuplicates(["node"]))
+    info = materialize(nodes.join(sets.select("node", "bits"), "node"))
 
     links = None
     label = info.select("node", F.col("node").alias("component"))
@@ -188,15 +193,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).where("lo <> hi").select("key", "hub")
         open_ = known.join(mixed, "key")
         if turn < ROUNDS:
-            a = open_.join(slim, "node").select("key", "hub", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", *lane_names)])
-            b = slim.join(label, "node").select(F.col("node").alias("hub"), *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", *lane_names)])
+            a = open_.join(slim, "node").select("key", "hub", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "bits")])
+            b = slim.join(label, "node").select(F.col("node").alias("hub"), *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "bits")])
             ok, unequal = _possible(percent, most)
             pairs = a.join(b, "hub").where((F.col("a_component") != F.col("b_component")) & ok)
-            pairs = pairs.groupBy(F.col("a_node").alias("a")).agg(F.min_by("b_node", F.struct(unequal, F.col("b_node"))).alias("b"))
+            pairs = pairs.select(F.col("a_node").alias("a"), F.struct(unequal.alias("unequal"), F.col("b_node").alias("b")).alias("hub")).distinct()
+            best = F.slice(F.array_sort(F.collect_list("hub")), 1, TRIES)  # of BANDS hubs at most
+            pairs = pairs.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
         else:
             # bands name the first bucket that a pair shares; only there it is made
             each = materialize(open_.select("key", "node", "component").join(info, "node"))
-            side = lambda s: each.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "n", "bands", *lane_names)])
+            side = lambda s: each.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "n", "bands", "bits")])
             ok, _ = _possible(percent, most)
             first = F.expr("try_element_at(a_bands, cast(array_position(zip_with(a_bands, b_bands, (x, y) -> x = y), true) as int))") == F.col("key")
             apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))

@@ -99,4 +99,4 @@ def test_empty_table(spark):
 
 def test_bounds_widen_with_the_batches():
     most = near_dup.most_unequal(0.85, 1e-5)
-    assert most == sorted(most) and all(n * 64 * 0.075 < m for n, m in enumerate(most, 1))
+    assert most == sorted(most) and all(n * 64 * 0.075 < m for n, m in zip(near_dup.BATCHES, most, strict=True))
