@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,15 +85,29 @@ def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()  # open elements by name, so that most tags need no look at the stack
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
 
     def close(ends: frozenset, until: frozenset) -> None:
         """Close the outermost open element of ends that stands within until."""
+        if not any(opened[t] for t in ends):
+            return
+        last = 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in until:
-                return
-            if stack[k].tag in ends and not any(s.tag in ends for s in _within(stack, k, until)):
-                del stack[k:]
-                return
+                break
+            if stack[k].tag in ends:
+                last = k
+        if last:
+            cut(last)
 
     at, n = 0, len(page)
     while at < n:
@@ -113,27 +128,27 @@ def parse(page: str) -> Node:
         if m["end"] or m["end2"]:
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not any(s.tag == "p" for s in _within(stack, 0, SCOPE)):
+            elif name == "p" and not (opened["p"] and _in_scope(stack, "p")):
                 stack[-1].children.append(Node("p"))
-            else:
+            elif opened[name]:
                 scope = _words("table") if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == name:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].tag in scope and name not in ("table", "body", "html"):
                         break
             continue
-        if name in ("html", "body") and any(s.tag == name for s in stack):
+        if name in ("html", "body") and opened[name]:
             continue
         if name in CLOSES_P:
             close(_words("p"), SCOPE)
         if name in IMPLIED_END:
             close(*IMPLIED_END[name])
         if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            stack.append(_child(stack[-1], "tr"))
+            push(_child(stack[-1], "tr"))
         if name not in HIDDEN and name not in ("html", "base", "link", "meta") and stack[-1].tag == "head":
-            stack.pop()
+            cut(len(stack) - 1)
         node = _child(stack[-1], name, m["attrs"] or m["attrs2"] or "")
         if name in RAW:
             stop = _RAW_END[name].search(page, at)
@@ -142,18 +157,15 @@ def parse(page: str) -> Node:
                 node.children.append(html.unescape(inner) if name == "textarea" else inner)
             at = stop.end() if stop else n
         elif name not in VOID:
-            stack.append(node)
+            push(node)
     return root
 
 
-def _within(stack: list[Node], above: int, until: frozenset) -> list[Node]:
-    """Open elements from the innermost outwards, down to the first of until, below index above."""
-    out = []
-    for k in range(above - 1 if above else len(stack) - 1, 0, -1):
-        if stack[k].tag in until:
-            break
-        out.append(stack[k])
-    return out
+def _in_scope(stack: list[Node], tag: str) -> bool:
+    for node in reversed(stack):
+        if node.tag == tag or node.tag in SCOPE:
+            return node.tag == tag
+    return False
 
 
 def _child(parent: Node, tag: str, attrs: str = "") -> Node:

@@ -63,6 +63,10 @@ def test_all_visible_words_of_pages(spark):
         assert sorted("".join(got[r.page_id].replace("|", "").split()).replace("-", "")) == sorted("".join(plain.words).replace("|", "").replace("-", "")), r.page_id
 
 
+def test_deep_nesting_takes_linear_time():
+    assert render("<div>" * 60_000 + "<p>deep<p>er" + "</span>" * 1000) == "deep\n\ner"
+
+
 def test_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>a"), (1, "<p>a"), (None, "b")], "page_id long, html string").selectExpr("*", "1 as text", "2 as id", "3 as n_chars")
     assert sorted(map(tuple, extract_text(df).collect()), key=str) == [(1, "", 0), (1, "a", 1), (1, "a", 1), (None, "b", 1)]
