@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,11 +78,12 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, id_col: str, text_col: str, sample_docs: int, sample_chars: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, id_col: str, text_col: str, sample_docs: int, sample_chars: int) -> Iterator[tuple[str, int]]:
     """At most sample_docs texts with labels, first by a hash of the id, and sample_chars characters."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(may_learn)
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "id")
     texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
     so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))  # over sample_docs rows at most
-    return [(r.text, r.y) for r in texts.withColumn("n", so_far).where(F.col("n") <= sample_chars).select("text", "y").collect()]
+    for r in texts.withColumn("n", so_far).where(F.col("n") <= sample_chars).select("text", "y").toLocalIterator():
+        yield r.text, r.y

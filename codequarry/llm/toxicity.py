@@ -32,6 +32,7 @@ from codequarry.llm.common import fold, labelled_sample
 
 PLACES = 1 << 20
 PREFIXES = range(3, 8)
+BLOCK_WORDS = 400_000
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
 
@@ -83,15 +84,26 @@ def learn(bags, rounds: int = 150, rate: float = 0.1, shrink: float = 1.5e-4, re
     used, feature = np.unique(feature, return_inverse=True)
     w = np.zeros(len(used))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    # documents in blocks of some words each, so that a step needs little memory beside the sample
+    ends = np.searchsorted(doc, np.arange(1, len(y) + 1))  # of each document's sentences
+    words_to = np.searchsorted(sentence, ends)
+    cuts = [0]
+    while cuts[-1] < len(y):
+        before = words_to[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(words_to, before + BLOCK_WORDS, "right"))))
     for t in range(1, rounds + refit + 1):
         of_word = np.bincount(own, w[feature], len(ids))
-        z = np.bincount(sentence, of_word[word], len(doc)) + bias
-        s = np.logaddexp(0, z)
-        total = np.bincount(doc, s, len(y))
-        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0) / len(y)
-        dz = slope[doc] / (1 + np.exp(-z))
-        g = np.bincount(feature, np.bincount(word, dz[sentence], len(ids))[own], len(used))
-        gb = dz.sum()
+        by_word, gb = np.zeros(len(ids)), 0.0
+        for d0, d1 in zip(cuts, cuts[1:]):
+            s0, s1 = ends[d0 - 1] if d0 else 0, ends[d1 - 1]
+            w0, w1 = words_to[d0 - 1] if d0 else 0, words_to[d1 - 1]
+            z = np.bincount(sentence[w0:w1] - s0, of_word[word[w0:w1]], s1 - s0) + bias
+            total = np.bincount(doc[s0:s1] - d0, np.logaddexp(0, z), d1 - d0)
+            slope = np.where(y[d0:d1] == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0) / len(y)
+            dz = slope[doc[s0:s1] - d0] / (1 + np.exp(-z))
+            by_word += np.bincount(word[w0:w1], dz[sentence[w0:w1] - s0], len(ids))
+            gb += dz.sum()
+        g = np.bincount(feature, by_word[own], len(used))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
@@ -122,7 +134,7 @@ class Scorer:
         return -math.expm1(-sum(math.log1p(math.exp(z)) if z < 30 else z for _, _, z in found if z > -40))
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, sample_chars: int = 24_000_000):
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, sample_chars: int = 16_000_000):
     """A broadcast model. may_learn is a condition on the column id of the labels."""
     rows = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, id_col, text_col, sample_docs, sample_chars)
     weights, bias = learn(([w for _, _, w in sentences(t)], y) for t, y in rows)
