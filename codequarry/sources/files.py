@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,3 +110,19 @@ def discover_local(roots: list[str], exclude: list[str] = ()) -> list[Path]:
 def discover_clones(base: str) -> list[Path]:
     """Folders below base that hold .git."""
     return sorted(p.parent for p in Path(base).rglob(".git"))
+
+
+def included(repos: DataFrame, column: str = "full_path", namespaces: list[str] = (), owners: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Repositories of a listing that are wanted; null paths count as empty.
+
+    A path must start with one of the namespaces and have one of the owners before its first "/",
+    where these are given, and hold none of the patterns.
+    """
+    path = F.coalesce(F.col(column), F.lit(""))
+    if namespaces:
+        repos = repos.where(reduce(or_, [F.startswith(path, F.lit(n)) for n in namespaces]))
+    if owners:
+        repos = repos.where(F.split_part(path, F.lit("/"), F.lit(1)).isin(list(owners)))
+    for pattern in exclude:
+        repos = repos.where(~path.rlike(pattern))
+    return repos

@@ -136,3 +136,13 @@ def test_stream_replaces_repositories(spark, tmp_path):
         q = ingest.ingest(ingest.changed_files(spark, str(tmp_path / "in")), lambda: state["kb"], put, str(tmp_path / "ck"))
         q.awaitTermination(120)
     assert [r.name for r in state["kb"].services.collect()] == ["OrderService"]
+
+
+def test_included_repositories(spark):
+    names = ["shop/web", "shop/old-web", "shopping/app", "other/shop", None]
+    rows = spark.createDataFrame([(n,) for n in names], "full_path string")
+    get = lambda **kw: {r.full_path for r in source.included(rows, **kw).collect()}
+    assert get() == set(names)
+    assert get(namespaces=["shop"], exclude=["old"]) == {"shop/web", "shopping/app"}
+    assert get(owners=["shop", "other"]) == {"shop/web", "shop/old-web", "other/shop"}
+    assert get(exclude=["^sh", "^$"]) == {"other/shop"}
