@@ -21,21 +21,32 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Label, keyword that must stand in the text, regex of the licence's name.
+#: Label, keyword, regex of the licence's name. The keyword stands as a word in every
+#: match, but for names fused with a version (gplv2), which have rules of their own.
 NAMES = [
     ("agpl-3.0", "affero", "gnu affero general public licen[cs]e(?: v| version)? ?3(?: 0)?"),
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"),
     ("agpl", "agpl", "agpl(?: ?v?3(?: 0)?)?(?: only| or later)?"),
+    ("agpl", "agplv3", "agplv3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl3", "agpl3(?: 0)?(?: only| or later)?"),
     ("lgpl-2.1", "lesser", "gnu lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?2 1"),
     ("lgpl-3.0", "lesser", "gnu lesser general public licen[cs]e(?: v| version) ?3(?: 0)?"),
     ("lgpl", "lesser", "gnu lesser general public licen[cs]e"),
     ("lgpl", "library", "gnu library general public licen[cs]e"),
     ("lgpl", "lgpl", "lgpl(?: ?v?(?:2 0|2 1|2|3 0|3))?(?: only| or later)?"),
+    ("lgpl", "lgplv2", "lgplv2(?: [01])?(?: only| or later)?"),
+    ("lgpl", "lgpl2", "lgpl2(?: [01])?(?: only| or later)?"),
+    ("lgpl", "lgplv3", "lgplv3(?: 0)?(?: only| or later)?"),
+    ("lgpl", "lgpl3", "lgpl3(?: 0)?(?: only| or later)?"),
     ("gpl-2.0", "gnu", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?2(?: 0)?"),
     ("gpl-3.0", "gnu", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?3(?: 0)?"),
     ("gpl", "gnu", "gnu general public licen[cs]e"),
     ("gpl-2.0", "gpl", "gpl ?v?2(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gplv2", "gplv2(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl2", "gpl2(?: 0)?(?: only| or later)?"),
     ("gpl-3.0", "gpl", "gpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gplv3", "gplv3(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl3", "gpl3(?: 0)?(?: only| or later)?"),
     ("gfdl", "documentation", "gnu free documentation licen[cs]e(?: version 1 [123])?"),
     ("apache-2.0", "apache", "apache(?: software)? licen[cs]e(?: version)? ?v?2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version)? 1 1"),

@@ -136,3 +136,23 @@ def test_empty_tables(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination_digest(none, bench).count() == 0
     assert decontaminate.contamination_digest(odd, bench).where("contaminated").count() == 0
+
+
+def ungated_labels(text):
+    """Labels and score of all rules on a text, with no keyword asked for."""
+    w = license_words(text)
+    norm = " " + " ".join(w) + (" " if w else "")
+    found = [(m.start(), m.end(), p, label, weight) for p, label, _, regex, weight in licenses.rules() for m in re.finditer(regex, norm)]
+    kept = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[2] < d[2]) for e in found)]
+    base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in norm}
+    return ",".join(sorted(base | {d[3] for d in kept})), max([d[4] for d in kept], default=0.0)
+
+
+def test_fused_names_pass_the_gate(spark):
+    want = {"GPLv2": "gpl-2.0", "GPL2": "gpl-2.0", "GPLv3": "gpl-3.0", "GPL3": "gpl-3.0", "AGPLv3": "agpl", "AGPL3": "agpl", "LGPLv2.1": "lgpl", "LGPLv3": "lgpl", "LGPL2": "lgpl", "LGPL3": "lgpl"}
+    names = [*want, *(f"{k}{t}" for k in want for t in ("+", " or later", "-only", ".0", " not GPL")), "gplv2x", "xgplv2", "GPL v2", "lgpl-2.1"]
+    texts = [f.format(n) for n in names for f in ("{}", "Released under the terms of the {}.", "SPDX-License-Identifier: {}", "see {} and GPLv2")]
+    rows = licenses.license_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {texts[r.doc_id]: (r.labels, r.score) for r in rows}
+    assert got == {t: ungated_labels(t) for t in texts}
+    assert {n: got[n][0] for n in want} == want
