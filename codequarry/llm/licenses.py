@@ -2,7 +2,9 @@
 
 Texts are lower-cased (A-Z) and reduced to words, runs of ASCII letters and digits and of
 characters beyond ASCII, with one blank between. Rules are regexes over that form. A rule runs on a
-text only if its keyword stands in it, and no rule runs on a text without any of the gate words. A
+text only if its keyword stands in it, and no rule runs on a text without any of the gate words.
+There are rules for SPDX tags, for fixed sentences of licence texts, and for licence names in frames.
+The further identifiers of an SPDX expression are looked for only in texts with the word spdx. A
 detection is suppressed if another one covers its interval and is longer, or has the same interval
 and stands earlier in the rule order.
 
@@ -124,20 +126,127 @@ FORMS = [
     (0.85, "under the (?:terms|conditions) (?:and conditions )?of (?:the )?{}"),
     (0.6, "{}"),
 ]
-#: Words of which one must stand in a text before any rule is tried.
-GATE = sorted({k for _, k, _ in NAMES})
+#: Label, words of an SPDX identifier. A regex, since a version may follow.
+SPDX = [
+    ("mit", "mit"),
+    ("mit-0", "mit 0"),
+    ("apache-1.1", "apache 1 1"),
+    ("apache-2.0", "apache 2 0"),
+    ("isc", "isc"),
+    ("x11", "x11"),
+    ("bsd-0-clause", "0bsd"),
+    ("bsd-2-clause", "bsd 2 clause(?: patent)?"),
+    ("bsd-3-clause", "bsd 3 clause(?: clear)?"),
+    ("bsd-4-clause", "bsd 4 clause"),
+    ("gpl-1.0", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "gpl 3 0(?: only| or later)?"),
+    ("lgpl-2.0", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl 3 0(?: only| or later)?"),
+    ("agpl-1.0", "agpl 1 0(?: only| or later)?"),
+    ("agpl-3.0", "agpl 3 0(?: only| or later)?"),
+    ("gfdl", "gfdl 1 [123](?: (?:no )?invariants)?(?: only| or later)?"),
+    ("mpl-1.0", "mpl 1 0"),
+    ("mpl-1.1", "mpl 1 1"),
+    ("mpl-2.0", "mpl 2 0(?: no copyleft exception)?"),
+    ("epl-1.0", "epl 1 0"),
+    ("epl-2.0", "epl 2 0"),
+    ("cddl", "cddl 1 [01]"),
+    ("cpl-1.0", "cpl 1 0"),
+    ("eupl", "eupl 1 [012]"),
+    ("cecill", "cecill(?: [12] [01]| [bc])"),
+    ("artistic", "artistic 1 0(?: perl| cl8)?"),
+    ("artistic-2.0", "artistic 2 0"),
+    ("boost-1.0", "bsl 1 0"),
+    ("bsl-1.1", "busl 1 1"),
+    ("zlib", "zlib"),
+    ("libpng", "libpng(?: 2 0)?"),
+    ("unlicense", "unlicense"),
+    ("wtfpl", "wtfpl"),
+    ("cc0-1.0", "cc0 1 0"),
+    ("cc-by-nc-nd", "cc by nc nd [1234] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1234] [05]"),
+    ("cc-by-nc", "cc by nc [1234] [05]"),
+    ("cc-by-nd", "cc by nd [1234] [05]"),
+    ("cc-by-sa", "cc by sa [1234] [05]"),
+    ("cc-by", "cc by [1234] [05]"),
+    ("odbl", "odbl 1 0"),
+    ("odc-by", "odc by 1 0"),
+    ("pddl", "pddl 1 0"),
+    ("ofl-1.1", "ofl 1 1(?: (?:no )?rfn)?"),
+    ("psf-2.0", "(?:psf|python) 2 0(?: 1)?"),
+    ("php-3.0", "php 3 01?"),
+    ("ruby", "ruby"),
+    ("postgresql", "postgresql"),
+    ("openssl", "openssl"),
+    ("ncsa", "ncsa"),
+    ("w3c", "w3c"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("upl-1.0", "upl 1 0"),
+    ("sspl-1.0", "sspl 1 0"),
+    ("elastic-2.0", "elastic 2 0"),
+    ("afl-3.0", "afl 3 0"),
+    ("blueoak-1.0.0", "blueoak 1 0 0"),
+    ("curl", "curl"),
+    ("vim", "vim"),
+]
+#: Weight and frame of an SPDX identifier. The second form finds the further ones of an
+#: expression by the word before, so that no interval covers that of the first.
+SPDX_FORMS = [(1.0, "spdx license identifier {}"), (0.6, "(?:[0-4]|mit|isc|x11|0bsd|zlib|clause|only|later|unlicense|wtfpl|ncsa|exception) (?:or|and) {}")]
+#: Of identifiers that are also common words, only the first form is looked for.
+ALSO_WORDS = ["ruby", "postgresql", "openssl", "w3c", "curl", "vim"]
+
+#: Weight, label, keyword, regex of a fixed sentence of the licence's own text.
+TEXTS = [
+    (0.95, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction)?"),
+    (0.95, "ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software without restriction"),
+    (0.95, "boost-1.0", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    (0.95, "ofl-1.1", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    (0.6, "mit", "hereby", "permission is hereby granted free of charge"),
+    (0.95, "isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    (0.95, "bsd-0-clause", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?: the software is provided)?"),
+    (0.95, "postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    (0.95, "x11", "consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    (0.85, "bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    (0.95, "bsd-2-clause", "distribution", "materials provided with the distribution this software is provided by"),
+    (0.95, "bsd-3-clause", "endorse", "may (?:not )?be used to endorse or promote products derived from this software"),
+    (0.95, "bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (0.95, "apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution"),
+    (0.95, "gpl-2.0", "gnu", "the gnu general public licen[cs]e is intended to guarantee your freedom to share and change free software"),
+    (0.95, "gpl-3.0", "gnu", "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    (0.95, "agpl-3.0", "affero", "the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    (0.95, "lgpl-3.0", "lesser", "this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e"),
+    (0.95, "mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    (0.95, "epl-2.0", "eclipse", "eclipse public licen[cs]e v 2 0"),
+    (0.95, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (0.95, "zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    (0.95, "wtfpl", "fuck", "you just do what the fuck you want to"),
+    (0.95, "cc0-1.0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    (0.95, "cc0-1.0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    (0.95, "artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    (0.95, "psf-2.0", "python", "this licen[cs]e agreement is between the python software foundation"),
+    (0.95, "openssl", "openssl", "this product includes software developed by the openssl project"),
+]
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, regex, weight): every name in every form, strongest form first."""
-    out = []
-    for weight, form in FORMS:
-        for label, keyword, name in NAMES:
-            out.append((len(out), label, keyword, "(?<= )" + form.format(f"(?:{name})") + "(?= )", weight))
-    return out
+    """(priority, label, keyword, regex, weight): SPDX tags, texts, every name in every form, further SPDX identifiers."""
+    words = lambda s: "(?<= )" + s + "(?= )"
+    tag, further = SPDX_FORMS
+    out = [(label, "spdx", words(tag[1].format(f"(?:{x})")), tag[0]) for label, x in SPDX]
+    out += [(label, keyword, words(x), weight) for weight, label, keyword, x in TEXTS]
+    out += [(label, keyword, words(form.format(f"(?:{name})")), weight) for weight, form in FORMS for label, keyword, name in NAMES]
+    out += [(label, "spdx", words(further[1].format(f"(?:{x})")), further[0]) for label, x in SPDX if x not in ALSO_WORDS]
+    return [(k, *rule) for k, rule in enumerate(out)]
+
+
+#: Words of which one must stand in a text before any rule is tried.
+GATE = sorted({keyword for _, _, keyword, _, _ in rules()})
 
 
 def normalized(text: Column) -> Column:
@@ -189,14 +298,18 @@ def _survivors(all_found: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, places (phrase count, first, last start), and surviving detections."""
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(la).alias("label"), F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(w).alias("weight")) for p, la, k, r, w in rules()])
+    by_keyword: dict[str, list[Column]] = {}
+    for p, la, k, r, w in rules():
+        by_keyword.setdefault(k, []).append(F.struct(F.lit(p).alias("priority"), F.lit(la).alias("label"), F.lit(r).alias("regex"), F.lit(w).alias("weight")))
+    # a keyword is looked for once, however many rules it has
+    table = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*rs).alias("rules")) for k, rs in by_keyword.items()])
     out = docs.select(F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("norm"))
     out = out.withColumn("n_words", _blanks(F.col("norm")) - 1)
     for k, (phrase, _) in enumerate(PHRASES):
         present = F.contains("norm", F.lit(f" {phrase} "))
         out = out.withColumn(f"p{k}", F.when(present, _let(F.split("norm", f"(?<= ){phrase}(?= )", -1), _places(len(phrase.split())))))
     gated = F.col("norm").rlike(" (?:" + "|".join(GATE) + ") ")
-    tried = F.filter(table, lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    tried = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("norm"), g["keyword"])), lambda g: g["rules"]))
     found = _let(F.flatten(F.transform(tried, lambda r: _detections(F.col("norm"), r))), _survivors)
     out = out.withColumn("detections", F.when(gated, found))
     ps = [F.col(f"p{k}") for k in range(len(PHRASES))]

@@ -156,3 +156,28 @@ def test_fused_names_pass_the_gate(spark):
     got = {texts[r.doc_id]: (r.labels, r.score) for r in rows}
     assert got == {t: ungated_labels(t) for t in texts}
     assert {n: got[n][0] for n in want} == want
+
+
+def test_spdx_tags_and_licence_texts(spark):
+    want = {
+        "// SPDX-License-Identifier: MIT": ("mit", 1.0),
+        "# SPDX-License-Identifier: Apache-2.0\nimport os": ("apache-2.0", 1.0),
+        "SPDX-License-Identifier: MPL-2.0": ("mpl-2.0", 1.0),
+        "SPDX-License-Identifier: EPL-2.0": ("epl-2.0", 1.0),
+        "SPDX-License-Identifier: ISC": ("isc", 1.0),
+        "SPDX-License-Identifier: BSL-1.0": ("boost-1.0", 1.0),
+        "SPDX-License-Identifier: CC-BY-SA-4.0": ("cc-by,cc-by-sa", 1.0),
+        "SPDX-License-Identifier: LGPL-2.1-or-later": ("lgpl-2.1", 1.0),
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": ("apache-2.0,bsd-3-clause,mit", 1.0),
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR ISC": ("gpl-2.0,isc", 1.0),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction": ("mit", 0.95),
+        "Permission is hereby granted, free of charge": ("mit", 0.6),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": ("isc", 0.95),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": ("bsd", 0.85),
+        "Redistribution and use in source and binary forms: ... Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software": ("bsd,bsd-3-clause", 0.95),
+        "This is free and unencumbered software released into the public domain.": ("unlicense", 0.95),
+        "Geh mit mir, 1 or mit; python and ruby": ("", 0.0),
+    }
+    texts = list(want)
+    rows = licenses.license_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: (r.labels, r.score) for r in rows} == want
