@@ -10,7 +10,8 @@ third of the rows hold is summed before it is shuffled. The counts are joined to
 by hash, which Spark's skew join can split.
 
 Defined cases: null counts as empty; empty texts hold no secrets; a null repository or owner is
-not counted as one; repeated rows are answered one by one; other columns are not read.
+not counted as one; repeated rows are answered one by one; other columns are not read; a private
+key's header with no key behind it is no secret.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import materialize
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# A private key: header and, as the value, all up to the END line; or, where no END line follows, the
+# header fields and up to 420 lines of base64 that follow, more than a private key has (in sevenths,
+# since RE2 bounds repetitions). Line breaks may be written as \n, whose n then counts with the line.
+_PEM_CUT = r"(?:[ \t\r\n\\]*n?(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,4}" + r"(?:[ \t\r\n\\]*[A-Za-z0-9+/=]{16,}){0,60}" * 7 + r"(?:[ \t\r\n\\]*[A-Za-z0-9+/=]{1,15}[ \t\r\n\\]*\z)?"
+_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----([^-]*(?:-{{1,4}}[^-]+){{0,40}}-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_PEM_CUT})"
 #: Kind, regex, group of the value, least length of the value, texts of which one must be there ("" means: look with the regex).
 KINDS = [
     ("assign", _ASSIGN, 2, 6, ""),
@@ -29,7 +35,7 @@ KINDS = [
     ("github", "gh[opusr]_[A-Za-z0-9]{36,}", 0, 40, "gh"),
     ("google", "AIza[0-9A-Za-z_-]{35}", 0, 39, "AIza"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    ("pem", _PEM, 1, 1, "PRIVATE KEY-----"),
     ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox"),
     ("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1, "k_"),
     ("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{1,80}@", 0, 1, "://"),

@@ -181,3 +181,23 @@ def test_spdx_tags_and_licence_texts(spark):
     texts = list(want)
     rows = licenses.license_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {texts[r.doc_id]: (r.labels, r.score) for r in rows} == want
+
+
+def test_private_keys_are_told_apart_and_redacted_whole(spark):
+    def body(k):
+        return "\n".join(hashlib.sha512(f"{k} {i}".encode()).hexdigest().upper()[:64] for i in range(20)) + "\nAb+/Cd=="
+
+    def pem(k, kind="RSA "):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body(k)}\n-----END {kind}PRIVATE KEY-----"
+
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [f"before {pem(k)} after" for k in range(6)]
+    texts += [pem("copied")] * 6
+    texts += ["x " + pem("enc").replace("-----\n", "-----\n" + fields, 1) + " y", "two " + pem("a", "") + "\n" + pem("b", "EC ") + " end"]
+    texts += ["cut -----BEGIN PRIVATE KEY-----\n" + fields + body("cut"), "flat " + pem("flat").replace("\n", "\\n") + "\\n", "-----BEGIN PRIVATE KEY----- is a header, and more - words follow", "-----BEGIN PRIVATE KEY-----" + "\n" * 20_000 + "- a, " * 20_000]
+    want = ["before [SECRET] after"] * 6 + [pem("copied")] * 6 + ["x [SECRET] y", "two [SECRET]\n[SECRET] end", "cut [SECRET]", "flat [SECRET]\\n", *texts[-2:]]
+    docs = spark.createDataFrame([(i, t, f"s{i}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (r.n_copied, r.n_live) for r in secrets.secret_digest(docs).collect()}
+    assert got == {i: (1, 0) if 6 <= i < 12 else (0, 2) if i == 13 else (0, 0) if i >= 16 else (0, 1) for i in range(18)}
+    clean = {r.doc_id: r.text for r in secrets.redact_live(docs).collect()}
+    assert [clean[i] for i in range(18)] == want
