@@ -3,7 +3,9 @@
 Rows of equal vectors are one class, and only classes go on. A hash deals the classes to shards of
 bounded size, and a task builds each shard's graph. Every class then queries every shard: the
 graph's rows go to a few tasks for each shard, and each streams its block of the queries past the
-graph. Hits are verified by cosine in double precision and joined to components.
+graph. Hits are verified by cosine in double precision. Of the links that a task finds, it passes on
+how many each query has, and those of a spanning forest, so a large group costs its size and not
+its square; the forests are joined to components.
 
 A query whose beam holds nothing but hits is repeated with a beam twice as wide, until it holds
 something else. Besides, a fixed number of classes is compared with all classes by brute force; if
@@ -14,8 +16,8 @@ more than `shard_rows` classes.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and
 rows with a null id, are linked with nothing; vectors of other lengths are never linked; repeated
-rows of one id and vector count as one vector and are answered one by one; other columns are not
-read; an empty table gives no rows.
+rows of one id and vector count as one vector and are answered one by one; of ties in cosine all are
+links; very long vectors are compared whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -205,9 +207,35 @@ def _graph(rows: list) -> tuple[Graph, list, np.ndarray]:
     return Graph(np.array([cols["v"][i] for i in order], np.float64), level, near), [cols["node"][i] for i in order], np.array([cols["n"][i] for i in order])
 
 
-def _search(batches, beam: int, least: float, type_):
-    """Rows come sorted by shard and block, a graph's before its queries; both may span batches."""
-    key, rows, graph = None, [], None
+class Forest:
+    """Links that join what no earlier one of the same graph has joined."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (parent := up.setdefault(x, x)) != x:
+            up[x] = up[parent]
+            x = up[x]
+        return x
+
+    def new(self, x, others: list) -> list:
+        out = []
+        for y in others:
+            a, b = self.root(x), self.root(y)
+            if a != b:
+                self.up[a] = b
+                out.append(y)
+        return out
+
+
+def _search(batches, beam: int, least: float, type_, asked):
+    """Rows come sorted by shard and block, a graph's before its queries; both may span batches.
+
+    Gives per query with links: their number of vectors, those of the forest, and all if it is asked.
+    """
+    key, rows, graph, forest = None, [], None, Forest()
     for b in batches:
         b = b.to_pydict()
         keys = list(zip(b["dim"], b["shard"], b["block"], b["kind"], strict=True))
@@ -218,7 +246,7 @@ def _search(batches, beam: int, least: float, type_):
             at = end
             if k[3] == 0:
                 if k != key:
-                    key, rows, graph = k, [], None
+                    key, rows, graph, forest = k, [], None, Forest()
                 rows.append(part)
                 continue
             if key is None or key[:3] != k[:3]:
@@ -226,13 +254,19 @@ def _search(batches, beam: int, least: float, type_):
             graph = graph or _graph(rows)
             g, nodes, n = graph
             found = g.linked(np.array(part["v"], np.float64), beam, least)
-            out = [(q, [nodes[i] for i in f if nodes[i] != q], sum(int(n[i]) for i in f if nodes[i] != q)) for q, f in zip(part["node"], found, strict=True)]
-            out = [x for x in out if x[1]]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in out], type_), "links": pa.array([x[1] for x in out], pa.list_(type_)), "n": pa.array([x[2] for x in out], pa.int64())})
-
-
-def _audit(classes: DataFrame, least: float, queries: int, id_type: str) -> DataFrame:
-    """All links of so many classes by brute force, as (node, truth)."""
+            links = [(q, [nodes[i] for i in f if nodes[i] != q], sum(int(n[i]) for i in f if nodes[i] != q)) for q, f in zip(part["node"], found, strict=True)]
+            links = [x for x in links if x[1]]
+            many = pa.list_(type_)
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array([q for q, _, _ in links], type_),
+                "n": pa.array([w for _, _, w in links], pa.int64()),
+                "forest": pa.array([forest.new(q, x) for q, x, _ in links], many),
+                "links": pa.array([x if q in asked.value else None for q, x, _ in links], many),
+            })
+
+
+def _audit(classes: DataFrame, least: float, queries: int, id_type: str):
+    """All links of so many classes by brute force, as (node, other); and a broadcast of these classes."""
     spark = classes.sparkSession
     asked = classes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(queries).select("node", "dim", "v").collect()
     by_dim = {}
@@ -256,7 +290,8 @@ def _audit(classes: DataFrame, least: float, queries: int, id_type: str) -> Data
 
     t = to_arrow_type(classes.schema["node"].dataType)
     schema = pa.schema([("node", t), ("other", t)])
-    return classes.select("node", "dim", "v").mapInArrow(compare, f"node {id_type}, other {id_type}")
+    truth = classes.select("node", "dim", "v").mapInArrow(compare, f"node {id_type}, other {id_type}")
+    return truth, spark.sparkContext.broadcast({r.node for r in asked})
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, beam: int = 32, n_shards: int = 8, shard_rows: int = 250_000, blocks: int = 3, audit_queries: int = 512, recall: float = 0.99) -> DataFrame:
@@ -281,17 +316,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty = lambda kind: F.lit(None).cast(kind)
     right = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("pos"), "node", "n", "v", empty("array<int>").alias("near"), empty("array<array<int>>").alias("upper"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
     both = left.unionByName(right).repartition(n_shards * blocks, "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
-    truth = materialize(_audit(classes, least, audit_queries, id_type))
+    truth, asked = _audit(classes, least, audit_queries, id_type)
+    truth = materialize(truth)
     n_true = truth.count()
+    schema = f"node {id_type}, n long, forest array<{id_type}>, links array<{id_type}>"
     while True:
-        found = materialize(both.mapInArrow(lambda it, beam=beam: _search(it, beam, least, arrow_type), f"node {id_type}, links array<{id_type}>, n long"))
-        pairs = found.select("node", F.explode("links").alias("other"))
+        found = materialize(both.mapInArrow(lambda it, beam=beam: _search(it, beam, least, arrow_type, asked), schema))
+        pairs = found.where("links is not null").select("node", F.explode("links").alias("other"))
         if not n_true or truth.join(pairs, ["node", "other"], "left_semi").count() >= recall * n_true or beam >= shard_rows:
             break
         forget(found)
         beam *= 2
     weights = found.groupBy("node").agg(F.sum("n").alias("others"))
-    edges = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    edges = found.select("node", F.explode("forest").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     labels = components(edges)
     known = classes.join(weights, "node", "left").join(labels, "node", "left")
     known = known.select(F.col("v").alias("cv"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))

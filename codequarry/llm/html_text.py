@@ -3,13 +3,17 @@
 A tokenizer and a tree builder with implied tags make a tree of elements; visibility rules drop what
 a browser doesn't show; the rest is laid out as text. Blocks start on lines of their own, with a
 blank line around paragraphs, headings, lists and tables; list items get markers and are indented by
-their depth; cells of a table are padded so that columns align; white space collapses except in
-preformatted text.
+their depth; cells of a table stand on a grid, with the columns and rows they span, and are padded so
+that columns align; white space collapses except in preformatted text. What is hidden by the property
+visibility hides its descendants until one is visible again. All options of a select are text.
 
 Each page is one row and is rendered by itself, so any split of the table is a good one; nothing
-is shuffled. All loops are over explicit stacks, so deep nesting is no limit.
+is shuffled. All loops are over explicit stacks, so deep nesting is no limit. Two limits keep the
+work and the output in proportion to the page: indents grow up to INDENT columns, and tables that
+are nested in TABLES others are laid out as blocks. As in browsers, colspan counts up to 1000; rowspan
+counts up to ROWS; numbers of more than nine digits are ignored.
 
-Defined cases: null and empty pages give empty text; text without tags is a paragraph; unclosed
+Defined cases: null and empty pages give empty text; very long pages are read whole; text without tags is a paragraph; unclosed
 comments, tags and quotes end with the page; unknown elements are inline; repeated rows are
 answered one by one; other columns are not read.
 """
@@ -19,7 +23,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,8 @@ _words = lambda s: frozenset(s.split())
 # Element names by role.
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp iframe noembed noframes")
-HIDDEN = _words("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math map area param source track select rp")
+HIDDEN = _words("head script style template noscript title iframe noembed noframes datalist object audio video canvas area param source track rp desc defs metadata annotation annotation-xml")
+TABLE = _words("table caption tr td th tbody thead tfoot")
 BLOCK = _words("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary ul table caption tr td th tbody thead tfoot")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol menu dl table figure fieldset")
 CLOSES_P = _words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul")
@@ -53,6 +59,9 @@ IMPLIED_END = {
     "body": (_words("head"), _words("")),
 }
 SCOPE = _words("table td th caption button object template html body")
+_P, _TABLE = _words("p"), _words("table")
+CELLS = _words("td th tr tbody thead tfoot caption")
+INDENT, TABLES, ROWS = 64, 8, 100
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?"""
@@ -62,7 +71,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+_NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_SHOW = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
@@ -85,29 +95,28 @@ def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("#root")
     stack = [root]
-    opened: Counter[str] = Counter()  # open elements by name, so that most tags need no look at the stack
+    places: dict[str, list[int]] = defaultdict(list)  # where open elements of a name stand, so that no tag needs a walk
 
     def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
         stack.append(node)
-        opened[node.tag] += 1
 
     def cut(k: int) -> None:
         for node in stack[k:]:
-            opened[node.tag] -= 1
+            places[node.tag].pop()
         del stack[k:]
 
+    def innermost(tags: frozenset) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     def close(ends: frozenset, until: frozenset) -> None:
         """Close the outermost open element of ends that stands within until."""
-        if not any(opened[t] for t in ends):
+        if not any(places.get(t) for t in ends):
             return
-        last = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in until:
-                break
-            if stack[k].tag in ends:
-                last = k
-        if last:
-            cut(last)
+        wall = innermost(until)
+        first = [p[k] for t in ends if (p := places.get(t)) and (k := bisect_right(p, wall)) < len(p)]
+        if first:
+            cut(min(first))
 
     at, n = 0, len(page)
     while at < n:
@@ -117,7 +126,7 @@ def parse(page: str) -> Node:
         if text is not None:
             top = stack[-1]
             if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not text.isspace():
-                _foster(stack).children.append(html.unescape(text))
+                _foster(stack, places["table"]).children.append(html.unescape(text))
             else:
                 top.children.append(html.unescape(text) if "&" in text else text)
             continue
@@ -128,21 +137,17 @@ def parse(page: str) -> Node:
         if m["end"] or m["end2"]:
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not (opened["p"] and _in_scope(stack, "p")):
+            elif name == "p" and innermost(_P) <= innermost(SCOPE):
                 stack[-1].children.append(Node("p"))
-            elif opened[name]:
-                scope = _words("table") if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else SCOPE
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        cut(k)
-                        break
-                    if stack[k].tag in scope and name not in ("table", "body", "html"):
-                        break
+            elif places.get(name):
+                scope = _TABLE if name in CELLS else SCOPE - {name}
+                if name in ("table", "body", "html") or innermost(scope) < places[name][-1]:
+                    cut(places[name][-1])
             continue
-        if name in ("html", "body") and opened[name]:
+        if name in ("html", "body") and places.get(name):
             continue
         if name in CLOSES_P:
-            close(_words("p"), SCOPE)
+            close(_P, SCOPE)
         if name in IMPLIED_END:
             close(*IMPLIED_END[name])
         if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -161,38 +166,35 @@ def parse(page: str) -> Node:
     return root
 
 
-def _in_scope(stack: list[Node], tag: str) -> bool:
-    for node in reversed(stack):
-        if node.tag == tag or node.tag in SCOPE:
-            return node.tag == tag
-    return False
-
-
 def _child(parent: Node, tag: str, attrs: str = "") -> Node:
     node = Node(tag, attrs)
     parent.children.append(node)
     return node
 
 
-def _foster(stack: list[Node]) -> Node:
+def _foster(stack: list[Node], tables: list[int]) -> Node:
     """Text straight in a table goes before it."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == "table":
-            parent = stack[k - 1]
-            if parent.children and parent.children[-1] is stack[k]:
-                holder = Node("div")
-                parent.children.insert(len(parent.children) - 1, holder)
-                return holder
-            return parent
-    return stack[-1]
-
-
-def visible(node: Node) -> bool:
+    if not tables:
+        return stack[-1]
+    k = tables[-1]
+    parent = stack[k - 1]
+    if parent.children and parent.children[-1] is stack[k]:
+        holder = Node("div")
+        parent.children.insert(len(parent.children) - 1, holder)
+        return holder
+    return parent
+
+
+def displayed(node: Node) -> bool:
     if node.tag in HIDDEN or (node.tag == "dialog" and node.attr("open") is None):
         return False
-    if node.attrs and (node.attr("hidden") is not None or _NO_SHOW.search(node.attr("style") or "")):
-        return False
-    return True
+    return not (node.attrs and (node.attr("hidden") is not None or _NO_SHOW.search(node.attr("style") or "")))
+
+
+def shows(node: Node, outer: bool) -> bool:
+    """Whether text straight in a node is visible, given that of its parent."""
+    own = _SHOW.search(node.attr("style") or "") if node.attrs else None
+    return own[1].lower() == "visible" if own else outer
 
 
 class Page:
@@ -226,7 +228,7 @@ class Page:
             self.gap = 0
         if not self.line:
             self.line = self.indent + self.marker
-            self.indent += " " * len(self.marker)
+            self.indent += " " * len(self.marker) if len(self.indent) < INDENT else ""
             self.marker = ""
         self.line += s
 
@@ -247,29 +249,53 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns it spans), each column as wide as its widest cell of one column."""
-    wide: list[int] = []
-    cells = []
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (text, columns, rows that a cell spans) as rows of (first column, columns, lines).
+
+    A column that a cell from above still spans holds an empty cell. Columns in which no cell starts
+    are left out.
+    """
+    taken: dict[int, int] = {}  # column: rows that it stays taken
+    out = []
     for row in rows:
-        at, out = 0, []
-        for text, span in row:
-            lines = text.split("\n")
-            out.append((at, span, lines))
-            wide += [0] * (at + span - len(wide))
+        at, cells, new = 0, [], []
+
+        def skip(at: int, cells: list) -> int:
+            while taken.get(at):
+                cells.append((at, 1, [""]))
+                at += 1
+            return at
+
+        for text, span, down in row:
+            at = skip(at, cells)
+            cells.append((at, span, text.split("\n")))
+            if down > 1:
+                new += [(c, down) for c in range(at, at + span)]
+            at += span
+        skip(at, cells)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n - 1 for c, n in new}
+        out.append(cells)
+    starts = sorted({at for cells in out for at, _, _ in cells})
+    return [[(k := bisect_left(starts, at), max(1, bisect_left(starts, at + span) - k), lines) for at, span, lines in cells] for cells in out]
+
+
+def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of the rows, each column as wide as its widest cell of one column."""
+    cells = grid(rows)
+    wide = [0] * max((at + span for row in cells for at, span, _ in row), default=0)
+    for row in cells:
+        for at, span, lines in row:
             if span == 1:
                 wide[at] = max(wide[at], *map(width, lines))
-            at += span
-        cells.append(out)
-    for out in cells:
-        for at, span, lines in out:
+    for row in cells:
+        for at, span, lines in row:
             lack = max(map(width, lines)) - sum(wide[at : at + span]) - 3 * (span - 1)
             wide[at + span - 1] += max(0, lack)
     made = []
-    for out in cells:
-        for k in range(max((len(lines) for _, _, lines in out), default=0)):
+    for row in cells:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
             parts = []
-            for at, span, lines in out:
+            for at, span, lines in row:
                 s = lines[k] if k < len(lines) else ""
                 parts.append(s + " " * (sum(wide[at : at + span]) + 3 * (span - 1) - width(s)))
             made.append(" | ".join(parts).rstrip())
@@ -284,27 +310,32 @@ def render(page: str | None) -> str:
     """The visible text of a page."""
     out = Page()
     pages, tables, lists = [], [], []
-    pre = 0
+    pre = flat = 0  # open preformatted elements; tables that are laid out as blocks
+    seen = [True]  # visibility of the open elements
     todo: list = [(parse(page or ""), False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            out.text(node, pre > 0)
+            if seen[-1]:
+                out.text(node, pre > 0)
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if not displayed(node):
                 continue
             if tag == "br":
                 if out.gap or not out.line:
                     out.put("")
                 out.end_line(True)
                 continue
+            seen.append(shows(node, seen[-1]))
+            if tag == "table" and (flat or len(tables) >= TABLES):
+                flat += 1
             if tag == "details" and node.attr("open") is None:
                 kids = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"]
             else:
                 kids = node.children
-            if tag in ("td", "th", "caption"):
+            if tag in ("td", "th", "caption") and not flat:
                 pages.append(out)
                 out = Page()
             elif tag in BLOCK:
@@ -322,19 +353,24 @@ def render(page: str | None) -> str:
                 out.marker = f"{n}. " if numbered else "- "
             elif tag in ("dd", "blockquote"):
                 todo.append((node, (out.indent, out.marker)))
-                out.indent += "  "
-            elif tag == "table":
+                out.indent += "  " if len(out.indent) < INDENT else ""
+            elif tag == "table" and not flat:
                 tables.append(([], []))
                 pages.append(out)
                 out = Page()
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and not flat:
                 tables[-1][0].append([])
             pre += tag in ("pre", "textarea", "xmp")
             if tag not in ("li", "dd", "blockquote"):
                 todo.append((node, True))
             todo += [(c, False) for c in reversed(kids)]
             continue
+        seen.pop()
         pre -= tag in ("pre", "textarea", "xmp")
+        if flat and tag in TABLE:
+            flat -= tag == "table"
+            out.due(1)
+            continue
         if tag in ("ul", "ol", "menu"):
             lists.pop()
         elif leaving is not True:
@@ -348,7 +384,8 @@ def render(page: str | None) -> str:
             else:
                 if not tables[-1][0]:
                     tables[-1][0].append([])
-                tables[-1][0][-1].append((text, max(1, min(1000, _number(node.attr("colspan"), 1)))))
+                down = _number(node.attr("rowspan"), 1)
+                tables[-1][0][-1].append((text, max(1, min(1000, _number(node.attr("colspan"), 1))), ROWS if down == 0 else max(1, min(ROWS, down))))
         elif tag == "table":
             rows, captions = tables.pop()
             stray, out = out.done(), pages.pop()

@@ -1,18 +1,20 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 Texts are lower-cased (A-Z) and reduced to words, runs of ASCII letters and digits and of
-characters beyond ASCII, with one blank between. Rules are regexes over that form. A rule runs on a
-text only if its keyword stands in it, and no rule runs on a text without any of the gate words.
-There are rules for SPDX tags, for fixed sentences of licence texts, and for licence names in frames.
-The further identifiers of an SPDX expression are looked for only in texts with the word spdx. A
-detection is suppressed if another one covers its interval and is longer, or has the same interval
-and stands earlier in the rule order.
+characters beyond ASCII, with one blank between. Rules are regexes over that form, in three tables:
+SPDX tags, sentences of licence texts and notices, and licence names, which may stand in a frame
+such as "released under the terms of". A rule runs on a text only if its keyword stands in it, and
+no rule runs on a text without any of the gate words; each match of a rule holds its keyword and a
+gate word, so neither loses a match. Only the further identifiers of an SPDX expression, which are
+also plain words, are looked for by design in texts with an SPDX tag alone. A detection is suppressed if another one covers its interval
+and is longer, or has the same interval and stands earlier in the rule order.
 
 The base phrases are counted apart from the rules and always keep their labels.
 
 Defined cases: null counts as empty; empty texts have no words, no labels and score 0; null for
-first and last place where there is none; repeated rows are answered one by one; other columns are
-not read. Nothing is shuffled.
+first and last place where there is none; very long texts and very many matches are handled in time
+that grows with them; repeated rows are answered one by one; other columns are not read. Nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -20,298 +22,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm import license_rules as R
+from codequarry.llm.common import let, running
+
 #: Base phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Label, keyword, regex of the licence's name. The keyword stands as a word in every
-#: match, but for names fused with a version (gplv2), which have rules of their own.
-NAMES = [
-    ("agpl-3.0", "affero", "gnu affero general public licen[cs]e(?: v| version)? ?3(?: 0)?"),
-    ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"),
-    ("agpl", "agpl", "agpl(?: ?v?3(?: 0)?)?(?: only| or later)?"),
-    ("agpl", "agplv3", "agplv3(?: 0)?(?: only| or later)?"),
-    ("agpl", "agpl3", "agpl3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?2 1"),
-    ("lgpl-3.0", "lesser", "gnu lesser general public licen[cs]e(?: v| version) ?3(?: 0)?"),
-    ("lgpl", "lesser", "gnu lesser general public licen[cs]e"),
-    ("lgpl", "library", "gnu library general public licen[cs]e"),
-    ("lgpl", "lgpl", "lgpl(?: ?v?(?:2 0|2 1|2|3 0|3))?(?: only| or later)?"),
-    ("lgpl", "lgplv2", "lgplv2(?: [01])?(?: only| or later)?"),
-    ("lgpl", "lgpl2", "lgpl2(?: [01])?(?: only| or later)?"),
-    ("lgpl", "lgplv3", "lgplv3(?: 0)?(?: only| or later)?"),
-    ("lgpl", "lgpl3", "lgpl3(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "gnu", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?2(?: 0)?"),
-    ("gpl-3.0", "gnu", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?3(?: 0)?"),
-    ("gpl", "gnu", "gnu general public licen[cs]e"),
-    ("gpl-2.0", "gpl", "gpl ?v?2(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "gplv2", "gplv2(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "gpl2", "gpl2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gpl", "gpl ?v?3(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gplv3", "gplv3(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gpl3", "gpl3(?: 0)?(?: only| or later)?"),
-    ("gfdl", "documentation", "gnu free documentation licen[cs]e(?: version 1 [123])?"),
-    ("apache-2.0", "apache", "apache(?: software)? licen[cs]e(?: version)? ?v?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version)? 1 1"),
-    ("apache", "apache", "apache(?: software)? licen[cs]e"),
-    ("mit", "mit", "(?:the )?mit licen[cs]e"),
-    ("mit", "expat", "expat licen[cs]e"),
-    ("mit-0", "mit", "mit no attribution"),
-    ("x11", "x11", "x11 licen[cs]e"),
-    ("isc", "isc", "isc licen[cs]e"),
-    ("bsd-2-clause", "bsd", "(?:simplified|2 clause) bsd(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", "(?:new|revised|modified|3 clause) bsd(?: licen[cs]e)?"),
-    ("bsd-4-clause", "bsd", "(?:original|old|4 clause) bsd(?: licen[cs]e)?"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[cs]e)?"),
-    ("bsd-0-clause", "0bsd", "0bsd"),
-    ("bsd", "bsd", "bsd(?: style)? licen[cs]e"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e(?: version)? v?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public licen[cs]e(?: version)? v?2(?: 0)?"),
-    ("mpl", "mozilla", "mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", "eclipse public licen[cs]e(?: version)? v?1 0"),
-    ("epl-2.0", "eclipse", "eclipse public licen[cs]e(?: version)? v?2 0"),
-    ("epl", "eclipse", "eclipse public licen[cs]e"),
-    ("edl-1.0", "eclipse", "eclipse distribution licen[cs]e"),
-    ("cddl", "cddl", "cddl(?: 1 [01])?"),
-    ("cddl", "development", "common development and distribution licen[cs]e(?: version 1 [01])?"),
-    ("cpl-1.0", "common", "common public licen[cs]e(?: version 1 0)?"),
-    ("eupl", "european", "european union public licen[cs]e(?: v(?:ersion )?1 [012])?"),
-    ("eupl", "eupl", "eupl(?: v?1 [012])?"),
-    ("cecill", "cecill", "cecill(?: [abc])?(?: licen[cs]e)?"),
-    ("artistic-2.0", "artistic", "artistic licen[cs]e(?: version)? 2(?: 0)?"),
-    ("artistic", "artistic", "artistic licen[cs]e"),
-    ("boost-1.0", "boost", "boost software licen[cs]e(?: version 1 0)?"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"),
-    ("libpng", "libpng", "libpng licen[cs]e"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("wtfpl", "fuck", "do what the fuck you want to public licen[cs]e"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1234] 0)?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1234] 0)?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1234] 0)?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1234] 0)?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1234] 0)?"),
-    ("cc-by", "cc", "cc by(?: [1234] 0)?"),
-    ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
-    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative)?s?"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike"),
-    ("cc-by", "creative", "creative commons attribution"),
-    ("odbl", "open", "open database licen[cs]e"),
-    ("odc-by", "open", "open data commons attribution licen[cs]e"),
-    ("pddl", "public", "public domain dedication and licen[cs]e"),
-    ("public-domain", "public", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("ofl-1.1", "sil", "sil open font licen[cs]e(?: version 1 1)?"),
-    ("psf-2.0", "python", "python software foundation licen[cs]e(?: version 2)?"),
-    ("php-3.0", "php", "php licen[cs]e(?: version 3 0(?:1)?)?"),
-    ("ruby", "ruby", "ruby licen[cs]e"),
-    ("postgresql", "postgresql", "postgresql licen[cs]e"),
-    ("openssl", "openssl", "openssl licen[cs]e"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source licen[cs]e"),
-    ("w3c", "w3c", "w3c software (?:notice and )?licen[cs]e"),
-    ("ms-pl", "microsoft", "microsoft public licen[cs]e"),
-    ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"),
-    ("upl-1.0", "universal", "universal permissive licen[cs]e"),
-    ("sspl-1.0", "server", "server side public licen[cs]e"),
-    ("bsl-1.1", "business", "business source licen[cs]e(?: 1 1)?"),
-    ("elastic-2.0", "elastic", "elastic licen[cs]e(?: 2 0)?"),
-    ("proprietary", "rights", "all rights reserved"),
-]
-#: Weight and frame of the forms that a licence's name is looked for in; {} is the name.
-FORMS = [
-    (1.0, "spdx license identifier {}"),
-    (0.95, "(?:licen[cs]ed|released|distributed|published|available|provided|redistributable) under (?:the )?(?:terms of )?(?:the )?{}"),
-    (0.85, "under the (?:terms|conditions) (?:and conditions )?of (?:the )?{}"),
-    (0.6, "{}"),
-]
-#: Label, words of an SPDX identifier. A regex, since a version may follow.
-SPDX = [
-    ("mit", "mit"),
-    ("mit-0", "mit 0"),
-    ("apache-1.1", "apache 1 1"),
-    ("apache-2.0", "apache 2 0"),
-    ("isc", "isc"),
-    ("x11", "x11"),
-    ("bsd-0-clause", "0bsd"),
-    ("bsd-2-clause", "bsd 2 clause(?: patent)?"),
-    ("bsd-3-clause", "bsd 3 clause(?: clear)?"),
-    ("bsd-4-clause", "bsd 4 clause"),
-    ("gpl-1.0", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "gpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-1.0", "agpl 1 0(?: only| or later)?"),
-    ("agpl-3.0", "agpl 3 0(?: only| or later)?"),
-    ("gfdl", "gfdl 1 [123](?: (?:no )?invariants)?(?: only| or later)?"),
-    ("mpl-1.0", "mpl 1 0"),
-    ("mpl-1.1", "mpl 1 1"),
-    ("mpl-2.0", "mpl 2 0(?: no copyleft exception)?"),
-    ("epl-1.0", "epl 1 0"),
-    ("epl-2.0", "epl 2 0"),
-    ("cddl", "cddl 1 [01]"),
-    ("cpl-1.0", "cpl 1 0"),
-    ("eupl", "eupl 1 [012]"),
-    ("cecill", "cecill(?: [12] [01]| [bc])"),
-    ("artistic", "artistic 1 0(?: perl| cl8)?"),
-    ("artistic-2.0", "artistic 2 0"),
-    ("boost-1.0", "bsl 1 0"),
-    ("bsl-1.1", "busl 1 1"),
-    ("zlib", "zlib"),
-    ("libpng", "libpng(?: 2 0)?"),
-    ("unlicense", "unlicense"),
-    ("wtfpl", "wtfpl"),
-    ("cc0-1.0", "cc0 1 0"),
-    ("cc-by-nc-nd", "cc by nc nd [1234] [05]"),
-    ("cc-by-nc-sa", "cc by nc sa [1234] [05]"),
-    ("cc-by-nc", "cc by nc [1234] [05]"),
-    ("cc-by-nd", "cc by nd [1234] [05]"),
-    ("cc-by-sa", "cc by sa [1234] [05]"),
-    ("cc-by", "cc by [1234] [05]"),
-    ("odbl", "odbl 1 0"),
-    ("odc-by", "odc by 1 0"),
-    ("pddl", "pddl 1 0"),
-    ("ofl-1.1", "ofl 1 1(?: (?:no )?rfn)?"),
-    ("psf-2.0", "(?:psf|python) 2 0(?: 1)?"),
-    ("php-3.0", "php 3 01?"),
-    ("ruby", "ruby"),
-    ("postgresql", "postgresql"),
-    ("openssl", "openssl"),
-    ("ncsa", "ncsa"),
-    ("w3c", "w3c"),
-    ("ms-pl", "ms pl"),
-    ("ms-rl", "ms rl"),
-    ("upl-1.0", "upl 1 0"),
-    ("sspl-1.0", "sspl 1 0"),
-    ("elastic-2.0", "elastic 2 0"),
-    ("afl-3.0", "afl 3 0"),
-    ("blueoak-1.0.0", "blueoak 1 0 0"),
-    ("curl", "curl"),
-    ("vim", "vim"),
-]
-#: Weight and frame of an SPDX identifier. The second form finds the further ones of an
-#: expression by the word before, so that no interval covers that of the first.
-SPDX_FORMS = [(1.0, "spdx license identifier {}"), (0.6, "(?:[0-4]|mit|isc|x11|0bsd|zlib|clause|only|later|unlicense|wtfpl|ncsa|exception) (?:or|and) {}")]
-#: Of identifiers that are also common words, only the first form is looked for.
-ALSO_WORDS = ["ruby", "postgresql", "openssl", "w3c", "curl", "vim"]
-
-#: Weight, label, keyword, regex of a fixed sentence of the licence's own text.
-TEXTS = [
-    (0.95, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction)?"),
-    (0.95, "ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software without restriction"),
-    (0.95, "boost-1.0", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
-    (0.95, "ofl-1.1", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
-    (0.6, "mit", "hereby", "permission is hereby granted free of charge"),
-    (0.95, "isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
-    (0.95, "bsd-0-clause", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?: the software is provided)?"),
-    (0.95, "postgresql", "hereby", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
-    (0.95, "x11", "consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
-    (0.85, "bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
-    (0.95, "bsd-2-clause", "distribution", "materials provided with the distribution this software is provided by"),
-    (0.95, "bsd-3-clause", "endorse", "may (?:not )?be used to endorse or promote products derived from this software"),
-    (0.95, "bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    (0.95, "apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution"),
-    (0.95, "gpl-2.0", "gnu", "the gnu general public licen[cs]e is intended to guarantee your freedom to share and change free software"),
-    (0.95, "gpl-3.0", "gnu", "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
-    (0.95, "agpl-3.0", "affero", "the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
-    (0.95, "lgpl-3.0", "lesser", "this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e"),
-    (0.95, "mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
-    (0.95, "epl-2.0", "eclipse", "eclipse public licen[cs]e v 2 0"),
-    (0.95, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    (0.95, "zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
-    (0.95, "wtfpl", "fuck", "you just do what the fuck you want to"),
-    (0.95, "cc0-1.0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
-    (0.95, "cc0-1.0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    (0.95, "artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
-    (0.95, "psf-2.0", "python", "this licen[cs]e agreement is between the python software foundation"),
-    (0.95, "openssl", "openssl", "this product includes software developed by the openssl project"),
-]
-
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOUND = "struct<start:int,back:int,priority:int,label:string,weight:double>"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, regex, weight): SPDX tags, texts, every name in every form, further SPDX identifiers."""
-    words = lambda s: "(?<= )" + s + "(?= )"
-    tag, further = SPDX_FORMS
-    out = [(label, "spdx", words(tag[1].format(f"(?:{x})")), tag[0]) for label, x in SPDX]
-    out += [(label, keyword, words(x), weight) for weight, label, keyword, x in TEXTS]
-    out += [(label, keyword, words(form.format(f"(?:{name})")), weight) for weight, form in FORMS for label, keyword, name in NAMES]
-    out += [(label, "spdx", words(further[1].format(f"(?:{x})")), further[0]) for label, x in SPDX if x not in ALSO_WORDS]
+    """(priority, label, keyword, regex, weight): SPDX tags, texts, names, further SPDX identifiers."""
+    out = [(label, "spdx licen", R.SPDX_TAG + x, R.TAG) for label, x in R.SPDX]
+    out += [(label, keyword, x, R.TEXT) for label, keyword, x in R.TEXTS]
+    out += [(label, keyword, R.FRAME + x, R.BARE) for label, keyword, x in R.NAMES]
+    out += [(label, "spdx licen", R.SPDX_NEXT + x, R.NEXT) for label, x in R.SPDX if x not in R.ALSO_WORDS]
     return [(k, *rule) for k, rule in enumerate(out)]
 
 
-#: Words of which one must stand in a text before any rule is tried.
-GATE = sorted({keyword for _, _, keyword, _, _ in rules()})
+def lowered(text: Column) -> Column:
+    """A-Z as a-z. lower() changes letters beyond ASCII too, but only two of them into ASCII letters."""
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(odd, F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
 
 
 def normalized(text: Column) -> Column:
-    """Words between single blanks, with a blank at either end."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), _SEPARATORS, " ")
+    """Words between single blanks, with a blank at either end; letters beyond ASCII in any case."""
+    return F.regexp_replace(F.concat(F.lit(" "), lowered(F.coalesce(text, F.lit(""))), F.lit(" ")), _SEPARATORS, " ")
 
 
 def _blanks(s: Column) -> Column:
     return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _places(size: int):
     """Of a text cut at a phrase of so many words: number of places, first and last start."""
     last = lambda p: F.col("n_words") - (_blanks(F.element_at(p, -1)) - 1) - size
     return lambda p: F.struct((F.size(p) - 1).alias("n"), (_blanks(F.element_at(p, 1)) - 1).alias("first"), last(p).alias("last"))
 
 
-def _detections(norm: Column, rule: Column) -> Column:
-    """All matches of a rule, with their character intervals: gaps between matches add up."""
-    parts = F.struct(F.split(norm, rule["regex"], -1).alias("gaps"), F.regexp_extract_all(norm, rule["regex"], F.lit(0)).alias("hits"))
+def _weight(hit: Column, least: Column) -> Column:
+    stated = hit.rlike("^(?:licen[cs]ed|released|distributed|published|available|provided|redistributable) under ")
+    return F.greatest(least, F.when(stated, F.lit(R.STATED)).when(F.startswith(hit, F.lit("under ")), F.lit(R.FRAMED)).otherwise(F.lit(0.0)))
 
-    def placed(x):
-        steps = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("len")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,priority:int,label:string,weight:double>>").alias("out"))
 
-        def step(acc, s):
-            a = acc["at"] + s["gap"]
-            d = F.struct(a.alias("start"), (a + s["len"]).alias("stop"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))
-            return F.struct((a + s["len"]).alias("at"), F.concat(acc["out"], F.array(d)).alias("out"))
+def _detections(norm: Column) -> Column:
+    """All matches of all rules whose keyword stands in a text, with their character intervals."""
+    by_keyword: dict[str, list[Column]] = {}
+    for p, _, keyword, regex, _ in rules():
+        words = F.lit(f"(?<= ){regex}(?= )")
+        found = F.struct(F.lit(p).alias("priority"), F.split(norm, words, -1).alias("gaps"), F.regexp_extract_all(norm, words, F.lit(0)).alias("hits"))
+        by_keyword.setdefault(keyword, []).append(found)
+    # a keyword is looked for once, however many rules it has
+    tried = [F.when(F.contains(norm, F.lit(k)), F.array(*found)) for k, found in by_keyword.items()]
+    matched = F.filter(F.flatten(F.array_compact(F.array(*tried))), lambda r: F.size(r["hits"]) > 0)
+    known = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(w).alias("weight")) for _, label, _, _, w in rules()])
+
+    def placed(r):
+        """Gaps between matches add up to their places."""
+        steps = F.arrays_zip(F.slice(r["gaps"], F.lit(1), F.size(r["hits"])).alias("gap"), r["hits"].alias("hit"))
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        def step(at, s):
+            start = at + F.char_length(s["gap"])
+            stop = start + F.char_length(s["hit"])
+            rule = F.element_at(known, r["priority"] + 1)
+            d = F.struct(start.alias("start"), (-stop).alias("back"), r["priority"].alias("priority"), rule["label"].alias("label"), _weight(s["hit"], rule["weight"]).alias("weight"))
+            return stop, F.array(d)
 
-    return _let(parts, placed)
+        return running(steps, F.lit(0), f"array<{_FOUND}>", step)
 
+    return F.flatten(F.transform(matched, placed))
 
-def _survivors(all_found: Column) -> Column:
-    def covered(d):
-        wider = lambda e: (e["start"] <= d["start"]) & (e["stop"] >= d["stop"]) & ((e["stop"] - e["start"] > d["stop"] - d["start"]) | (e["priority"] < d["priority"]))
-        return F.exists(all_found, wider)
 
-    return F.filter(all_found, lambda d: ~covered(d))
+def _survivors(found: Column) -> Column:
+    """A sweep from left to right, the longest first where several start: what ends no further than one before is covered."""
+    ordered = F.array_sort(found)
+    return let(ordered, lambda ds: running(ds, F.lit(-1), f"array<{_FOUND}>", lambda end, d: (F.greatest(end, -d["back"]), F.when(-d["back"] > end, F.array(d)).otherwise(F.array().cast(f"array<{_FOUND}>")))))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, places (phrase count, first, last start), and surviving detections."""
-    by_keyword: dict[str, list[Column]] = {}
-    for p, la, k, r, w in rules():
-        by_keyword.setdefault(k, []).append(F.struct(F.lit(p).alias("priority"), F.lit(la).alias("label"), F.lit(r).alias("regex"), F.lit(w).alias("weight")))
-    # a keyword is looked for once, however many rules it has
-    table = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*rs).alias("rules")) for k, rs in by_keyword.items()])
     out = docs.select(F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("norm"))
     out = out.withColumn("n_words", _blanks(F.col("norm")) - 1)
     for k, (phrase, _) in enumerate(PHRASES):
         present = F.contains("norm", F.lit(f" {phrase} "))
-        out = out.withColumn(f"p{k}", F.when(present, _let(F.split("norm", f"(?<= ){phrase}(?= )", -1), _places(len(phrase.split())))))
-    gated = F.col("norm").rlike(" (?:" + "|".join(GATE) + ") ")
-    tried = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("norm"), g["keyword"])), lambda g: g["rules"]))
-    found = _let(F.flatten(F.transform(tried, lambda r: _detections(F.col("norm"), r))), _survivors)
-    out = out.withColumn("detections", F.when(gated, found))
+        out = out.withColumn(f"p{k}", F.when(present, let(F.split("norm", f"(?<= ){phrase}(?= )", -1), _places(len(phrase.split())))))
+    gated = F.lit(False)
+    for word in R.GATE:
+        gated = gated | F.contains("norm", F.lit(word))
+    out = out.withColumn("detections", F.when(gated, _survivors(_detections(F.col("norm")))))
     ps = [F.col(f"p{k}") for k in range(len(PHRASES))]
     return out.select(
         F.col("id").alias(id_col),
@@ -320,7 +121,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.least(*[p["first"] for p in ps]).alias("first_word"),
         F.greatest(*[p["last"] for p in ps]).alias("last_word"),
         F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(ps, PHRASES, strict=True)])).alias("base_labels"),
-        F.coalesce("detections", F.array().cast("array<struct<start:int,stop:int,priority:int,label:string,weight:double>>")).alias("detections"),
+        F.coalesce(F.transform("detections", lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("stop"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"))), F.array().cast("array<struct<start:int,stop:int,priority:int,label:string,weight:double>>")).alias("detections"),
     )
 
 

@@ -1,28 +1,26 @@
 """Quality classification by compression with two zstandard dictionaries.
 
-One dictionary is built from good and one from bad labelled texts. A text that is like the good
-ones is shortened more by the good dictionary. The difference of the two compressed sizes, over
-their sum and over the text's length, is calibrated to a probability by a logistic model, which
-also sees the compressed share of the text with the good dictionary and with none, and the
-logarithm of the length, so that repetition and short texts are judged rightly.
+One dictionary is built from good and one from bad labelled texts: pieces of the whole texts, in
+the order of their hashes, up to `dictionary_bytes`. A text that is like the good ones is shortened
+more by the good dictionary. The difference of the two compressed sizes over the text's length is
+all that the score is made of: a logistic curve calibrates it to a probability.
 
 The dictionaries are built on one half and the calibration is fitted on the other half of at most
 `sample_docs` labelled rows with at most `sample_chars` characters in all, those that come first by
-a hash of the id. All rows are scored whole, in one pass without a shuffle; what is broadcast has a
-fixed size.
+a hash of the id; texts of more than an eighth of `sample_chars` are passed over. All rows are
+scored whole, in one pass without a shuffle; what is broadcast has a fixed size.
 
-Defined cases: null counts as empty; an empty text is scored by its lengths like any other;
-repeated rows are scored one by one; labels that are null or belong to no row are ignored; if the
-rows that may be learnt from have one label or none, every score is the share of label 1 (0.5 if
-there is none); other columns are neither read nor changed.
+Defined cases: null counts as empty; an empty text has the score of no difference; very long texts
+are compressed whole; repeated rows are scored one by one; labels that are null or belong to no row
+are ignored; if the rows that may be learnt from have one label or none, every score is the share of
+label 1 (0.5 if there is none); other columns are neither read nor changed.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,67 +28,71 @@ from pyspark.sql import types as T
 
 from codequarry.llm.common import fold, labelled_sample
 
-DICTIONARY_BYTES = 112_640
-LEVEL = 3
-SAMPLE_BYTES = 4096  # of a text, for the dictionaries
+LEVEL = 9
+PIECE = 4096  # bytes of a text that enter a dictionary together
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; the raw texts if they are too few to train on."""
-    parts = [t[:SAMPLE_BYTES] for t in texts if t]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(parts)[-DICTIONARY_BYTES:]
+def dictionary(texts: list[bytes], dictionary_bytes: int) -> bytes:
+    """Pieces of all texts, in the order of their hashes, as many as there is room for."""
+    pieces = sorted((t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)), key=lambda p: (xxhash.xxh3_64_intdigest(p), p))
+    out, n = [], 0
+    for p in pieces:
+        if n + len(p) <= dictionary_bytes:
+            out.append(p)
+            n += len(p)
+    return b"".join(out)
 
 
 class Sizes:
-    """Compressed sizes of a text: with the good dictionary, with the bad one, with none."""
+    """The normalised difference of a text's compressed sizes with the bad and the good dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
-        made = [zstandard.ZstdCompressionDict(d) if d else None for d in (good, bad)]
-        self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if d else zstandard.ZstdCompressor(level=LEVEL) for d in (*made, None)]
-
-    def features(self, text: bytes) -> list[float]:
-        good, bad, plain = (len(c.compress(text)) for c in self.by)
-        n = len(text) + 1
-        return [(bad - good) / (bad + good), (bad - good) / n, good / n, plain / n, math.log(n)]
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, spread and weights of a ridge logistic model, by Newton steps."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.c_[np.clip((x - mean) / spread, -4, 4), np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+        self.by = []
+        for d in (good, bad):
+            made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(d) >= 8 else None
+            if made:
+                made.precompute_compress(level=LEVEL)
+            self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made) if made else zstandard.ZstdCompressor(level=LEVEL))
+
+    def difference(self, text: bytes) -> float:
+        good, bad = (len(c.compress(text)) for c in self.by)
+        return (bad - good) / (len(text) + 1)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a ridge logistic curve, by Newton steps."""
+    spread = x.std() + 1e-9
+    z = np.c_[x / spread, np.ones(len(x))]
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
         step = np.linalg.solve(hessian, z.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return mean, spread, w
+    return float(w[0] / spread), float(w[1])
 
 
-def learn(rows: list[tuple[bytes, int]]) -> dict:
+def learn(rows: list[tuple[bytes, int]], dictionary_bytes: int = 1 << 19) -> dict:
     build, rest = rows[::2], rows[1::2]
     y = np.array([y for _, y in rest], float)
     if len(set(y)) < 2 or len({y for _, y in build}) < 2:
         return {"share": float(np.mean([y for _, y in rows])) if rows else 0.5}
-    good, bad = (dictionary([t for t, y in build if y == k]) for k in (1, 0))
+    good, bad = (dictionary([t for t, y in build if y == k], dictionary_bytes) for k in (1, 0))
     sizes = Sizes(good, bad)
-    mean, spread, w = calibrate(np.array([sizes.features(t) for t, _ in rest]), y)
-    return {"good": good, "bad": bad, "mean": mean, "spread": spread, "w": w}
+    slope, offset = calibrate(np.array([sizes.difference(t) for t, _ in rest]), y)
+    return {"good": good, "bad": bad, "slope": slope, "offset": offset}
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, sample_chars: int = 32_000_000):
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 8000, sample_chars: int = 32_000_000, dictionary_bytes: int = 1 << 19):
     """A broadcast model. may_learn is a condition on the column id of the labels."""
     rows = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, id_col, text_col, sample_docs, sample_chars)
-    return docs.sparkSession.sparkContext.broadcast(learn([(t.encode(), y) for t, y in rows]))
+    return docs.sparkSession.sparkContext.broadcast(learn([(t.encode(), y) for t, y in rows], dictionary_bytes))
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score and size_difference (over the sum of sizes)."""
+    """Per row: id, score and size_difference (over the text's length)."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("size_difference", T.DoubleType())])
 
     def run(batches):
@@ -98,13 +100,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         sizes = None if "share" in m else Sizes(m["good"], m["bad"])
         for b in batches:
             texts = [t or b"" for t in b.column("text").to_pylist()]
-            if sizes is None:
-                p, d = [m["share"]] * len(texts), [0.0] * len(texts)
-            else:
-                x = np.array([sizes.features(t) for t in texts]).reshape(len(texts), -1)
-                d = x[:, 0] if len(texts) else x.ravel()
-                z = np.clip((x - m["mean"]) / m["spread"], -4, 4) @ m["w"][:-1] + m["w"][-1] if len(texts) else d
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            d = np.array([sizes.difference(t) if sizes else 0.0 for t in texts])
+            p = 1 / (1 + np.exp(-np.clip(d * m["slope"] + m["offset"], -30, 30))) if sizes else np.full(len(texts), m["share"])
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "score": pa.array(p, pa.float64()), "size_difference": pa.array(d, pa.float64())})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

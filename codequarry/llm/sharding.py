@@ -5,21 +5,23 @@ shard. At first each group is one, with all its bytes in one place; then the two
 of largest spread are combined, the largest place of one with the smallest of the other, until one
 is left.
 
-Groups that are large against a bucket's share are combined first; by their size there are at most
-4 * n_shards for each bucket. Each bucket of the other groups (a hash of the text, `bucket_groups`
-groups on average) is a task of its own. It starts with one more partial partition, its share of
-the sums of the large groups, whose places name the shards; so each bucket evens out a part of what
-the large groups left uneven.
+The groups of more than 1/LARGE of a shard's fair share, of which there are at most n_shards * LARGE,
+are combined first, by the driver. The other groups are combined in tasks, one for each bucket (a
+hash of the text, `bucket_groups` groups on average); what a bucket leaves is one partial partition.
+Those are combined in turn, up to `bucket_groups` in a task, until one is left. Each task starts with
+one more partial partition, its share of the sums of the large groups, so that the others even out
+what the large ones left uneven; in the last task the places of that share name the shards.
 
 A group of more bytes than a shard's fair share can't be balanced whole. Only such groups (fewer
 than the shards) are cut, into pieces by a hash of the id, which are then groups of their own.
 
-Slots number a shard's rows without gaps: rows are numbered in many chunks of each shard, and each
-chunk starts where those before it end, so no task holds a whole shard.
+Slots number a shard's rows without gaps: rows are numbered in chunks of about `chunk_rows`, and
+each chunk starts where those before it end, so no task holds a whole shard.
 
 Defined cases: a null text has size 1 and the crc32 of no bytes, and shares its group with empty
-texts; repeated rows get a slot each; rows with a null id are placed like others; an empty table
-gives no rows; other columns are not read.
+texts; very long texts count with all their bytes; repeated rows get a slot each; rows with a null
+id are placed like others; ties in size go by the text's hash; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import materialize
 
 PIECES = 1024
+LARGE = 512
 
 
 def difference(sizes: list[list[int]], n_shards: int) -> tuple[list[int], list[list[int]]]:
@@ -80,42 +83,67 @@ def difference(sizes: list[list[int]], n_shards: int) -> tuple[list[int], list[l
     return sums[top], place[:n]
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = 100_000, chunks: int = 256) -> DataFrame:
+def _combine(nodes: DataFrame, n_nodes: int, keys: list[str], n_shards: int, large_sums: list[int], fan: int) -> tuple[DataFrame, DataFrame, int]:
+    """Combine the partial partitions of nodes(*keys, sums) in tasks of about fan each.
+
+    Returns, written down, (*keys, parent, places), where a node's sums stand in its parent, the
+    parents as nodes(node, sums), and their number. The places of an only parent are the shards.
+    """
+    n = max(1, -(-n_nodes // fan))
+    share = [s // n for s in large_sums]
+    fields = [f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys]
+    dealt = nodes.withColumn("parent", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long"))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(most=[max(s) for s in pdf["sums"]]).sort_values(["most", *keys], ascending=[False, *[True] * len(keys)], ignore_index=True)
+        sums = [[int(x) for x in s] for s in pdf["sums"]]
+        _, places = difference([*sums, share], n_shards)
+        named = {place: k for k, place in enumerate(places[-1])} if n == 1 else {k: k for k in range(n_shards)}
+        total = [0] * n_shards
+        places = [[named[x] for x in p] for p in places[:-1]]
+        for s, p in zip(sums, places, strict=True):
+            for x, k in zip(s, p, strict=True):
+                total[k] += x
+        out = pdf[[*keys, "parent"]].assign(places=places, sums=None)
+        last = pd.DataFrame([{**dict.fromkeys(keys), "parent": pdf["parent"].iloc[0], "places": None, "sums": total}])
+        return pd.concat([out.astype(object), last.astype(object)], ignore_index=True)
+
+    made = materialize(dealt.groupBy("parent").applyInPandas(task, ", ".join([*fields, "parent long", "places array<int>", "sums array<long>"])))
+    return made.where("places is not null").drop("sums"), made.where("sums is not null").select(F.col("parent").alias("node"), "sums"), n
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = 100_000, chunk_rows: int = 50_000) -> DataFrame:
     """Per row: id, size, text_crc32, shard and slot."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("crc"), F.unhex(F.sha2("text", 256)).alias("text_key"))
     rows = materialize(rows)
-    texts = rows.groupBy("text_key").agg(F.sum("size").alias("size"))
-    total, n = texts.agg(F.sum("size"), F.count("*")).first()
+    texts = rows.groupBy("text_key").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    total, n, n_rows = texts.agg(F.sum("size"), F.count("*"), F.sum("n")).first()
     fair = (total or 0) / n_shards
-    large = [bytes(r.text_key) for r in texts.where(F.col("size") > fair).collect()]  # fewer than n_shards
-    piece = F.when(F.col("text_key").isin(large), F.pmod(F.xxhash64("id"), F.lit(PIECES))).otherwise(0) if large else F.lit(0)
+    cut = [bytes(r.text_key) for r in texts.where(F.col("size") > fair).collect()]  # fewer than n_shards
+    piece = F.when(F.col("text_key").isin(cut), F.pmod(F.xxhash64("id"), F.lit(PIECES))).otherwise(0) if cut else F.lit(0)
     rows = rows.withColumn("piece", piece.cast("int"))
-    n_buckets = max(1, -(-(n or 0) // bucket_groups))
-    bucket = F.pmod(F.xxhash64("text_key", "piece"), F.lit(n_buckets)).cast("int")
-    groups = rows.groupBy("text_key", "piece").agg(F.sum("size").alias("size")).withColumn("bucket", bucket)
-    is_large = F.col("size") > fair / (4 * n_buckets)
-    first = groups.where(is_large).orderBy(F.desc("size"), "text_key", "piece").collect()
-    large_sums, large_places = difference([[r.size] + [0] * (n_shards - 1) for r in first], n_shards)
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "text_key", "piece"], ascending=[False, True, True], ignore_index=True)
-        share = [s // n_buckets for s in large_sums]
-        _, places = difference([[int(s)] + [0] * (n_shards - 1) for s in pdf["size"]] + [share], n_shards)
-        shard = {place: k for k, place in enumerate(places[-1])}
-        pdf["shard"] = [shard[p[0]] for p in places[:-1]]
-        return pdf[["text_key", "piece", "shard"]]
-
-    schema = "text_key binary, piece int, shard int"
-    small = groups.where(~is_large).groupBy("bucket").applyInPandas(combine, schema)
-    large_to = docs.sparkSession.createDataFrame([(r.text_key, r.piece, p[0]) for r, p in zip(first, large_places)], schema)
-    where = materialize(small.unionByName(large_to))
+    groups = rows.groupBy("text_key", "piece").agg(F.sum("size").alias("size"))
+    is_large = F.col("size") > fair / LARGE
+    large = groups.where(is_large).orderBy(F.desc("size"), "text_key", "piece").collect()  # n_shards * LARGE at most
+    large_sums, large_places = difference([[r.size] + [0] * (n_shards - 1) for r in large], n_shards)
+    large_to = docs.sparkSession.createDataFrame([(r.text_key, r.piece, p[0]) for r, p in zip(large, large_places)], "text_key binary, piece int, shard int")
+
+    sums = F.concat(F.array("size"), F.array_repeat(F.lit(0).cast("long"), n_shards - 1))
+    small, nodes, count = _combine(groups.where(~is_large).select("text_key", "piece", sums.alias("sums")), n or 0, ["text_key", "piece"], n_shards, large_sums, bucket_groups)
+    where = small.select("text_key", "piece", F.col("parent").alias("node"), F.col("places")[0].alias("place"))
+    while count > 1:
+        placed, nodes, count = _combine(nodes, count, ["node"], n_shards, large_sums, bucket_groups)
+        where = where.join(placed, "node").select("text_key", "piece", F.col("parent").alias("node"), F.element_at("places", F.col("place") + 1).alias("place"))
+    where = where.select("text_key", "piece", F.col("place").alias("shard")).unionByName(large_to)
+
+    chunks = max(1, -(-(n_rows or 0) // (n_shards * chunk_rows)))
     out = rows.join(where, ["text_key", "piece"]).select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", "crc"), F.lit(chunks)).alias("chunk"))
     out = materialize(out)
-    ahead = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for chunk_rows rows
     starts = out.groupBy("shard", "chunk").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("id", "size", "crc")) - 1
-    numbered = out.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "chunk"])  # n_shards * chunks rows
+    numbered = out.withColumn("rank", rank).join(starts, ["shard", "chunk"])
     return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"))
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL with the same results as the queries that SQL can express."""
 
+from codequarry.llm.license_rules import FRAMED, SPDX_NEXT, STATED
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NEAR_DUP = rf"""
@@ -71,18 +73,19 @@ FROM d LEFT JOIN g ON g.row = d.row
 def licenses_sql(rules: list, phrases: list) -> str:
     """Query op8 for the given rules (priority, label, keyword, regex, weight) and phrases.
 
-    RE2 has no look-around: blanks are doubled, so that neighbouring matches don't share one.
+    Keywords are used only by rules for further SPDX identifiers: the others run on every text. RE2 has no look-around: blanks are doubled,
+    so that neighbouring matches don't share one.
     """
-    doubled = lambda r: r.removeprefix("(?<= )").removesuffix("(?= )").replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
-    values = ", ".join(f"({p}, '{la}', '{k}', {_quoted(' ' + doubled(r) + ' ')}, {w})" for p, la, k, r, w in rules)
+    doubled = lambda r: r.replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+    values = ", ".join(f"({p}, '{la}', {_quoted(' ' + doubled(r) + ' ')}, {w}, '{k.replace(' ', '  ') if r.startswith(SPDX_NEXT) else ''}')" for p, la, k, r, w in rules)
     places = " UNION ALL ".join(f"SELECT row, '{label}' AS label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()})) AS i FROM d" for p, label in phrases)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
- k(priority, label, keyword, regex, weight) AS (VALUES {values}),
+ k(priority, label, regex, weight, needs) AS (VALUES {values}),
  n AS (SELECT row, '  ' || array_to_string(w, '  ') || '  ' AS norm, w FROM d),
- m AS (SELECT row, priority, label, weight::DOUBLE AS weight, string_split_regex(norm, regex) AS gaps, regexp_extract_all(norm, regex) AS hits FROM n JOIN k ON list_contains(w, keyword) WHERE regexp_matches(norm, regex)),
+ m AS (SELECT row, priority, label, weight::DOUBLE AS weight, string_split_regex(norm, regex) AS gaps, regexp_extract_all(norm, regex) AS hits FROM n JOIN k ON contains(norm, needs) AND regexp_matches(norm, regex)),
  u AS (SELECT row, priority, label, weight, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM m),
- f AS (SELECT row, priority, label, weight, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS len FROM u),
+ f AS (SELECT row, priority, label, greatest(weight, CASE WHEN regexp_matches(hits[i], '^ (licen[cs]ed|released|distributed|published|available|provided|redistributable)  under ') THEN {STATED} WHEN starts_with(hits[i], ' under ') THEN {FRAMED} ELSE 0 END) AS weight, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS len FROM u),
  s AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f e WHERE e.row = f.row AND e.a <= f.a AND e.a + e.len >= f.a + f.len AND (e.len > f.len OR e.priority < f.priority))),
  p AS ({places}),
  b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY row),

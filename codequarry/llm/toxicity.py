@@ -2,6 +2,7 @@
 
 A document is a bag of sentences. Each sentence gets a probability from a logistic model over its
 distinct words; they are combined by noisy-or: a document is toxic unless none of its sentences is.
+Sentences end at line breaks and at the full stops, question and exclamation marks of several scripts.
 Only documents are labelled, so the weights are learnt through the noisy-or, and the sentence
 probabilities then say where the offence stands.
 
@@ -10,7 +11,8 @@ of 2**20 places. Weights are learnt on at most `sample_docs` labelled rows with
 `sample_chars` characters in all, those that come first by a hash of the id. All rows are scored,
 in one pass without a shuffle; the model that is broadcast has a fixed size.
 
-Defined cases: null and empty texts have no sentences and score 0; repeated rows are scored one by
+Defined cases: null and empty texts have no sentences and score 0; very long texts are scored
+whole, sentence by sentence; repeated rows are scored one by
 one; labels that are null or belong to no row are ignored; if no row may be learnt from, or all
 have one label, every score is 0; other columns are neither read nor changed.
 """
@@ -33,41 +35,60 @@ from codequarry.llm.common import fold, labelled_sample
 PLACES = 1 << 20
 PREFIXES = range(3, 8)
 BLOCK_WORDS = 400_000
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile("[.!?\n\u2026\u3002\uff01\uff1f\uff0e\u061f\u06d4\u0964\u0965]+")
 _WORD = re.compile(r"\w+")
 
 
 def places(word: str) -> list[int]:
     """Where the weights of a word stand."""
-    parts = ["=" + word[:32], *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)]
+    parts = ["=" + word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)]
     return [xxhash.xxh3_64_intdigest(p) % PLACES for p in parts]
 
 
-def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
+def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     """(start, end, distinct words) of each sentence that has words."""
     out, at = [], 0
     low = text or ""
     for m in [*_SENTENCE.finditer(low), None]:
         end = m.start() if m else len(low)
         if end > at and (words := set(_WORD.findall(low[at:end].lower()))):
-            out.append((at, end, sorted(words)))
+            out.append((at, end, words))
         at = m.end() if m else at
     return out
 
 
-def learn(bags, rounds: int = 150, rate: float = 0.1, shrink: float = 1.5e-4, refit: int = 60) -> tuple[np.ndarray, float]:
+def _blocks(words_to: np.ndarray) -> list[int]:
+    """Where to cut the documents, so that a block holds some words only."""
+    cuts = [0]
+    while cuts[-1] < len(words_to):
+        before = words_to[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(words_to, before + BLOCK_WORDS, "right"))))
+    return cuts
+
+
+def noisy_or(z: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Of sentences' logits: the documents' loss, and its slope by each logit."""
+    total = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log P(no sentence is toxic)
+    less = np.maximum(np.expm1(np.minimum(total, 50)), 1e-6)
+    loss = np.where(y == 1, total - np.log(less), total).sum()
+    slope = np.where(y == 1, -1 / less, 1.0)
+    return float(loss), slope[doc] / (1 + np.exp(-z))
+
+
+def learn(bags, rounds: int = 100, rate: float = 0.1, shrink: float = 1.5e-4, refit: int = 40, settled: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias from (sentences as words, label) by proximal gradient steps.
 
     The last refit rounds no longer shrink the weights, of which they keep those at nought there.
+    Either phase ends early once ten rounds lower the loss by less than the share settled.
     """
     ids: dict[str, int] = {}
-    label: list[int] = []
+    label = array("b")
     word, sentence, doc = array("i"), array("i"), array("i")
     for d, (bag, y) in enumerate(bags):
         label.append(y)
         for words in bag:
             doc.append(d)
-            for w in words:
+            for w in sorted(words):
                 word.append(ids.setdefault(w, len(ids)))
                 sentence.append(len(doc) - 1)
     weights, bias = np.zeros(PLACES), -6.0
@@ -75,60 +96,68 @@ def learn(bags, rounds: int = 150, rate: float = 0.1, shrink: float = 1.5e-4, re
     if not doc or len(set(label)) < 2:
         return weights, -math.inf
     word, sentence, doc = (np.array(x, np.int32) for x in (word, sentence, doc))
-    own, feature = [], []
+    own, feature = array("i"), array("i")
     for w, k in ids.items():
         p = places(w)
-        own += [k] * len(p)
-        feature += p
+        own.extend([k] * len(p))
+        feature.extend(p)
+    n_words = len(ids)
+    del ids
     own, feature = np.array(own, np.int32), np.array(feature, np.int32)
     used, feature = np.unique(feature, return_inverse=True)
     w = np.zeros(len(used))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    # documents in blocks of some words each, so that a step needs little memory beside the sample
     ends = np.searchsorted(doc, np.arange(1, len(y) + 1))  # of each document's sentences
     words_to = np.searchsorted(sentence, ends)
-    cuts = [0]
-    while cuts[-1] < len(y):
-        before = words_to[cuts[-1] - 1] if cuts[-1] else 0
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(words_to, before + BLOCK_WORDS, "right"))))
-    for t in range(1, rounds + refit + 1):
-        of_word = np.bincount(own, w[feature], len(ids))
-        by_word, gb = np.zeros(len(ids)), 0.0
-        for d0, d1 in zip(cuts, cuts[1:]):
-            s0, s1 = ends[d0 - 1] if d0 else 0, ends[d1 - 1]
-            w0, w1 = words_to[d0 - 1] if d0 else 0, words_to[d1 - 1]
-            z = np.bincount(sentence[w0:w1] - s0, of_word[word[w0:w1]], s1 - s0) + bias
-            total = np.bincount(doc[s0:s1] - d0, np.logaddexp(0, z), d1 - d0)
-            slope = np.where(y[d0:d1] == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0) / len(y)
-            dz = slope[doc[s0:s1] - d0] / (1 + np.exp(-z))
-            by_word += np.bincount(word[w0:w1], dz[sentence[w0:w1] - s0], len(ids))
-            gb += dz.sum()
-        g = np.bincount(feature, by_word[own], len(used))
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        new = w - step * m / (1 - 0.9**t)
-        w = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0) if t <= rounds else np.where(w == 0, 0, new)
-        bias -= rate * mb / (1 - 0.9**t) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-4)
+    cuts = _blocks(words_to)
+    t = 0
+    for shrinking, most in ((True, rounds), (False, refit)):
+        losses: list[float] = []
+        while len(losses) < most and not (len(losses) > 10 and losses[-11] - losses[-1] < settled * losses[-11]):
+            t += 1
+            of_word = np.bincount(own, w[feature], n_words)
+            by_word, gb, loss = np.zeros(n_words), 0.0, 0.0
+            for d0, d1 in zip(cuts, cuts[1:]):
+                s0, s1 = ends[d0 - 1] if d0 else 0, ends[d1 - 1]
+                w0, w1 = words_to[d0 - 1] if d0 else 0, words_to[d1 - 1]
+                z = np.bincount(sentence[w0:w1] - s0, of_word[word[w0:w1]], s1 - s0) + bias
+                part, dz = noisy_or(z, doc[s0:s1] - d0, y[d0:d1])
+                by_word += np.bincount(word[w0:w1], dz[sentence[w0:w1] - s0], n_words)
+                gb, loss = gb + dz.sum(), loss + part
+            losses.append(loss / len(y) + (shrink * float(np.abs(w).sum()) if shrinking else 0))
+            g, gb = np.bincount(feature, by_word[own], len(used)) / len(y), gb / len(y)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+            step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+            new = w - step * m / (1 - 0.9**t)
+            w = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0) if shrinking else np.where(w == 0, 0, new)
+            bias -= rate * mb / (1 - 0.9**t) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-4)
     weights[used] = w
     return weights, float(bias)
 
 
+class Weights(dict):
+    """Weights of words, each computed once while the table of known words is small."""
+
+    def __init__(self, weights: np.ndarray, most: int = 500_000):
+        super().__init__()
+        self.weights, self.most = weights, most
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > self.most:
+            self.clear()
+        found = self[w] = float(self.weights[places(w)].sum())
+        return found
+
+
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def word(self, w: str) -> float:
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[w] = float(self.weights[places(w)].sum())
-        return found
+        self.weight, self.bias = Weights(weights), bias
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, logit) of each sentence."""
-        return [(a, b, self.bias + sum(map(self.word, words))) for a, b, words in sentences(text)]
+        """(start, end, logit) of each sentence; the sum does not depend on the order of its words."""
+        weight = self.weight.__getitem__
+        return [(a, b, self.bias + math.fsum(map(weight, words))) for a, b, words in sentences(text)]
 
     def document(self, found: list[tuple[int, int, float]]) -> float:
         return -math.expm1(-sum(math.log1p(math.exp(z)) if z < 30 else z for _, _, z in found if z > -40))

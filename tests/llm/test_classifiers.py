@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,54 @@ def test_nothing_to_learn_from(spark, tables, digest, want):
     assert digest(docs.limit(0), labels).count() == 0
     one = labels.where("toxic = 0 and quality = 1")
     assert len({r.score for r in digest(docs.limit(20), one).collect()}) == 1
+
+
+def test_noisy_or_by_brute_force():
+    """A document's score is 1 - the product of what its sentences leave; slopes are those of differences."""
+    rng = np.random.default_rng(3)
+    z, doc, y = rng.normal(-1, 2, 40), np.sort(rng.integers(0, 6, 40)), np.array([1, 0, 1, 0, 0, 1.0])
+    s = toxicity.Scorer(np.zeros(toxicity.PLACES), 0.0)
+    p = [s.document([(0, 0, x) for x in z[doc == d]]) for d in range(6)]
+    want = [1 - np.prod(1 - 1 / (1 + np.exp(-z[doc == d]))) for d in range(6)]
+    assert np.allclose(p, want)
+    loss, slope = toxicity.noisy_or(z, doc, y)
+    assert np.isclose(loss, -sum(np.log(q if t else 1 - q) for q, t in zip(want, y, strict=True)))
+    for k in range(40):
+        up, down = z.copy(), z.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert np.isclose(slope[k], (toxicity.noisy_or(up, doc, y)[0] - toxicity.noisy_or(down, doc, y)[0]) / 2e-5, rtol=1e-3, atol=1e-6)
+
+
+def test_long_words_and_other_scripts():
+    assert toxicity.places("x" * 40 + "a") != toxicity.places("x" * 40 + "b")
+    assert len(toxicity.sentences("一つ。二つ！ तीन। four? خمسة؟ six…")) == 6
+
+
+def test_score_follows_the_size_difference_alone(spark, tables):
+    """One value of the difference, one score; and dictionaries of shuffled labels tell nothing."""
+    docs, labels = tables
+    rows = quality.quality_digest(docs, labels).collect()
+    by = sorted((r.size_difference, r.score) for r in rows)
+    assert all(a[1] <= b[1] for a, b in zip(by, by[1:]))
+    mixed = labels.select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0, 0).otherwise(1).alias("quality"))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = lambda rs: sorted((r for r in rs if r.held_out and truth.get(r.doc_id) is not None), key=lambda r: r.doc_id)
+    rank = lambda rs: [r.score for r in held(rs)]
+    y = [truth[r.doc_id] for r in held(rows)]
+
+    def auc(scores):
+        good, bad = ([s for s, t in zip(scores, y, strict=True) if t == k] for k in (1, 0))
+        return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+    assert auc(rank(rows)) > 0.98
+    assert auc(rank(quality.quality_digest(docs, mixed).collect())) < 0.9
+
+
+def test_a_giant_labelled_text_does_not_crowd_out_the_others(spark):
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "cast(id % 2 as int) as quality")
+    docs = labels.selectExpr("doc_id", "if(doc_id % 2 = 1, 'you vile scum. end', 'a kind word. end') as text").where("doc_id <> 7")
+    giant = spark.createDataFrame([(7, "vile scum " * 2000)], "doc_id long, text string")
+    model = toxicity.fit(docs.union(giant), labels, sample_chars=20_000)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.union(giant), model).collect()}
+    assert min(got[k] for k in range(1, 60, 2)) > 0.5 > max(got[k] for k in range(0, 60, 2))

@@ -1,10 +1,11 @@
 """Rendered pages: layout by example, and all visible words against the standard parser."""
 
+import time
 from html.parser import HTMLParser
 
 import pytest
 
-from codequarry.llm.html_text import HIDDEN, extract_text, render
+from codequarry.llm.html_text import extract_text, render
 
 CASES = [
     (None, ""),
@@ -26,6 +27,11 @@ CASES = [
     ("<p>a</div></span></p></p>b", "a\n\nb"),
     ("<a href='x>y'>q</a> <img alt='no'> 1 < 2 <unknown x=\"never closed>z", "q 1 < 2 z"),
     ("<textarea> a\n b</textarea>", "a\n b".replace("a", " a", 1)),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td colspan=2>wide one<tr><td>x<td>y</table>", "A | B\n  | C\nwide one\nx | y"),
+    ("<div style='visibility:hidden'>no <span style='visibility: visible'>yes</span> no</div><p>z", "yes\n\nz"),
+    ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math> <svg><text>label</text><title>no</title></svg><select><option>one<option>two</select>", "x= label\none\ntwo"),
+    ("<datalist><option>no</datalist><p>word<p" + " word" * 3, "word\n\n".strip()),
+    ("<p>" + "long " * 40_000, ("long " * 40_000).strip()),
     ("<h1>T</h1>" + "<div>" * 5000 + "deep", "T\n\ndeep"),
 ]
 
@@ -35,13 +41,17 @@ def test_layout(page, want):
     assert render(page) == want
 
 
+#: Elements that show nothing, listed here apart from the module.
+UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object audio video canvas rp desc defs metadata annotation".split())
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__()
         self.depth, self.words = [], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN and tag not in ("area", "param", "source", "track"):
+        if tag in UNSEEN:
             self.depth.append(tag)
 
     def handle_endtag(self, tag):
@@ -53,14 +63,26 @@ class Plain(HTMLParser):
             self.words += data.split()
 
 
-def test_all_visible_words_of_pages(spark):
+def test_all_visible_text_of_pages_in_order(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    bare = lambda s: "".join(s.split()).replace("|", "").replace("-", "")
     for r in pages.collect():
         plain = Plain()
         plain.feed(r.html)
         plain.close()
-        assert sorted("".join(got[r.page_id].replace("|", "").split()).replace("-", "")) == sorted("".join(plain.words).replace("|", "").replace("-", "")), r.page_id
+        assert bare(got[r.page_id]) == bare(" ".join(plain.words)), r.page_id
+
+
+@pytest.mark.parametrize("part", ["<blockquote>a", "<ul><li>a", "<table><tr><td>a", "<table><tr><td rowspan=99999>a<tr><td colspan=1000>a", "<p><button><div>x"])
+def test_nesting_costs_and_gives_what_the_page_is_long(part):
+    seconds = []
+    for n in (3000, 6000):
+        t = time.perf_counter()
+        out = render(part * n)
+        seconds.append(time.perf_counter() - t)
+        assert len(out) <= 400 * n
+    assert seconds[1] < 3 * seconds[0] + 1
 
 
 def test_deep_nesting_takes_linear_time():

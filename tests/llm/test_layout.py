@@ -1,5 +1,6 @@
 """Sharding and packing: every row is placed once, and the stated laws hold."""
 
+import math
 import random
 import zlib
 
@@ -71,11 +72,78 @@ def test_packing_covers_every_token_once(spark, docs):
     assert sum(x[1] for p in by_bin.values() for x in p) > 0.93 * sum(p[0][2] for p in by_bin.values())
 
 
-def test_best_fit_is_no_worse_than_one_size():
+def total_cost(packed, cost):
+    return sum(cost[c] for c in packed[2])
+
+
+def test_packing_opens_several_sizes_and_beats_each_single_one():
     rng = random.Random(2)
     lengths = sorted((min(4096, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(3000)), reverse=True)
-    cost = lambda caps: sum(c + packing.SEQUENCE_COST for c in packing.best_fit(lengths, caps)[2])
-    assert cost(packing.CAPACITIES) <= min(cost((c,)) for c in packing.CAPACITIES if c >= lengths[0])
+    cost = packing.costs(packing.CAPACITIES)
+    made = packing.cheapest(lengths, cost)
+    assert total_cost(made, cost) <= min(total_cost(packing.best_fit(lengths, cost, c), cost) for c in cost)
+    assert total_cost(packing.best_fit(lengths, cost), cost) <= 1.002 * total_cost(made, cost)  # the choice bin by bin is itself as good
+    assert total_cost(made, cost) < 0.95 * total_cost(packing.best_fit(lengths, cost, 4096), cost)
+    assert len(set(made[2])) >= 3
+    assert sum(lengths) > 0.99 * sum(made[2])
+
+
+def exact_cost(lengths, cost):
+    """The least cost of any packing, over all sets of pieces."""
+    top, n = max(cost), len(lengths)
+    used = [sum(x for i, x in enumerate(lengths) if s >> i & 1) for s in range(1 << n)]
+    one = [min((cost[c] for c in cost if c >= u), default=None) if u <= top else None for u in used]
+    best = [0.0] + [math.inf] * ((1 << n) - 1)
+    for s in range(1, 1 << n):
+        low, rest = s & -s, s & ~(s & -s)
+        t = rest
+        while True:
+            if one[t | low] is not None:
+                best[s] = min(best[s], one[t | low] + best[rest & ~t])
+            if not t:
+                break
+            t = (t - 1) & rest
+    return best[-1]
+
+
+def test_packing_is_near_the_exact_least_cost():
+    rng = random.Random(3)
+    cost = packing.costs((8, 16, 32), 1, 1 / 64)
+    ratios = []
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 32) for _ in range(rng.randint(1, 9))), reverse=True)
+        ratios.append(total_cost(packing.cheapest(lengths, cost), cost) / exact_cost(lengths, cost))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.25 and sum(ratios) / len(ratios) <= 1.03
+
+
+def test_buckets_are_combined_in_levels(spark):
+    """Many small tasks on several levels still balance, and place every group."""
+    rng = random.Random(4)
+    rows = [(i, "x" * int(rng.lognormvariate(3, 1.5)) + str(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs, bucket_groups=40, chunk_rows=50).collect()
+    total, slots = [0] * 8, [[] for _ in range(8)]
+    for r in got:
+        total[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and sum(total) == sum(len(t) + 1 for _, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(total) - min(total) <= 0.01 * sum(total) / 8
+
+
+def test_differencing_matches_the_plain_method():
+    """The same final sums as combining sorted lists by hand."""
+    rng = random.Random(5)
+    for n in (1, 2, 5, 40):
+        sizes = [[rng.randrange(1, 500), 0, 0] for _ in range(n)]
+        parts = [sorted(s) for s in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[-1] - p[0])
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+        sums, _ = sharding.difference(sizes, 3)
+        spread = max(parts[0]) - min(parts[0])
+        assert sum(sums) == sum(parts[0]) and abs((max(sums) - min(sums)) - spread) <= 500 / n  # ties may be combined in another order
 
 
 def test_empty_tables(spark, docs):
