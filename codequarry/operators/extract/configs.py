@@ -20,8 +20,8 @@ DATABASE_KEYS = ["database", "databases", "datasource", "db"]
 COMPOSE_FILE = r"(^|/)docker-compose.*\.ya?ml$"
 
 
-def _as_json(path: str, content: str | None) -> str | None:
-    """The file as a JSON object; None if it isn't one."""
+def _as_json(path: str, content: str | None) -> tuple[str | None, str | None]:
+    """The file as a JSON object, and what is wrong if it can't be read as one."""
     try:
         if path.endswith((".yaml", ".yml")):
             import yaml
@@ -33,25 +33,33 @@ def _as_json(path: str, content: str | None) -> str | None:
             data = tomllib.loads(content)
         else:
             data = json.loads(content)
-        return json.dumps(data, default=str) if isinstance(data, dict) else None
-    except Exception:  # whatever a broken file makes the parsers raise, it holds no records
-        return None
+        if not isinstance(data, dict):
+            return None, None if data is None or isinstance(data, list) else f"TypeError: {type(data).__name__} in place of an object"
+        return json.dumps(data, default=str), None
+    except Exception as e:  # whatever a broken file makes the parsers raise; the row says what
+        return None, f"{type(e).__name__}: {e}"
 
 
 def as_json(files: DataFrame) -> DataFrame:
-    """Files with their content as JSON, and kind: compose, k8s, openapi, database or null."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.StringType())])
+    """Files with their content as JSON, and kind: compose, k8s, openapi, database or null; or with description, the error."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "content", "description")])
 
     def run(batches):
         for b in batches:
             path = b.column("path").to_pylist()
-            yield pa.RecordBatch.from_pydict({"path": b.column("path"), "content": pa.array(map(_as_json, path, b.column("content").to_pylist()), pa.string())})
+            made = list(map(_as_json, path, b.column("content").to_pylist()))
+            yield pa.RecordBatch.from_pydict({"path": b.column("path"), "content": pa.array([c for c, _ in made], pa.string()), "description": pa.array([d for _, d in made], pa.string())})
 
     done = files.select("path", "content").mapInArrow(run, schema)
     keys = F.coalesce(F.json_object_keys("content"), F.array().cast("array<string>"))
     holds = lambda *names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
     kind = F.when(F.col("path").rlike(COMPOSE_FILE), "compose").when(holds("apiVersion") & holds("kind"), "k8s").when(holds("openapi", "swagger"), "openapi").when(holds("database", "databases", "datasource"), "database")
-    return done.where("content is not null").withColumn("kind", kind)
+    return done.where("content is not null or description is not null").withColumn("kind", kind)
+
+
+def errors(parsed: DataFrame) -> DataFrame:
+    """One row for each file that can't be read."""
+    return parsed.where("description is not null").select(F.col("path").alias("source_file"), F.lit(0).alias("pos"), "description")
 
 
 def _images(files: DataFrame, images: Column, ecosystem: str) -> DataFrame:

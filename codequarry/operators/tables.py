@@ -27,17 +27,19 @@ def head(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 def substring_pairs(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Distinct (a, b) of which one contains the other, case ignored; empty values are left out.
 
-    Instead of a nested loop, all substrings of each value are joined by equality with the values
-    of the other side. Names are short, so this grows with the rows, not with their product.
+    Instead of a nested loop, the substrings of each value are joined by equality with the values of
+    the other side, and only those of lengths that stand there: the work is a value's length for each
+    such length, of which there are at most as many as the longest name has characters.
     """
     one = left.select(F.col(a).alias("a")).where("a <> ''").distinct().withColumn("la", F.lower("a"))
     two = right.select(F.col(b).alias("b")).where("b <> ''").distinct().withColumn("lb", F.lower("b"))
 
-    def parts(df: DataFrame, low: str) -> DataFrame:
-        n = F.length(low)
-        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(low), i, k))))
-        return df.withColumn("part", F.explode(F.array_distinct(every)))
+    def parts(df: DataFrame, low: str, other: DataFrame, key: str) -> DataFrame:
+        sizes = other.agg(F.array_sort(F.collect_set(F.length(key))).alias("sizes"))  # one row
+        each = df.crossJoin(F.broadcast(sizes)).withColumn("k", F.explode(F.filter("sizes", lambda k: k <= F.length(low)))).drop("sizes")
+        starts = F.sequence(F.lit(1), F.length(low) - F.col("k") + 1)
+        return each.withColumn("part", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(low), i, F.col("k")))))).drop("k")
 
-    inside = two.join(parts(one, "la"), F.col("part") == F.col("lb")).select("a", "b")
-    around = one.join(parts(two, "lb"), F.col("part") == F.col("la")).select("a", "b")
+    inside = two.join(parts(one, "la", two, "lb"), F.col("part") == F.col("lb")).select("a", "b")
+    around = one.join(parts(two, "lb", one, "la"), F.col("part") == F.col("la")).select("a", "b")
     return inside.union(around).distinct()

@@ -72,6 +72,7 @@ def ask(hits: DataFrame, id_col: str = "id", least: float = 0.3) -> DataFrame:
     return hits.agg(F.array_join(parts, "\n\n---\n\n").alias("context"), F.count("*").alias("result_count"))
 
 
-def stats(index: DataFrame, kind: str, id_col: str = "id", most: int = 1000) -> DataFrame:
-    """Numbers by kind over the first rows: a sample by design, as the report states."""
-    return index.orderBy(id_col).limit(most).groupBy(kind).agg(F.count("*").alias("count"))
+def stats(index: DataFrame, kind: str, id_col: str = "id", most: int | None = None) -> DataFrame:
+    """Numbers by kind over all rows, or over the first ones by id if their number is given."""
+    rows = index if most is None else index.orderBy(id_col).limit(most)
+    return rows.groupBy(kind).agg(F.count("*").alias("count"))

@@ -318,8 +318,8 @@ def json_salvage(spark, sf_dir):
     return enrich.salvage_json(e, "answer").select("event_id", F.get_json_object("json", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS cached FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 0 AND length(coalesce(text, '')) <= 100000 AS cached, CASE WHEN length(coalesce(text, '')) > 100000 THEN 'too large' END AS error FROM documents")
 def enrich_cached(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('f/', doc_id) as path", "substring(coalesce(text, ''), 1, 50) as content")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('f/', doc_id) as path", "coalesce(text, '') as content")
     cache = enrich.extract(d.where("doc_id % 3 = 0"), None, enrich.OfflineProvider()).select("key", "answer")
-    return enrich.extract(d, cache, enrich.OfflineProvider()).select("doc_id", "cached")
+    return enrich.extract(d, cache, enrich.OfflineProvider()).select("doc_id", "cached", "error")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators.extract import configs, golang, java, jsts, pyast, sdl
@@ -17,22 +19,24 @@ LANGUAGES = {"java": [".java"], "python": [".py", ".pyi"], "go": [".go", ".mod"]
 
 @dataclass
 class Extractor:
-    """A rule of which files it takes, and functions that give records of a kind."""
+    """A rule of which files it takes, and functions that give records of a kind.
+
+    prepare, where there is one, is applied to the files once; the functions take what it gives.
+    """
 
     language: str
     extensions: list[str] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
     tables: dict = field(default_factory=dict)
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def default_extractors() -> list[Extractor]:
-    parsed = lambda f: lambda files: f(configs.as_json(files))
-    tree = lambda f: lambda files: f(pyast.parse(files))
     both = lambda *fs: lambda files: _union([f(files) for f in fs])
     return [
         Extractor("java", [".java"], tables={"schemas": java.entities, "services": java.services, "apis": java.endpoints}),
         Extractor("java", names=["pom.xml"], tables={"dependencies": java.pom_dependencies}),
-        Extractor("python", [".py", ".pyi"], tables={"schemas": tree(pyast.schemas), "services": tree(pyast.services), "apis": tree(pyast.apis), "errors": tree(pyast.errors)}),
+        Extractor("python", [".py", ".pyi"], tables={"schemas": pyast.schemas, "services": pyast.services, "apis": pyast.apis, "errors": pyast.errors}, prepare=pyast.parse),
         Extractor("python", names=["requirements.txt"], tables={"dependencies": pyast.requirements}),
         Extractor("python", names=["pyproject.toml"], tables={"dependencies": pyast.pyproject_dependencies}),
         Extractor("go", [".go"], tables={"schemas": golang.structs, "services": both(golang.interfaces, golang.services), "apis": golang.routes}),
@@ -43,7 +47,7 @@ def default_extractors() -> list[Extractor]:
         Extractor("schema", [".sql"], tables={"schemas": sdl.sql_tables}),
         Extractor("schema", [".graphql", ".gql"], tables={"schemas": sdl.graphql_types}),
         Extractor("schema", [".proto"], tables={"schemas": sdl.proto_messages}),
-        Extractor("config", [".yaml", ".yml", ".toml", ".json"], tables={"schemas": parsed(configs.openapi_schemas), "apis": parsed(configs.openapi_endpoints), "dependencies": both(parsed(configs.compose_images), parsed(configs.kubernetes_images), parsed(configs.database_dependencies))}),
+        Extractor("config", [".yaml", ".yml", ".toml", ".json"], tables={"schemas": configs.openapi_schemas, "apis": configs.openapi_endpoints, "dependencies": both(configs.compose_images, configs.kubernetes_images, configs.database_dependencies), "errors": configs.errors}, prepare=configs.as_json),
     ]
 
 
@@ -54,6 +58,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """source_file and its number in the order of repository and path.
+
+    Files are sorted over all tasks, and each task's start is the number of files before it.
+    """
+    ranged = files.distinct().repartitionByRange("source_file").sortWithinPartitions("source_file")
+    placed = ranged.withColumn("__at", F.monotonically_increasing_id())
+    task, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    placed = placed.select("source_file", task.alias("__task"), row.alias("__row"))
+    sizes = placed.groupBy("__task").agg(F.count("*").alias("n"))
+    before = sizes.select("__task", (F.sum("n").over(Window.orderBy("__task")) - F.col("n")).alias("__before"))  # one row for each task
+    return placed.join(F.broadcast(before), "__task").select("source_file", (F.col("__before") + F.col("__row")).alias("__nth"))
+
+
 def languages_of(path: str) -> list[str]:
     """Languages whose extractors take a path."""
     suffix = path[path.rfind(".") :].lower() if "." in path else ""
@@ -63,9 +81,14 @@ def languages_of(path: str) -> list[str]:
 def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_dispatch: bool = False) -> tuple[Knowledge, DataFrame]:
     """Knowledge tables of files (repo, path, content), and errors (repo, source_file, description).
 
-    strict_dispatch takes files by extension only, so that dependency files known by name are left
-    out where their extension is another extractor's or no one's.
+    Records are in the order of repository, path, extractor and place in the file (ord). The files, and
+    what is parsed of them, are kept on the executors' disks, so that each file is read and parsed once
+    for all tables; a lost part is made again. Python, YAML, TOML and JSON files that can't be parsed
+    give an error row, the other extractors take what matches. strict_dispatch takes files by
+    extension only, so that dependency files known by name are left out where their extension is
+    another extractor's or no one's.
     """
+    files = files.select("repo", "path", "content").persist(StorageLevel.DISK_ONLY)
     parts: dict[str, list[DataFrame]] = {}
     for turn, x in enumerate(extractors or default_extractors()):
         if strict_dispatch and x.names:
@@ -73,14 +96,16 @@ def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_
         mine = F.lower(suffix_of(F.col("path"))).isin(x.extensions) | name_of(F.col("path")).isin(x.names)
         # repository and path travel as one, since extractors know a file by its path only
         own = files.where(mine).select(F.concat_ws("\x01", "repo", "path").alias("path"), "content")
+        own = x.prepare(own).persist(StorageLevel.DISK_ONLY) if x.prepare else own
         for table, f in x.tables.items():
             parts.setdefault(table, []).append(f(own).withColumn("__turn", F.lit(turn)))
     tables = {}
+    nth = _numbered(files.select(F.concat_ws("\x01", "repo", "path").alias("source_file"))) if parts else None
     for table, dfs in parts.items():
-        df = _union(dfs)
-        place = F.struct("source_file", "__turn", "pos")
+        df = _union(dfs).join(nth, "source_file")
         repo, path = F.split_part("source_file", F.lit("\x01"), F.lit(1)), F.split_part("source_file", F.lit("\x01"), F.lit(2))
-        tables[table] = df.withColumn("ord", F.xxhash64(place)).withColumn("repo", repo).withColumn("source_file", path).drop("__turn", "pos")
+        place = (F.col("__nth") * 32 + F.col("__turn")) * (1 << 20) + F.coalesce("pos", F.lit(0))
+        tables[table] = df.withColumn("ord", place).withColumn("repo", repo).withColumn("source_file", path).drop("__turn", "pos", "__nth")
     errors = tables.pop("errors").select("repo", "source_file", "description")
     return Knowledge.of(files.sparkSession, **tables), errors
 

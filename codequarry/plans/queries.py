@@ -346,7 +346,7 @@ def ask_context(spark, sf_dir):
     return vectors.ask(vectors.search(chunks, _AT, 5, "vec_id"), "vec_id", 0.2)
 
 
-@query("SELECT label, count(*) AS count FROM (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1000) GROUP BY label")
+@query("SELECT label, count(*) AS count FROM embeddings GROUP BY label")
 def vector_stats(spark, sf_dir):
     return vectors.stats(table(spark, sf_dir, "embeddings"), "label", "vec_id")
 

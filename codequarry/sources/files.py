@@ -1,8 +1,9 @@
 """Files of repositories as rows.
 
 A Python data source lists and reads them, as Spark's own file sources leave out names that start
-with a dot or an underscore. Each partition reads a run of files; folders to skip, extensions and
-sizes are tested before a file is opened.
+with a dot or an underscore. Each partition reads a run of files of about RUN_BYTES; of many
+repositories, each task lists and reads some whole ones. Folders to skip, extensions and sizes are
+tested before a file is opened. A file that can't be read is a row without content.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from codequarry.operators.manifest import SKIP_DIRS
 
 SCHEMA = "repo string, path string, size bigint, content binary"
 MAX_SIZE = 1 << 20
+RUN_BYTES, MANY_ROOTS = 64 << 20, 64
 
 
 class _Run(InputPartition):
@@ -29,31 +31,41 @@ class _Run(InputPartition):
         self.items = items
 
 
+class _Roots(InputPartition):
+    def __init__(self, roots: list[Path]):
+        self.roots = roots
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.roots = [Path(p) for p in options["path"].split(",")]
         self.skip = set(options.get("skipdirs", ",".join(SKIP_DIRS)).split(","))
         self.extensions = {e for e in options.get("extensions", "").lower().split(",") if e}
         self.most = int(options.get("maxsize", MAX_SIZE))
-        self.n = int(options.get("numpartitions", 8))
+        self.n = int(options.get("numpartitions", 0))
+
+    def walk(self, root: Path) -> Iterator[tuple[str, str, str, int]]:
+        for at, folders, names in os.walk(root):
+            folders[:] = sorted(d for d in folders if d not in self.skip)
+            for name in sorted(names):
+                full = Path(at, name)
+                if self.extensions and full.suffix.lower() not in self.extensions:
+                    continue
+                try:
+                    size = full.stat().st_size
+                except OSError:
+                    size = 0
+                if size <= self.most:
+                    yield root.name, str(full.relative_to(root)), str(full), size
 
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for root in self.roots:
-            for at, folders, names in os.walk(root):
-                folders[:] = sorted(d for d in folders if d not in self.skip)
-                for name in sorted(names):
-                    full = Path(at, name)
-                    if self.extensions and full.suffix.lower() not in self.extensions:
-                        continue
-                    try:
-                        size = full.stat().st_size
-                    except OSError:
-                        continue
-                    if size <= self.most:
-                        found.append((root.name, str(full.relative_to(root)), str(full), size))
+        if len(self.roots) > MANY_ROOTS:
+            n = self.n or len(self.roots) // 4
+            return [_Roots(self.roots[k::n]) for k in range(n)]
+        found = [f for root in self.roots for f in self.walk(root)]
+        n = self.n or max(8, -(-sum(f[3] for f in found) // RUN_BYTES))
         # largest first into the lightest run
-        runs: list[list] = [[] for _ in range(max(1, min(self.n, len(found))))]
+        runs: list[list] = [[] for _ in range(max(1, min(n, len(found))))]
         weight = [0] * len(runs)
         for item in sorted(found, key=lambda f: -f[3]):
             k = weight.index(min(weight))
@@ -61,12 +73,14 @@ class _Reader(DataSourceReader):
             weight[k] += item[3] + 1000
         return [_Run(r) for r in runs]
 
-    def read(self, partition: _Run) -> Iterator[tuple]:
-        for repo, path, full, size in partition.items:
+    def read(self, partition: _Run | _Roots) -> Iterator[tuple]:
+        items = partition.items if isinstance(partition, _Run) else (f for root in partition.roots for f in self.walk(root))
+        for repo, path, full, size in items:
             try:
-                yield repo, path, size, Path(full).read_bytes()
+                content = Path(full).read_bytes()
             except OSError:
-                continue
+                content = None
+            yield repo, path, size, content
 
 
 class RepositoryFiles(DataSource):

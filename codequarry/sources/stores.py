@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -26,9 +27,41 @@ def load(spark: SparkSession, path: str) -> Knowledge:
 
 
 def save_json(kb: Knowledge, path: str) -> None:
-    """JSON lines, a folder for each table."""
+    """JSON lines, a folder for each table; nulls are written, so that all columns stand there."""
     for name, df in kb.named().items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
+def load_json_tables(spark: SparkSession, path: str) -> Knowledge:
+    """What save_json has written."""
+    return Knowledge.of(spark, **{n: spark.read.schema(s).json(f"{path}/{n}") for n, s in SCHEMAS.items()})
+
+
+def save_file(kb: Knowledge, path: str, relationships: dict | None = None) -> None:
+    """The knowledge file: one JSON object with the summary, a list for each table, and the relationships.
+
+    The file is for one reader; records are streamed to it one by one, as one object can't be written
+    by several tasks. Large tables belong into save or save_json.
+    """
+    from codequarry.operators.knowledge import summary
+
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"summary": ' + json.dumps(summary(kb).first().asDict()))
+        for name, df in kb.named().items():
+            f.write(f', "{name}": [')
+            for k, r in enumerate(df.orderBy("ord").select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()):
+                f.write((", " if k else "") + r.j)
+            f.write("]")
+        f.write(', "relationships": ' + json.dumps(relationships or {}) + "}")
+
+
+def load_relationships(path: str) -> dict:
+    """The relationships of a knowledge file; none if there is no file."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f).get("relationships") or {}
+    except FileNotFoundError:
+        return {}
 
 
 def load_json(spark: SparkSession, path: str) -> Knowledge:
@@ -60,13 +93,17 @@ def _colons(schema: str) -> str:
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """A chunks file: a JSON array of chunks; of equal ids the last."""
-    rows = spark.read.schema("id string, type string, name string, repo string, text string").json(path, multiLine=True)
-    return keep_last(rows.where("id is not null").withColumn("ord", F.monotonically_increasing_id()), "id").drop("ord")
+    """Chunks as save_chunks has written them, or from a file that is one JSON array; of equal ids the last."""
+    kind = "id string, type string, name string, repo string, text string, ord bigint"
+    lines = spark.read.schema(kind + ", _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    whole = spark.read.schema(kind).json(path, multiLine=True) if lines.where("id is null").limit(1).count() else lines.drop("_corrupt_record")
+    rows = whole.where("id is not null").withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    return keep_last(rows, "id").drop("ord")
 
 
 def save_chunks(kb: Knowledge, path: str) -> None:
-    render.chunks(kb).select("id", "type", "name", "repo", "text").write.mode("overwrite").json(path)
+    """The last chunk of each id, as JSON lines."""
+    keep_last(render.chunks(kb), "id").select("id", "type", "name", "repo", "text").write.mode("overwrite").json(path)
 
 
 def pages(kb: Knowledge) -> DataFrame:
@@ -79,6 +116,25 @@ def pages(kb: Knowledge) -> DataFrame:
     return out
 
 
+def index_page(kb: Knowledge, n: int = 10) -> str:
+    """The page that leads to the others: counts, and the first names of schemas and dependencies."""
+    from codequarry.operators.knowledge import summary
+
+    s = summary(kb).first()
+    first = lambda df: "\n".join(f"- {r.name}" for r in render.first_names(df.withColumn("name", F.coalesce("name", F.lit("unknown"))), n).collect()) or "- None found"
+    rows = [("Data Schemas", f"{s.total_schemas} ({s.unique_schemas} unique)"), ("API Endpoints", s.total_apis), ("Services", s.total_services), ("Dependencies", f"{s.total_dependencies} ({s.unique_dependencies} unique)")]
+    counts = "\n".join(f"| {k} | {v} |" for k, v in rows)
+    links = "\n".join(f"- [{k.title()}](./{k}/index.md)" for k in ("schemas", "apis", "services", "dependencies"))
+    return f"# Knowledge Base\n\n## Summary\n\n| Metric | Count |\n|--------|-------|\n{counts}\n\n## Navigation\n\n{links}\n\n## Quick Reference\n\n### Most Common Schemas\n{first(kb.schemas)}\n\n### Most Used Dependencies\n{first(kb.dependencies)}\n"
+
+
+def save_all(kb: Knowledge, folder: str) -> None:
+    """JSON, Markdown and chunks below a folder that Spark can write to."""
+    save_json(kb, f"{folder}/json")
+    save_markdown(kb, f"{folder}/markdown")
+    save_chunks(kb, f"{folder}/chunks")
+
+
 def save_markdown(kb: Knowledge, path: str) -> None:
     """The pages as a table of text files by kind; one row is one page."""
     kind: Column = F.split_part("file", F.lit("/"), F.lit(1))

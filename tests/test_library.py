@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from codequarry.operators import enrich, knowledge, manifest, search, vectors
+from codequarry.operators import answers, enrich, knowledge, manifest, search, vectors
 from codequarry.operators.extract import pyast
 from codequarry.operators.knowledge import Knowledge
 from codequarry.plans import pipeline
@@ -19,6 +19,9 @@ FILES = {
     "src/broken.py": "def broken(:",
     "requirements.txt": "fastapi==0.109.0\n",
     "db/schema.sql": "CREATE TABLE users (id INT PRIMARY KEY, email VARCHAR(99) UNIQUE);",
+    "conf/bad.yaml": "a: [unclosed",
+    "conf/list.json": "[1, 2]",
+    "src/many.py": "class BService:\n    def run(self):\n        pass\n\nclass AService:\n    def run(self):\n        pass\n",
     "api.json": json.dumps({"openapi": "3", "paths": {"/api/users": {"get": {"operationId": "list_users"}}}}),
     "node_modules/skip.js": "app.get('/no', f)",
     "logo.png": "x",
@@ -52,14 +55,16 @@ def test_file_source_lists_hidden_names_and_prunes(spark, repo):
 
 def test_extract_and_find(extracted):
     kb, errors = extracted
-    assert [(r.name, r.methods[0].name, r.methods[0].params[0].name) for r in kb.services.collect()] == [("UserService", "create_user", "email")]
+    services = kb.services.orderBy("ord").collect()
+    assert [r.name for r in services] == ["BService", "AService", "UserService"]  # by path, then place in the file
+    assert (services[2].methods[0].name, services[2].methods[0].params[0].name) == ("create_user", "email")
     assert [(r.name, r.version, r.ecosystem) for r in kb.dependencies.collect()] == [("fastapi", "0.109.0", "pip")]
     assert [(r.repo, r.name, len(r.fields)) for r in kb.schemas.collect()] == [("shop", "users", 2)]
     assert [(r.path, r.method, r.handler) for r in kb.apis.collect()] == [("/api/users", "GET", "list_users")]
-    assert [r.source_file for r in errors.collect()] == ["src/broken.py"]
+    assert sorted(r.source_file for r in errors.collect()) == ["conf/bad.yaml", "src/broken.py"]
     assert knowledge.find_exact(kb.schemas, "name", "USERS").count() == 1
     s = knowledge.summary(kb).first()
-    assert (s.total_schemas, s.total_apis, s.total_services, s.total_dependencies) == (1, 1, 1, 1)
+    assert (s.total_schemas, s.total_apis, s.total_services, s.total_dependencies) == (1, 1, 3, 1)
     assert [r.kind for r in search.search(kb, "user", 10).collect()] and search.search(kb, "nothing like it", 10).count() == 0
     assert search.search(kb, "user", 1).count() == 1
 
@@ -80,12 +85,60 @@ def test_stores_round_trip(spark, extracted, tmp_path):
     loaded = stores.load_json(spark, str(tmp_path / "kb.json"))
     assert [(r.name, r.ord, len(r.fields)) for r in loaded.schemas.orderBy("ord").collect()] == [("User", 0, 1), ("B", 1, 0)]
     assert stores.load_json(spark, str(tmp_path / "none.json")).schemas.count() == 0
-    assert stores.write_pages(stores.pages(kb).toLocalIterator(), str(tmp_path / "md")) == 4
+    assert stores.write_pages(stores.pages(kb).toLocalIterator(), str(tmp_path / "md")) == 6
     assert "| id | INT | primary_key |" in (tmp_path / "md/schemas/users.md").read_text()
     (tmp_path / "c.json").write_text(json.dumps([{"id": "a", "text": "1"}, {"id": "a", "text": "2"}]))
     assert [r.text for r in stores.load_chunks(spark, str(tmp_path / "c.json")).collect()] == ["2"]
 
 
+def test_what_is_saved_is_loaded(spark, tmp_path):
+    """Fifty records through each pair of save and load."""
+    rows = spark.range(50).selectExpr("'r' as repo", "concat('S', id) as name", "'model' as type", "concat('f', id) as source_file", "id as ord")
+    kb = Knowledge.of(spark, schemas=rows)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    stores.save_json(kb, str(tmp_path / "json"))
+    assert same(kb.schemas, stores.load_json_tables(spark, str(tmp_path / "json")).schemas)
+    stores.save_file(kb, str(tmp_path / "kb.json"), {"data_routing": [1]})
+    assert same(kb.schemas, stores.load_json(spark, str(tmp_path / "kb.json")).schemas)
+    whole = json.loads((tmp_path / "kb.json").read_text())
+    assert whole["summary"]["total_schemas"] == 50 and len(whole["schemas"]) == 50 and whole["apis"] == []
+    assert stores.load_relationships(str(tmp_path / "kb.json")) == {"data_routing": [1]} and stores.load_relationships(str(tmp_path / "no")) == {}
+    stores.save_chunks(kb, str(tmp_path / "chunks"))
+    chunks = stores.load_chunks(spark, str(tmp_path / "chunks"))
+    assert chunks.count() == 50 and {r.id for r in chunks.collect()} == {f"schema:S{k}:f{k}" for k in range(50)}
+    stores.save_all(kb, str(tmp_path / "all"))
+    assert stores.load_chunks(spark, str(tmp_path / "all/chunks")).count() == 50
+    page = stores.index_page(kb)
+    assert "| Data Schemas | 50 (50 unique) |" in page and "- S0\n- S1\n" in page and "- None found" in page
+
+
+def test_answers_become_records(spark, tmp_path):
+    files = spark.createDataFrame([("r", "a.py", "x")], "repo string, path string, content string")
+    one = enrich.extract(files, None, enrich.OfflineProvider())
+    answers.save_answers(one, str(tmp_path / "cache"))
+    again = enrich.extract(files, answers.stored_answers(spark, str(tmp_path / "cache")), enrich.OfflineProvider())
+    assert again.first().cached and answers.stored_answers(spark, str(tmp_path / "none")) is None
+    m = manifest.manifest(files)
+    p = answers.repo_prompts(m, manifest.file_tree(files)).first()
+    assert "Repository: r" in p.prompt and "a.py" in p.prompt and len(p.key) == 20 and p.file_count == 1
+    split = spark.createDataFrame([("r", 1, "# T", '{"purpose_summary": "p", "when_to_use": ["w"]}')], "repo string, file_count int, markdown string, json string")
+    c = answers.contexts(split, "m").first()
+    assert (c.repo_name, c.purpose, c.domain, c.when_to_use, c.data_ownership) == ("r", "p", "", ["w"], [])
+    kb = Knowledge.of(spark, contexts=answers.contexts(split, "m"), schemas=spark.createDataFrame([("r", "S", 1)], "repo string, name string, ord long"))
+    s = answers.semantic_prompts(kb).first()
+    assert '"name":"S"' in s.prompt and s.prompt.endswith("[]")
+    stored = answers.set_relationships(None, answers.built_relationships(*[spark.createDataFrame([(k,)], "name string") for k in "abc"]))
+    assert {r.kind: json.loads(r.body)["name"] for r in stored.collect()} == {"data_routing": "a", "service_chains": "b", "service_map": "c"}
+
+
+def test_many_repositories_are_listed_in_tasks(spark, tmp_path):
+    for k in range(70):
+        (tmp_path / f"r{k}").mkdir()
+        (tmp_path / f"r{k}" / "a.txt").write_text(str(k))
+    rows = source.read_files(spark, *[str(tmp_path / f"r{k}") for k in range(70)])
+    assert rows.rdd.getNumPartitions() > 8 and {(r.repo, bytes(r.content)) for r in rows.collect()} == {(f"r{k}", str(k).encode()) for k in range(70)}
+
+
 def test_manifest(spark, repo):
     rows = {r.path: r for r in manifest.manifest(source.as_text(source.read_files(spark, str(repo)))).collect()}
     assert "logo.png" not in rows and rows["requirements.txt"].tier == 1 and rows["src/user_service.py"].tier == 2
