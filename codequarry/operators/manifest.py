@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text, token_estimate
@@ -77,21 +77,31 @@ def file_tree(files: DataFrame) -> DataFrame:
 def within_budget(files: DataFrame, spent: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """repo, path, tokens, kept of tier-2 files. spent: repo, tokens of all else.
 
-    If all fit, all are kept. Else the largest come first, ties by later path, and each is kept if
-    it still fits; one that doesn't may be followed by smaller ones that do.
+    The largest come first, among equals the smaller path, and each is kept if it still fits; one that
+    doesn't may be followed by smaller ones that do. Files without tokens (null) are not kept, and rows
+    of a repo that spent does not name are left out.
+
+    A repo's fold runs over its sizes that can fit, at most max_tokens + 1, each with its count: of
+    equal files as many are kept as there is room for, and the path of the last is looked up.
     """
-    entry = F.struct((-F.col("tokens")).alias("order"), F.col("path"), F.col("tokens"))
-    lists = files.groupBy("repo").agg(F.array_sort(F.collect_list(entry)).alias("f"), F.sum("tokens").alias("all"))
-    room = F.lit(max_tokens) - F.col("spent")
-    start = F.struct(F.col("spent").cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, f: Column) -> Column:
-        fits = s["used"] + f["tokens"] <= max_tokens
-        return F.struct((s["used"] + F.when(fits, f["tokens"]).otherwise(0)).alias("used"), F.when(fits, F.concat(s["kept"], F.array(f["path"]))).otherwise(s["kept"]).alias("kept"))
-
-    joined = lists.join(spent.select("repo", F.col("tokens").alias("spent")), "repo")
-    kept = joined.withColumn("kept", F.when(F.col("all") <= room, F.transform("f", lambda x: x["path"])).otherwise(F.aggregate("f", start, step, lambda s: s["kept"])))
-    return kept.select("repo", "kept", F.explode("f").alias("x")).select("repo", "x.path", "x.tokens", F.array_contains("kept", F.col("x.path")).alias("kept"))
+    room = spent.select("repo", (F.lit(max_tokens) - F.col("tokens")).alias("room"))
+    sizes = files.groupBy("repo", "tokens").agg(F.count("*").alias("m")).join(room, "repo").where("tokens <= room")
+    sizes = sizes.groupBy("repo").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct((-F.col("tokens")).alias("order"), "tokens", "m"))).alias("s"))
+    start = F.struct(F.col("room").cast("long").alias("room"), F.array().cast("array<struct<tokens:bigint,m:bigint,take:bigint>>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        take = F.when(x["tokens"] == 0, x["m"]).otherwise(F.least(x["m"], F.floor(acc["room"] / F.greatest(x["tokens"], F.lit(1)))))
+        entry = F.struct(x["tokens"].cast("long").alias("tokens"), x["m"].alias("m"), take.alias("take"))
+        return F.struct((acc["room"] - take * x["tokens"]).alias("room"), F.when(take > 0, F.concat(acc["kept"], F.array(entry))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = sizes.select("repo", F.explode(F.aggregate("s", start, step, lambda acc: acc["kept"])).alias("k")).select("repo", "k.*")
+    # where only some of equal size are kept, the last of them: first in each of many parts, then over the parts' first
+    some = files.join(kept.where("take < m"), ["repo", "tokens"]).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(64)))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("repo", "tokens", *keys).orderBy("path"))
+    some = some.withColumn("rank", rank("part")).where("rank <= take").withColumn("rank", rank()).where("rank = take")
+    last = kept.join(some.select("repo", "tokens", F.col("path").alias("last")), ["repo", "tokens"], "left").drop("m", "take")
+    known = files.join(room.select("repo"), "repo").join(last.withColumn("fits", F.lit(True)), ["repo", "tokens"], "left")
+    return known.select("repo", "path", "tokens", F.coalesce(F.col("fits") & (F.col("last").isNull() | (F.col("path") <= F.col("last"))), F.lit(False)).alias("kept"))
 
 
 def truncated(content: Column, most: int = LONG_LINES) -> Column:

@@ -1,6 +1,7 @@
 """Files to knowledge, stores, manifest, enrichment and streaming, on small inputs."""
 
 import json
+import random
 
 import pytest
 
@@ -199,3 +200,24 @@ def test_included_repositories(spark):
     assert get(namespaces=["shop"], exclude=["old"]) == {"shop/web", "shopping/app"}
     assert get(owners=["shop", "other"]) == {"shop/web", "shop/old-web", "other/shop"}
     assert get(exclude=["^sh", "^$"]) == {"other/shop"}
+
+
+def greedy(sizes, room):
+    kept = set()
+    for tokens, path in sorted((-t, p) for p, t in sizes):
+        if -tokens <= room:
+            kept.add(path)
+            room += tokens
+    return kept
+
+
+def test_budget_keeps_what_a_fold_over_all_files_keeps(spark):
+    rng = random.Random(5)
+    repos = {f"r{k}": [(f"f{i:03}", rng.choice([0, 1, 2, 3, 7, 7, 7, 20, 40, 300])) for i in range(rng.choice([1, 5, 60, 300]))] for k in range(12)}
+    spent = {r: rng.choice([0, 50, 99, 100, 101]) for r in repos}
+    rows = [(r, p, t) for r, files in repos.items() for p, t in files] + [("r0", "none", None), ("unknown", "f", 1)]
+    files = spark.createDataFrame(rows, "repo string, path string, tokens bigint")
+    got = manifest.within_budget(files, spark.createDataFrame(list(spent.items()), "repo string, tokens bigint"), 100).collect()
+    assert len(got) == len(rows) - 1
+    for r, of in repos.items():
+        assert {x.path for x in got if x.repo == r and x.kept} == greedy(of, 100 - spent[r]), r
