@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, embedding_dup, html_text, licenses, near_dup, packing, quality, secrets, sharding, sql, toxicity
+from codequarry.llm import cover_codes, decontaminate, embedding_dup, html_text, licenses, near_dup, packing, quality, secrets, sharding, sql, token_files, toxicity, whitening
 from codequarry.llm.common import table
 
 QUERIES = {}
@@ -12,6 +12,7 @@ SQL = {
     "op6_secrets": sql.secrets_sql(secrets.KINDS, secrets.N_BASE, secrets.PLACEHOLDERS),
     "op8_licenses": sql.licenses_sql(licenses.rules(), licenses.PHRASES),
     "op9_decontaminate": sql.DECONTAMINATE,
+    "op13_vector_codes": sql.vector_codes_sql(cover_codes.PARTS, cover_codes.ENTRIES, cover_codes.ROUNDS, cover_codes.SCALE),
 }
 
 
@@ -68,3 +69,20 @@ def op9_decontaminate(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_whiten(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return cover_codes.code_digest(table(spark, sf_dir, "embeddings"))

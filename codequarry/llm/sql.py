@@ -94,3 +94,29 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN b ON b.row = d.row LEFT JOIN l ON l.row = d.row LEFT JOIN c ON c.row = d.row
 """
+
+
+def vector_codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Product codes after so many rounds of Lloyd's method, all in whole numbers."""
+    nearest = """
+ a{k} AS (SELECT p.vec_id, p.p, arg_min(b.e, {d} * {entries} + b.e) AS e, min({d}) AS d
+          FROM p JOIN b{k} b ON b.p = p.p GROUP BY p.vec_id, p.p)"""
+    moved = """
+ s{k} AS (SELECT p.p, a.e, i, floor(sum(p.x[i]) / count(*))::BIGINT AS x FROM p JOIN a{k} a ON a.vec_id = p.vec_id AND a.p = p.p, range(1, w + 1) r(i) GROUP BY 1, 2, 3),
+ b{n} AS (SELECT b.p, b.e, coalesce(s.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS x FROM s{k} GROUP BY 1, 2) s ON s.p = b.p AND s.e = b.e)"""
+    d = "list_sum(list_transform(range(1, w + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT"
+    steps = [nearest.format(k=0, d=d, entries=entries)]
+    for k in range(rounds):
+        steps += [moved.format(k=k, n=k + 1), nearest.format(k=k + 1, d=d, entries=entries)]
+    return f"""
+WITH
+ v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * {scale})::BIGINT) AS x FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ p AS (SELECT vec_id, label, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x, len(x) // {parts} AS w FROM v, range(0, {parts}) r(p)),
+ f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT {entries}),
+ b0 AS (SELECT p.p, f.e, p.x FROM p JOIN f ON f.vec_id = p.vec_id),{",".join(steps)},
+ c AS (SELECT a.vec_id, string_agg(printf('%02x', a.e), '' ORDER BY a.p) AS code, sum(a.d)::BIGINT AS error FROM a{rounds} a GROUP BY a.vec_id),
+ l AS (SELECT v.vec_id, v.label, c.code, c.error FROM v JOIN c ON c.vec_id = v.vec_id),
+ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT l.vec_id, l.code, l.error, (sum(l.error) OVER (PARTITION BY l.label))::BIGINT AS label_error, h.h AS codebooks_sha256 FROM l, h
+"""
