@@ -5,7 +5,10 @@ hold all documents in ascending order. Each task streams its range: a text is en
 tokenizers library piece by piece between ASCII spaces and newlines, each distinct piece once for a
 batch of rows; the vocabulary's rules never look across such a character (its normaliser only folds
 white space and case and composes marks, its pre-tokenizer drops white space), so the ids are those of
-the whole text. `whole=True` encodes whole texts, for vocabularies of other rules.
+the whole text. A piece of Latin letters, with or without one punctuation mark behind it, is a word or
+a word and a mark for the library too: such words go to its merges directly, without the passes over
+each character before them (used only if a vocabulary gives all of LETTERS the same ids both ways).
+`whole=True` encodes whole texts, for vocabularies of other rules.
 
 The file format (all numbers little-endian), one file for each `file_ids` ids (or FILE_DOCS documents) or so:
 
@@ -33,9 +36,11 @@ columns are not read; an empty table gives a manifest without files, and no rows
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import batched
 
@@ -54,7 +59,9 @@ BLOCK_IDS = 1 << 17
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 20
 LEVEL = 3  # of zstandard
-PIECES = 400_000  # that a worker remembers the ids of
+PIECES = 300_000  # that a worker remembers the ids of
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # single characters under every normal form but the decomposed ones
+WORD = re.compile(f"([{LETTERS}]+)([.,;:!?]?)")
 FILES = "name string, first_id bigint, has_id boolean, first_hash bigint, nth int, n_docs bigint, n_ids bigint, bytes bigint"
 
 
@@ -188,17 +195,37 @@ _WORKER: dict = {}  # of a Python worker: the loaded tokenizer, and the ids of p
 
 def _tokenizer(path: str):
     if _WORKER.get("path") != path:
-        from tokenizers import Tokenizer
-
-        _WORKER.update(path=path, tokenizer=Tokenizer.from_file(path), pieces={})
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = Tokenizer.from_file(path)
+        letters = [c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)]
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelling = str.maketrans({c: spelt.pre_tokenize_str(c.lower())[0][0] for c in letters})
+        _WORKER.update(path=path, tokenizer=t, pieces={}, before={}, spelling=spelling)
+        probes = [*letters, *(a + b for a in letters for b in letters), *(c + m for c in letters for m in ".,;:!?"), "".join(letters)]
+        found = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(probes, add_special_tokens=False)]
+        _WORKER["words"] = all(_word(m) == f for m, f in zip(map(WORD.fullmatch, probes), found, strict=True))
     return _WORKER["tokenizer"]
 
 
-def _encoded(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as uint32 bytes."""
-    out = []
-    for at in range(0, len(texts), 20_000):
-        out += [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(texts[at : at + 20_000], add_special_tokens=False)]
+def _word(found: re.Match) -> bytes:
+    """Ids of a word and the mark behind it, by the vocabulary's merges alone."""
+    model = _WORKER["tokenizer"].model
+    ids = [t.id for t in model.tokenize(found[1].translate(_WORKER["spelling"]))]
+    if found[2]:
+        ids += [t.id for t in model.tokenize(found[2])]
+    return array("I", ids).tobytes()
+
+
+def _encoded(path: str, texts: list[str], words: bool) -> list[bytes]:
+    """Ids of each text as uint32 bytes. words: take pieces that are words to the merges directly."""
+    t = _tokenizer(path)
+    out = [_word(m) if words and _WORKER["words"] and (m := WORD.fullmatch(x)) else None for x in texts]
+    others = [k for k, ids in enumerate(out) if ids is None]
+    for at in range(0, len(others), 20_000):
+        some = others[at : at + 20_000]
+        for k, e in zip(some, t.encode_batch([texts[k] for k in some], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
     return out
 
 
@@ -206,20 +233,19 @@ def encode(path: str, texts: pa.Array, end_id: int, whole: bool) -> tuple[np.nda
     """Numbers of ids of each text with the end id, and all ids in one array."""
     texts = pc.fill_null(texts, "")
     if whole:
-        got = _encoded(path, texts.to_pylist())
+        got = _encoded(path, texts.to_pylist(), False)
         piece_of, n_pieces = np.arange(len(got)), np.ones(len(texts), np.int64)
     else:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         _tokenizer(path)
-        known, distinct = _WORKER["pieces"], coded.dictionary.to_pylist()
+        known, before, distinct = _WORKER["pieces"], _WORKER["before"], coded.dictionary.to_pylist()
+        known.update((p, before[p]) for p in distinct if p in before and p not in known)
         new = [p for p in distinct if p not in known]
-        made = dict(zip(new, _encoded(path, new), strict=True))
-        got = [made[p] if p in made else known[p] for p in distinct]
-        if len(known) + len(made) > PIECES:
-            known.clear()
-        if len(made) <= PIECES:
-            known.update(made)
+        known.update(zip(new, _encoded(path, new, True), strict=True))
+        got = [known[p] for p in distinct]
+        if len(known) > PIECES // 2:  # what is not met again until then is forgotten
+            _WORKER.update(before=known, pieces={})
         piece_of, n_pieces = coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(split).to_numpy(zero_copy_only=False)
     flat, sizes = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
     starts = np.cumsum(sizes) - sizes

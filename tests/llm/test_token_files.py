@@ -14,6 +14,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " ", "\n\n", "Hello  world\nagain", "it's they'll 'S", "<|endoftext|> a<|startoftext|>b <|EndOfText|>", "é ́a ́", "a b c d",
     "\x1c\x1d mid\x85dle", "ΑΣ ΣΑΣ", "İstanbul ǅ", "한국 어 한", "12,345.67 and, so. on...", "\t tab\r\nline\x0bv\x0cf", "🙂 👩‍👩‍👧", "x" * 5000, "﻿bom ‍ zwj",
+    "Ångström, Straße; ÀÉÎÕÜ! ŸÿØ ×÷ Ünder. ÐÞþ: ªº µm and,, and.) the?! naïve-é",
 ]
 
 
