@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,17 +14,56 @@ from codequarry.model import SCHEMAS
 from codequarry.operators import render
 from codequarry.operators.knowledge import Knowledge
 from codequarry.operators.tables import keep_last
+from codequarry.sources.versions import PART, Change, State, Store, part_of
 
 
-def save(kb: Knowledge, path: str) -> None:
-    """Each table as Parquet below path, those with a repository partitioned by it."""
-    for name, df in kb.named().items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("repo") if "repo" in df.columns else writer).parquet(f"{path}/{name}")
+def _repo(df: DataFrame) -> str:
+    return "repo" if "repo" in df.columns else "repo_name"
+
+
+def save(kb: Knowledge, path: str, parts: int = 16) -> State:
+    """All tables as one new version of the store at path, bucketed by repository. Readers see it when it is whole."""
+    store = Store(kb.schemas.sparkSession, path)
+    return store.commit({n: Change(df.withColumn(PART, part_of(_repo(df), parts=parts))) for n, df in kb.named().items()}, meta={"parts": parts})
 
 
-def load(spark: SparkSession, path: str) -> Knowledge:
-    return Knowledge.of(spark, **{n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in SCHEMAS.items()})
+def load(spark: SparkSession, path: str, version: int | None = None, repo: str | None = None) -> Knowledge:
+    """The latest version of a store or a given one; of one repository, only its bucket is read."""
+    store = Store(spark, path)
+    state = store.state(version)
+    if not state.version:
+        return Knowledge.of(spark)
+    parts = None
+    if repo is not None:
+        parts = [spark.range(1).select(part_of(F.lit(repo), parts=state.meta["parts"])).first()[0]]
+    tables = {n: store.read(n, state, parts) for n in SCHEMAS}
+    if repo is not None:
+        tables = {n: df.where(F.col(_repo(df)) == repo) for n, df in tables.items()}
+    return Knowledge.of(spark, **tables)
+
+
+def upsert(new: Knowledge, path: str, repos: DataFrame | None = None) -> State:
+    """Records of repositories in place of the stored ones, in all tables; only their buckets are written anew.
+
+    repos: the repositories, as column repo; those that new has records of, unless given. One that is given
+    without records is taken out of the store.
+    """
+    spark = new.schemas.sparkSession
+    store = Store(spark, path)
+    state = store.state()
+    if not state.version:
+        return save(new, path)
+    n = state.meta["parts"]
+    if repos is None:
+        repos = reduce(DataFrame.union, [df.select(F.col(_repo(df)).alias("repo")) for df in new.named().values()])
+    repos = repos.select("repo").distinct()
+    touched = [r[0] for r in repos.select(part_of("repo", parts=n).alias("p")).distinct().collect()]  # at most n numbers
+    changes = {}
+    for name, df in new.named().items():
+        key = _repo(df)
+        kept = store.read(name, state, touched).drop(PART).join(repos.withColumnRenamed("repo", key), key, "left_anti")
+        changes[name] = Change(kept.select(*df.columns).unionByName(df).withColumn(PART, part_of(key, parts=n)), touched)
+    return store.commit(changes, state)
 
 
 def save_json(kb: Knowledge, path: str) -> None:
