@@ -71,23 +71,101 @@ def rows(files: DataFrame, records: Column, **columns) -> DataFrame:
     return each.select("source_file", "pos", *[f(F.col("r")).alias(n) for n, f in columns.items()])
 
 
-def after(text: Column, pattern: str) -> Column:
-    """For each match of a pattern, the text from its start on."""
+# matches and bodies by position -------------------------------------------------------------
+
+CHUNK = 4096  # characters of a piece of a file; a cut joins only the pieces that it lies in
+
+
+def running(items: Column, state: Column, made: str, step, part: int = 256) -> Column:
+    """What step makes of an array's items in turn: step(state, item) gives the next state and one value of type `made`.
+
+    Values are gathered part by part, so that very many items don't copy one growing array again and again.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        new, out = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def outer(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(items, k * part + 1, F.lit(part)), F.struct(acc["state"].alias("state"), none(f"array<{made}>").alias("out")), inner)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    parts = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / part).cast("int"))).otherwise(none("array<int>"))
+    return F.aggregate(parts, F.struct(state.alias("state"), none(f"array<array<{made}>>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Each match of a pattern as struct<at, m>: its offset in characters, from 0, and its text."""
     parts = F.struct(F.split(text, "(?U)" + pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("hits"))
-    rest = lambda p, i: F.zip_with(F.slice(p["hits"], i + 1, F.size(p["hits"])), F.slice(p["gaps"], i + 2, F.size(p["gaps"])), lambda h, g: F.concat(h, g))
-    return let(parts, lambda p: F.transform(p["hits"], lambda h, i: F.array_join(rest(p, i), "")))
 
+    def of(p: Column) -> Column:
+        items = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), p["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("m")))
+        step = lambda at, x: (at + x["gap"] + F.length(x["m"]), F.struct((at + x["gap"]).alias("at"), x["m"].alias("m")))
+        return let(items, lambda i: running(i, F.lit(0), "struct<at:int,m:string>", step))
+
+    return let(parts, of)
+
+
+def braces(text: Column) -> Column:
+    """All braces as struct<level, at, up>: the depth outside of the brace, its offset, and whether it opens."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.endswith(p, F.lit("{")).alias("up")))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        depth = s["depth"] + F.when(x["up"], 1).otherwise(-1)
+        at = s["at"] + x["n"]
+        level = F.when(x["up"], s["depth"]).otherwise(depth)
+        return F.struct(depth.alias("depth"), at.alias("at")), F.struct(level.alias("level"), (at - 1).alias("at"), x["up"].alias("up"))
+
+    return let(runs, lambda r: running(r, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at")), "struct<level:int,at:int,up:boolean>", step))
+
+
+def closed(text: Column, hits: Column) -> Column:
+    """Hits (at, m) with end: the offset of the brace that closes the first one opened after the hit; -1 if none does.
+
+    Sorted by level and offset, a brace that opens stands before the one that closes it. Hits and opening
+    braces are then walked from the end of the file, so each hit meets the brace that follows it.
+    """
+
+    def ends(by_level: Column) -> Column:
+        pairs = F.zip_with(by_level, F.slice(by_level, F.lit(2), F.size(by_level)), lambda a, b: F.struct(a["at"].alias("at"), a["up"].alias("up"), F.when((a["level"] == b["level"]) & ~b["up"], b["at"]).otherwise(F.lit(-1)).alias("end")))
+        opening = F.filter(pairs, lambda x: F.coalesce(x["up"], F.lit(False)))
+        event = lambda at, end, m: F.struct(at.alias("at"), end.alias("end"), m.alias("m"))
+        every = F.concat(F.transform(opening, lambda x: event(x["at"], x["end"], F.lit(None).cast("string"))), F.transform(hits, lambda h: event(h["at"], F.lit(None).cast("int"), h["m"])))
+        back = F.reverse(F.array_sort(every))
+        step = lambda last, e: (F.coalesce(e["end"], last), F.struct(e["at"].alias("at"), e["m"].alias("m"), F.coalesce(e["end"], last).alias("end")))
+        return let(back, lambda b: running(b, F.lit(-1), "struct<at:int,m:string,end:int>", step))
+
+    return F.reverse(F.filter(let(F.array_sort(braces(text)), ends), lambda h: h["m"].isNotNull()))
+
+
+def chunks(text: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(CHUNK)))
+
+
+def cut(pieces: Column, at: Column, n: Column) -> Column:
+    """n characters of a text in chunks, from an offset on."""
+    first = F.floor(at / CHUNK).cast("int")
+    last = F.floor((at + F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (at - first * CHUNK + 1).cast("int"), n)
+
+
+def sections(text: Column, pattern: str, before: int = 0, ahead: int = 0, bodies: bool = True) -> Column:
+    """Each match of a pattern as struct<m, body, before, ahead>, in the order of the file.
+
+    m: the match; body: from the match to the brace that closes the first one opened behind it, "" if
+    none does; before and ahead: so many characters before and behind the match.
+    """
 
-def balanced(text: Column) -> Column:
-    """The head of a text up to the brace that closes its first open one; "" if none does."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    def of(w: Column) -> Column:
+        def one(h: Column) -> Column:
+            body = F.when(h["end"] >= 0, cut(w["c"], h["at"], h["end"] - h["at"] + 1)).otherwise("") if bodies else F.lit("")
+            start = F.greatest(h["at"] - before, F.lit(0))
+            head = cut(w["c"], start, h["at"] - start) if before else F.lit("")
+            rest = cut(w["c"], h["at"] + F.length(h["m"]), F.lit(ahead)) if ahead else F.lit("")
+            return F.struct(h["m"].alias("m"), body.alias("body"), head.alias("before"), rest.alias("ahead"))
 
-    def step(s: Column, p: Column) -> Column:
-        up = F.endswith(p, F.lit("{"))
-        depth = s["depth"] + F.when(up, 1).otherwise(-1)
-        n = s["n"] + F.length(p)
-        closed = (s["end"] == 0) & ~up & s["open"] & (depth == 0)
-        return F.struct(depth.alias("depth"), (s["open"] | up).alias("open"), n.alias("n"), F.when(closed, n).otherwise(s["end"]).alias("end"))
+        return F.transform(w["h"], one)
 
-    return F.substring(text, F.lit(1), F.aggregate(parts, start, step, lambda s: s["end"]))
+    found_ = let(places(text, pattern), lambda h: F.when(F.size(h) > 0, closed(text, h)).otherwise(none("array<struct<at:int,m:string,end:int>>"))) if bodies else places(text, pattern)
+    return let(F.struct(chunks(text).alias("c"), found_.alias("h")), of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators.extract import after, balanced, field, found, let, relation, rows, some, strip
+from codequarry.operators.extract import field, found, relation, rows, sections, some, strip
 
 # Fixed values.
 ENTITY = r"@(?:Entity|Table|Document|Embeddable)\s*(?:\([^)]*\))?\s*(?:public\s+)?class\s+(\w+)"
@@ -39,8 +39,7 @@ def _links(body: Column, pattern: str, kind: str) -> Column:
 
 def entities(files: DataFrame) -> DataFrame:
     """Annotated classes with the fields and relations of their bodies; an unclosed body is empty."""
-    starts = F.transform(after(F.col("content"), ENTITY), lambda t: F.struct(F.regexp_extract(t, U + ENTITY, 1).alias("name"), balanced(t).alias("body")))
-    return rows(files, starts, name=lambda r: r["name"], type=lambda r: F.lit("entity"), fields=lambda r: fields(r["body"]), relationships=lambda r: relations(r["body"]), raw_definition=lambda r: r["body"])
+    return rows(files, sections(F.col("content"), ENTITY), name=lambda r: F.regexp_extract(r["m"], U + ENTITY, 1), type=lambda r: F.lit("entity"), fields=lambda r: fields(r["body"]), relationships=lambda r: relations(r["body"]), raw_definition=lambda r: r["body"])
 
 
 def _params(text: Column) -> Column:
@@ -60,13 +59,12 @@ def services(files: DataFrame) -> DataFrame:
     text = F.col("content")
     names = lambda pattern: F.transform(found(text, pattern, 1), lambda m: m["g1"])
 
-    def comment(t: Column) -> Column:
-        before = F.right(F.substring(text, F.lit(1), F.length(text) - F.length(t)), F.lit(500))
-        doc = F.regexp_extract(before, r"(?s)/\*\*(.*?)\*/", 1)
+    def comment(r: Column) -> Column:
+        doc = F.regexp_extract(r["before"], r"(?s)/\*\*(.*?)\*/", 1)
         return F.when(doc != "", strip(F.regexp_replace(doc, r"(?m)^\s*\*\s?", "")))
 
     return rows(
-        files, after(text, SERVICE), name=lambda t: F.regexp_extract(t, U + SERVICE, 1), type=lambda t: F.lit("service"), description=comment, methods=lambda t: let(balanced(t), methods),
+        files, sections(text, SERVICE, before=500), name=lambda r: F.regexp_extract(r["m"], U + SERVICE, 1), type=lambda r: F.lit("service"), description=comment, methods=lambda r: methods(r["body"]),
         dependencies=lambda t: F.array_sort(F.array_distinct(F.concat(*[names(p) for p in INJECTED]))), data_accessed=lambda t: F.array_sort(F.array_distinct(names(REPOSITORY_CALL))),
     )
 
@@ -79,12 +77,11 @@ def endpoints(files: DataFrame) -> DataFrame:
     def of(name: str, verb: str) -> Column:
         pattern = f"@{name}{MAPPING}"
 
-        def one(t: Column) -> Column:
-            rest = F.substring(t, F.length(F.regexp_extract(t, U + pattern, 0)) + 1, F.lit(200))
-            handler = F.regexp_extract(rest, U + HANDLER, 1)
-            return F.struct(F.lit(verb).alias("method"), F.concat(base, F.regexp_extract(t, U + pattern, 1)).alias("path"), F.when(handler != "", handler).otherwise("unknown").alias("handler"))
+        def one(r: Column) -> Column:
+            handler = F.regexp_extract(r["ahead"], U + HANDLER, 1)
+            return F.struct(F.lit(verb).alias("method"), F.concat(base, F.regexp_extract(r["m"], U + pattern, 1)).alias("path"), F.when(handler != "", handler).otherwise("unknown").alias("handler"))
 
-        return F.transform(after(text, pattern), one)
+        return F.transform(sections(text, pattern, ahead=200, bodies=False), one)
 
     return rows(files, F.concat(*[of(n, v) for n, v in MAPPINGS]), path=lambda r: r["path"], method=lambda r: r["method"], handler=lambda r: r["handler"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators.extract import after, balanced, field, found, let, lines, method, no_relations, relation, rows, some, strip
+from codequarry.operators.extract import field, found, lines, method, no_relations, relation, rows, sections, some, strip
 
 # Fixed values.
 INTERFACE = r"(?:export\s+)?interface\s+(\w+)(?:<[^>]+>)?\s*(?:extends\s+[^{]+)?\s*\{([^}]+)\}"
@@ -71,10 +71,10 @@ def prisma_models(files: DataFrame) -> DataFrame:
 def services(files: DataFrame) -> DataFrame:
     """Classes named like services that have methods, with the types their constructors are given."""
     methods = lambda body: F.transform(F.filter(found(body, METHOD, 3), lambda m: ~m["g1"].isin(NOT_METHODS)), lambda m: method(m["g1"], m["g2"], F.when(m["g3"] != "", strip(m["g3"]))))
-    given = lambda t: F.regexp_extract(F.substring(t, 1, 2000), U + CONSTRUCTOR, 1)
-    named = lambda t: F.regexp_extract(t, U + CLASS, 1)
-    starts = F.filter(after(F.col("content"), CLASS), lambda t: named(t).rlike(SERVICE_NAMES))
-    found_ = rows(files, starts, name=named, type=lambda t: F.lit("service"), methods=lambda t: let(balanced(t), methods), dependencies=lambda t: F.transform(found(given(t), INJECTED, 1), lambda m: m["g1"]))
+    given = lambda r: F.regexp_extract(F.left(F.concat(r["m"], r["ahead"]), F.lit(2000)), U + CONSTRUCTOR, 1)
+    named = lambda r: F.regexp_extract(r["m"], U + CLASS, 1)
+    classes = F.filter(sections(F.col("content"), CLASS, ahead=2000), lambda r: named(r).rlike(SERVICE_NAMES))
+    found_ = rows(files, classes, name=named, type=lambda r: F.lit("service"), methods=lambda r: methods(r["body"]), dependencies=lambda r: F.transform(found(given(r), INJECTED, 1), lambda m: m["g1"]))
     return found_.where("size(methods) > 0")
 
 

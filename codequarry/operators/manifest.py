@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text, token_estimate
+from codequarry.operators.outline import outline
 
 # Fixed values.
-SKIP_DIRS = "node_modules vendor .venv venv __pycache__ target build dist .git .idea .vscode".split()
-BINARY_EXTENSIONS = ".png .jpg .jpeg .gif .bmp .ico .svg .webp .tiff .woff .woff2 .ttf .otf .eot .zip .tar .gz .bz2 .xz .rar .7z .pyc .pyo .class .o .so .dylib .dll .exe .jar .war .ear .mp3 .mp4 .avi .mov .wav .flac .pdf .doc .docx .xls .xlsx .ppt .pptx .db .sqlite .sqlite3".split()
-LOCK_FILES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock Cargo.lock go.sum Gemfile.lock composer.lock Pipfile.lock".split()
-ENTRY_POINTS = "main.py app.py index.ts index.js application.java main.java main.go server.py server.js server.ts".split()
-CONFIG_NAMES = "docker-compose.yml docker-compose.yaml docker-compose.override.yml dockerfile pom.xml build.gradle build.gradle.kts package.json go.mod pyproject.toml cargo.toml requirements.txt gemfile makefile cmakelists.txt tsconfig.json webpack.config.js vite.config.ts vite.config.js".split()
-CONFIG_EXTENSIONS = ".yaml .yml .toml .ini".split()
-TIER1_WORDS = "route controller handler endpoint model schema entity migration".split()
-SOURCE_EXTENSIONS = ".py .java .go .js .ts .jsx .tsx .rb .rs .cs .php .sql .graphql .proto".split()
+SKIP_DIRS = [
+    "node_modules", "vendor", ".venv", "venv", "__pycache__", "target", "build", "dist", ".git", ".idea",
+    ".vscode",
+]
+BINARY_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".tiff", ".woff", ".woff2", ".ttf", ".otf",
+    ".eot", ".zip", ".tar", ".gz", ".bz2", ".xz", ".rar", ".7z", ".pyc", ".pyo", ".class", ".o", ".so", ".dylib",
+    ".dll", ".exe", ".jar", ".war", ".ear", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".flac", ".pdf", ".doc",
+    ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".db", ".sqlite", ".sqlite3",
+]
+LOCK_FILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Cargo.lock", "go.sum", "Gemfile.lock",
+    "composer.lock", "Pipfile.lock",
+]
+ENTRY_POINTS = [
+    "main.py", "app.py", "index.ts", "index.js", "application.java", "main.java", "main.go", "server.py",
+    "server.js", "server.ts",
+]
+CONFIG_NAMES = [
+    "docker-compose.yml", "docker-compose.yaml", "docker-compose.override.yml", "dockerfile", "pom.xml",
+    "build.gradle", "build.gradle.kts", "package.json", "go.mod", "pyproject.toml", "cargo.toml",
+    "requirements.txt", "gemfile", "makefile", "cmakelists.txt", "tsconfig.json", "webpack.config.js",
+    "vite.config.ts", "vite.config.js",
+]
+CONFIG_EXTENSIONS = [
+    ".yaml", ".yml", ".toml", ".ini",
+]
+TIER1_WORDS = [
+    "route", "controller", "handler", "endpoint", "model", "schema", "entity", "migration",
+]
+SOURCE_EXTENSIONS = [
+    ".py", ".java", ".go", ".js", ".ts", ".jsx", ".tsx", ".rb", ".rs", ".cs", ".php", ".sql", ".graphql",
+    ".proto",
+]
 LANGUAGES = {
     ".py": "python", ".pyi": "python", ".java": "java", ".go": "go", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".rb": "ruby", ".rs": "rust", ".cs": "csharp",
     ".php": "php", ".sql": "sql", ".graphql": "graphql", ".gql": "graphql", ".proto": "protobuf", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".json": "json", ".xml": "xml", ".ini": "ini", ".cfg": "ini",
@@ -109,69 +134,6 @@ def truncated(content: Column, most: int = LONG_LINES) -> Column:
     return F.when(F.size(parts) > most, F.concat(F.array_join(F.slice(parts, 1, most), "\n"), F.lit("\n# ... (truncated)\n"))).otherwise(content)
 
 
-_PY_KEEP = re.compile(r"(import |from |@|class |def |async def |#|[A-Z][A-Z0-9_]* *(=|:))")
-_BRACE_KEEP = re.compile(r"(import|export|package|use|using|@|//|/\*|\*|#\[|public|private|protected|internal|abstract|static|final|async|class|interface|enum|struct|trait|impl|type|func|fn|pub|mod|namespace|record|const|let|var|function|override|readonly|get |set )")
-
-
-def python_outline(source: str) -> str:
-    """Imports, decorators, signatures, docstrings, comments and constants; bodies become dots."""
-    out, skip_above, quote = [], None, ""
-    after_header = False
-    for line in (source or "").splitlines():
-        bare = line.strip()
-        if quote:
-            out.append(line)
-            quote = "" if quote in bare else quote
-            continue
-        if not bare:
-            continue
-        indent = len(line) - len(line.lstrip())
-        opens = re.match(r'[rRbBuU]?("""|\'\'\')', bare)
-        if after_header and opens:
-            out.append(line)
-            quote = "" if opens[1] in bare[opens.end() :] else opens[1]
-            after_header = False
-            continue
-        if skip_above is not None and indent > skip_above:
-            after_header = False
-            continue
-        skip_above = None
-        if re.match(r"(async )?def |class ", bare):
-            out.append(line)
-            after_header = True
-            if not bare.startswith("class"):
-                skip_above = indent
-                out.append(" " * (indent + 4) + "...")
-        elif _PY_KEEP.match(bare):
-            out.append(line)
-            after_header = False
-    return "\n".join(out)
-
-
-def brace_outline(source: str) -> str:
-    """Declarations at the top and inside of types; the bodies of functions become dots."""
-    out, depth, hidden_at, types = [], 0, None, []
-    for line in (source or "").splitlines():
-        bare = line.strip()
-        code = re.sub(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|//.*', "", bare)
-        ups, downs = code.count("{"), code.count("}")
-        if hidden_at is None and bare and (depth == len(types)) and (_BRACE_KEEP.match(bare) or "(" in bare or bare.startswith("}")):
-            is_type = re.search(r"\b(class|interface|enum|struct|trait|impl|namespace|record|mod)\b", code) and ups > downs
-            if ups > downs and not is_type:
-                out.append(line.rstrip()[:-1].rstrip() + " { ... }" if line.rstrip().endswith("{") else line)
-                hidden_at = depth
-            else:
-                out.append(line)
-                if is_type:
-                    types.append(depth)
-        depth += ups - downs
-        if hidden_at is not None and depth <= hidden_at:
-            hidden_at = None
-        while types and depth <= types[-1]:
-            types.pop()
-    return "\n".join(out)
-
-
 def generic_outline(content: Column) -> Column:
     """Structural, decorator and comment lines."""
     keep = F.filter(F.split(text(content), "\n"), lambda s: s.rlike(r"^\s*(@|#|//|/\*|\*|--|def |class |module |function |fn |pub |type |interface |enum |message |service |rpc |input |create |alter |namespace |use |import |package |require )") | s.rlike(r"(?i)^\s*create\s"))
@@ -183,7 +145,7 @@ def outlines(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def by_parser(lang: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([python_outline(c) if k == "python" else brace_outline(c) for k, c in zip(lang, content, strict=True)], dtype=object)
+        return pd.Series([outline(c, k) for k, c in zip(lang, content, strict=True)], dtype=object)
 
     known = F.col("__lang").isin("python", "java", "go", "csharp", "rust", "javascript", "typescript")
     with_ = files.withColumn("__lang", language(F.col("path")))
