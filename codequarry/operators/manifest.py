@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text, token_estimate
-from codequarry.operators.outline import outline
+from codequarry.operators.outline import OUTLINED, outline
 
 # Fixed values.
 SKIP_DIRS = [
@@ -145,9 +145,9 @@ def outlines(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def by_parser(lang: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([outline(c, k) for k, c in zip(lang, content, strict=True)], dtype=object)
+        return pd.Series([outline(c, k) if k in OUTLINED else "" for k, c in zip(lang, content, strict=True)], dtype=object)
 
-    known = F.col("__lang").isin("python", "java", "go", "csharp", "rust", "javascript", "typescript")
+    known = F.col("__lang").isin(*OUTLINED)
     with_ = files.withColumn("__lang", language(F.col("path")))
     return with_.withColumn("outline", F.when(known, by_parser("__lang", text("content"))).otherwise(generic_outline(F.col("content")))).drop("__lang")
 

@@ -31,6 +31,7 @@ _TOKENS = {
     "python": [("comment", r"#[^\n]*"), ("string", r"\b[rRbBuUfF]{0,2}(?P<q3>\"\"\"|''')(?:(?:\\.|[^\\])*?(?P=q3)|.*\Z)"), ("string", r"(?P<q3b>\"\"\"|''')(?:(?:\\.|[^\\])*?(?P=q3b)|.*\Z)"), ("string", r"\"(?:\\.|[^\"\\\n])*\"?"), ("string", r"'(?:\\.|[^'\\\n])*'?")],
 }
 _TOKENS["typescript"] = _TOKENS["javascript"]
+OUTLINED = tuple(_TOKENS)
 _LEXERS = {k: re.compile("|".join(f"(?P<t{n}_{kind}>{p})" for n, (kind, p) in enumerate(tokens)), re.S) for k, tokens in _TOKENS.items()}
 _NESTED = re.compile(r"/\*|\*/")
 _TEMPLATE = re.compile(r"\\.|\$\{|`", re.S)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions import safe_filename
 from codequarry.model import SCHEMAS
 from codequarry.operators import render
 from codequarry.operators.knowledge import Knowledge
 from codequarry.operators.tables import keep_last
+from codequarry.sources.page_files import write_tree
 from codequarry.sources.versions import PART, Change, State, Store, part_of
 
 
@@ -133,11 +133,22 @@ def _colons(schema: str) -> str:
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks as save_chunks has written them, or from a file that is one JSON array; of equal ids the last."""
-    kind = "id string, type string, name string, repo string, text string, ord bigint"
-    lines = spark.read.schema(kind + ", _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    whole = spark.read.schema(kind).json(path, multiLine=True) if lines.where("id is null").limit(1).count() else lines.drop("_corrupt_record")
-    rows = whole.where("id is not null").withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id()))
+    """Chunks as save_chunks has written them (JSON lines), or from files that are one JSON array each.
+
+    What a file is, its first character says. Rows without an id are left out; of equal ids the last one
+    by file, then by place in it, counts.
+    """
+    kind = "id string, type string, name string, repo string, text string"
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    filled = lines.where(F.trim("value") != "")
+    arrays = filled.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("block", "at")).alias("first")).where("first = '['").select("file")
+    names = [r.file for r in arrays.collect()]  # whole arrays are read by one task each: files for one reader
+    one = filled.where(~F.col("file").isin(names)) if names else filled
+    rows = one.select("file", F.struct("block", "at").alias("place"), F.from_json("value", kind).alias("r"))
+    for name in names:
+        whole = spark.read.text(name, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_colons(kind)}>>")).alias("pos", "r"))
+        rows = rows.unionByName(whole.select(F.lit(name).alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("at")).alias("place"), "r"))
+    rows = rows.where("r.id is not null").select("r.*", F.struct("file", "place").alias("ord"))
     return keep_last(rows, "id").drop("ord")
 
 
@@ -181,15 +192,22 @@ def save_markdown(kb: Knowledge, path: str) -> None:
     pages(kb).withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").json(path)
 
 
-def write_pages(rows: Iterable, folder: str) -> int:
-    """Write (file, body) rows, as from toLocalIterator(), as files; for browsing on one machine."""
-    n = 0
-    for r in rows:
-        at = Path(folder, r.file)
-        at.parent.mkdir(parents=True, exist_ok=True)
-        at.write_text(r.body, encoding="utf-8")
-        n += 1
-    return n
+def tree(kb: Knowledge, relationships: dict | None = None) -> DataFrame:
+    """The files of the documentation: markdown/... with its index, context/REPOSITORY/context.md, context/relationships.json."""
+    spark = kb.schemas.sparkSession
+    own = pages(kb).where(~F.startswith("file", F.lit("contexts/"))).select(F.concat(F.lit("markdown/"), "file").alias("file"), "body")
+    name = safe_filename(F.coalesce("repo_name", F.lit("unknown")))
+    contexts = kb.contexts.select(F.concat(F.lit("context/"), name, F.lit("/context.md")).alias("file"), F.coalesce("context_markdown", F.lit("")).alias("body"), "ord")
+    contexts = keep_last(contexts, "file").drop("ord")
+    single = [("markdown/index.md", index_page(kb))]
+    if relationships:
+        single.append(("context/relationships.json", json.dumps(relationships, indent=2)))
+    return own.unionByName(contexts).unionByName(spark.createDataFrame(single, "file string, body string"))
+
+
+def save_tree(kb: Knowledge, path: str, relationships: dict | None = None) -> None:
+    """The documentation as files below path, written by the tasks; the tree is replaced when all of it is written."""
+    write_tree(tree(kb, relationships), path)
 
 
 def load_settings(path: str) -> dict:

@@ -86,8 +86,10 @@ def test_stores_round_trip(spark, extracted, tmp_path):
     loaded = stores.load_json(spark, str(tmp_path / "kb.json"))
     assert [(r.name, r.ord, len(r.fields)) for r in loaded.schemas.orderBy("ord").collect()] == [("User", 0, 1), ("B", 1, 0)]
     assert stores.load_json(spark, str(tmp_path / "none.json")).schemas.count() == 0
-    assert stores.write_pages(stores.pages(kb).toLocalIterator(), str(tmp_path / "md")) == 6
-    assert "| id | INT | primary_key |" in (tmp_path / "md/schemas/users.md").read_text()
+    stores.save_tree(kb, str(tmp_path / "docs"), {"data_routing": [1]})
+    assert "| id | INT | primary_key |" in (tmp_path / "docs/markdown/schemas/users.md").read_text()
+    assert json.loads((tmp_path / "docs/context/relationships.json").read_text()) == {"data_routing": [1]}
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("docs")) == ["docs"]
     (tmp_path / "c.json").write_text(json.dumps([{"id": "a", "text": "1"}, {"id": "a", "text": "2"}]))
     assert [r.text for r in stores.load_chunks(spark, str(tmp_path / "c.json")).collect()] == ["2"]
 
