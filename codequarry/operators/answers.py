@@ -39,7 +39,7 @@ def records(answers: DataFrame) -> tuple[Knowledge, DataFrame]:
 
     def each(kind: str, *columns: Column) -> DataFrame:
         rows = read.select("repo", "source_file", "at", F.posexplode(f"a.{kind}").alias("pos", "r"))
-        return rows.select("repo", "source_file", (F.col("at") * 100_000 + F.col("pos")).alias("ord"), *columns)
+        return rows.select("repo", "source_file", (F.col("at") * (1 << 24) + F.col("pos")).alias("ord"), *columns)
 
     plain = lambda *names: [F.col(f"r.{n}").alias(n) for n in names]
     calls = F.transform("r.methods", lambda m: F.struct(m["name"].alias("name"), F.lit(None).cast(PARAMS).alias("params"), m["params"].alias("params_raw"), m["returns"].alias("returns"), m["docstring"].alias("docstring"), m["description"].alias("description")))
@@ -117,10 +117,6 @@ def stored_answers(spark, path: str) -> DataFrame | None:
     return found.groupBy("key").agg(F.min("answer").alias("answer"))
 
 
-def file_key(content: str = "content", path: str = "path") -> Column:
-    return cache_key(content, path)
-
-
 def describe_apis(apis: DataFrame, descriptions: DataFrame) -> DataFrame:
     """APIs with business_description, from rows (key, description) whose key is METHOD path."""
     d = descriptions.groupBy(F.col("key").alias("__key")).agg(F.max("description").alias("business_description"))
@@ -150,11 +146,6 @@ def normalized_hits(hits: DataFrame, preview: int = 200) -> DataFrame:
     return hits.select(F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("name", "id").alias("name"), text("repo").alias("repo"), F.col("similarity").alias("score"), F.substring(text("text"), 1, preview).alias("preview"))
 
 
-def set_relationships(current: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The stored relationships (kind, body): replaced as a whole."""
-    return new.select("kind", F.col("body").cast("string").alias("body"))
-
-
 def built_relationships(routing: DataFrame, chains: DataFrame, services: DataFrame) -> DataFrame:
     """Routing, chains and the service map as rows (kind, body), each body one JSON object."""
     rows = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("body"))

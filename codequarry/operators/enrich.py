@@ -112,7 +112,17 @@ def extract(files: DataFrame, cache: DataFrame | None, provider: Provider, rate_
 
 
 def split_context(df: DataFrame, column: str = "answer", marker: str = "---METADATA---") -> DataFrame:
-    """Markdown before the marker and the JSON after it; without the marker all is Markdown."""
+    """Markdown before the marker and the JSON after it.
+
+    Without the marker, an object with a purpose_summary is looked for in the whole answer; the Markdown
+    then ends before its fence, or before the last open brace if there is none. Else all is Markdown.
+    """
     has = F.contains(text(column), F.lit(marker))
     with_ = df.withColumn("markdown", F.when(has, F.split_part(column, F.lit(marker), F.lit(1))).otherwise(text(column))).withColumn("__meta", F.when(has, F.split_part(column, F.lit(marker), F.lit(2))).otherwise(F.col(column)))
-    return salvage_json(with_, "__meta").withColumn("markdown", F.regexp_replace("markdown", r"^\s+|\s+$", "")).drop("__meta")
+    made = salvage_json(with_, "__meta").drop("__meta")
+    trailing = ~has & F.get_json_object("json", "$.purpose_summary").isNotNull()
+    brace = F.length(column) - F.locate("{", F.reverse(F.col(column)))  # characters before the last one
+    before = F.when(F.contains(text(column), F.lit("{")), F.left(F.col(column), brace)).otherwise(text(column))
+    fence = F.when(F.contains(before, F.lit("```")), F.substring_index(before, "```", -1))
+    cut = F.when(fence.isNotNull(), F.left(before, F.length(before) - F.length(fence) - 3)).otherwise(before)
+    return made.withColumn("markdown", F.regexp_replace(F.when(trailing & (cut != ""), cut).otherwise(F.col("markdown")), r"^\s+|\s+$", ""))

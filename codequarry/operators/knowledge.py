@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.functions import has, match_score, same, text
+from codequarry.functions import has, same, text
 from codequarry.model import SCHEMAS
 from codequarry.operators.tables import head, keep_first
 
@@ -215,5 +215,13 @@ def recipe_match(recipe_rows: DataFrame, question: str, least: int = 4, limit: i
     return head(recipe_rows.where(hit), limit, *order)
 
 
-def score_rows(df: DataFrame, query: str, *columns: str) -> DataFrame:
-    return df.withColumn("score", match_score(query, *columns)).where("score > 0")
+def or_not_found(found: DataFrame, asked: str) -> DataFrame:
+    """What a lookup has found, with asked and found; one row of nulls with found = false if it is nothing."""
+    one = found.sparkSession.range(1).select(F.lit(asked).alias("asked"))
+    marked = found.withColumn("__found", F.lit(True))
+    return one.join(marked, F.lit(True), "left").withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
+
+
+def get_record(df: DataFrame, name: str) -> DataFrame:
+    """The first record whose name contains the given one, or the row of or_not_found."""
+    return or_not_found(head(find_contains(df, "name", name), 1), name)

@@ -49,6 +49,11 @@ LANGUAGES = {
     ".php": "php", ".sql": "sql", ".graphql": "graphql", ".gql": "graphql", ".proto": "protobuf", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".json": "json", ".xml": "xml", ".ini": "ini", ".cfg": "ini",
     ".md": "markdown", ".rst": "restructuredtext", ".txt": "text", ".sh": "bash", ".bash": "bash", ".zsh": "zsh", ".dockerfile": "dockerfile",
 }
+#: Of files that are sent to a model; other names are "unknown".
+MODEL_LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".java": "java", ".go": "go", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".rb": "ruby", ".rs": "rust", ".cs": "csharp",
+    ".php": "php", ".sql": "sql", ".graphql": "graphql", ".gql": "graphql", ".proto": "protobuf", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".xml": "xml",
+}
 MAX_TOKENS, OVERHEAD, LONG_LINES = 150_000, 2000, 200
 
 
@@ -73,6 +78,12 @@ def language(path: Column) -> Column:
     return F.when(F.startswith(F.lower(name_of(path)), F.lit("dockerfile")), "dockerfile").otherwise(F.coalesce(F.try_element_at(table, F.lower(suffix_of(path))), F.lit("unknown")))
 
 
+def model_language(path: Column) -> Column:
+    """Language by extension, of files for a model."""
+    known = F.create_map(*[F.lit(x) for kv in MODEL_LANGUAGES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.lower(suffix_of(path))), F.lit("unknown"))
+
+
 def is_binary(path: Column, content: Column) -> Column:
     """By extension, by the name of a lock file (lower-cased before it is looked up), or by a zero byte at the head."""
     head = F.substring(content.cast("binary"), 1, 8192)

@@ -6,9 +6,11 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
+from codequarry.operators import knowledge
 from codequarry.operators.knowledge import Knowledge
 from codequarry.operators.term_index import TermIndex
 from codequarry.operators.vector_index import Collection
+from codequarry.plans import plugins
 from codequarry.plans.queries import _AT, _HITS, Q2, _with, query
 from codequarry.plans.tables import knowledge as kb_of
 from codequarry.plans.tables import line_dependencies, supplier_contexts, supplier_services, table
@@ -124,3 +126,25 @@ def store_one_repository(spark, sf_dir):
     """One repository's rows, read from its bucket."""
     return stores.load(spark, _upserted(spark, sf_dir), repo="repo-7").dependencies.select("repo", "name", "version", "ord")
 
+
+
+def _length_record(path, content):
+    if len(content) % 7 == 0:
+        raise ValueError("seven")
+    yield {"name": str(len(content)), "type": "text"}
+
+
+@query("SELECT doc_id::VARCHAR AS source_file, CASE WHEN length(text) % 7 <> 0 THEN length(text)::VARCHAR END AS name, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: seven' END AS description FROM documents")
+def plugin_records(spark, sf_dir):
+    """A plug-in that raises on some of the documents: their records, or what it raised."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return plugins.run(files, _length_record).select("source_file", F.get_json_object("record", "$.name").alias("name"), "description")
+
+
+@query(_with("services", "deps") + "SELECT s.name IS NOT NULL AS found, asked, s.name, s.repo FROM (SELECT 'Supplier#00000000' || k AS asked FROM (VALUES ('1'), ('x')) t(k)) a LEFT JOIN services s ON contains(s.name, asked) AND s.ord = (SELECT min(ord) FROM services WHERE contains(name, asked))")
+def get_or_not_found(spark, sf_dir):
+    """A service that is there, and one that isn't."""
+    services = supplier_services(spark, sf_dir)
+    services = Knowledge.of(spark, services=services).services
+    one = lambda name: knowledge.get_record(services, name).select("found", "asked", "name", "repo")
+    return one("Supplier#000000001").union(one("Supplier#00000000x"))

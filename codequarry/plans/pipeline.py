@@ -17,6 +17,9 @@ from codequarry.operators.manifest import name_of, suffix_of
 LANGUAGES = {"java": [".java"], "python": [".py", ".pyi"], "go": [".go", ".mod"], "javascript": [".js", ".jsx", ".ts", ".tsx"], "schema": [".sql", ".graphql", ".gql", ".proto"], "config": [".yaml", ".yml", ".toml", ".json"]}
 
 
+RECORDS = 1 << 24  # of a file and an extractor that have numbers of their own
+
+
 @dataclass
 class Extractor:
     """A rule of which files it takes, and functions that give records of a kind.
@@ -90,7 +93,9 @@ def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_
     """
     files = files.select("repo", "path", "content").persist(StorageLevel.DISK_ONLY)
     parts: dict[str, list[DataFrame]] = {}
-    for turn, x in enumerate(extractors or default_extractors()):
+    extractors = extractors or default_extractors()
+    turns = max(32, len(extractors))
+    for turn, x in enumerate(extractors):
         if strict_dispatch and x.names:
             continue
         mine = F.lower(suffix_of(F.col("path"))).isin(x.extensions) | name_of(F.col("path")).isin(x.names)
@@ -104,7 +109,9 @@ def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_
     for table, dfs in parts.items():
         df = _union(dfs).join(nth, "source_file")
         repo, path = F.split_part("source_file", F.lit("\x01"), F.lit(1)), F.split_part("source_file", F.lit("\x01"), F.lit(2))
-        place = (F.col("__nth") * 32 + F.col("__turn")) * (1 << 20) + F.coalesce("pos", F.lit(0))
+        pos = F.coalesce("pos", F.lit(0)).cast("long")
+        pos = F.when(pos < RECORDS, pos).otherwise(F.raise_error(F.concat(F.lit("too many records in "), "source_file")).cast("long"))
+        place = (F.col("__nth") * turns + F.col("__turn")) * RECORDS + pos
         tables[table] = df.withColumn("ord", place).withColumn("repo", repo).withColumn("source_file", path).drop("__turn", "pos", "__nth")
     errors = tables.pop("errors").select("repo", "source_file", "description")
     return Knowledge.of(files.sparkSession, **tables), errors

@@ -66,6 +66,41 @@ def upsert(new: Knowledge, path: str, repos: DataFrame | None = None) -> State:
     return store.commit(changes, state)
 
 
+def set_relationships(rows: DataFrame, path: str) -> State:
+    """Relationships (kind, body), as answers.built_relationships makes them, in place of the stored ones; a version of the store."""
+    return Store(rows.sparkSession, path).commit({"relationships": Change(rows.select("kind", F.col("body").cast("string")).withColumn(PART, F.lit(0)))})
+
+
+def get_relationships(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored relationships; no rows if there are none."""
+    store = Store(spark, path)
+    state = store.state(version)
+    if "relationships" not in state.tables:
+        return spark.createDataFrame([], "kind string, body string")
+    return store.read("relationships", state).drop(PART)
+
+
+def upsert_files(new: Knowledge, files: DataFrame, path: str) -> State:
+    """Records of single files (repo, path) in place of the stored ones of these files, in buckets of their repositories.
+
+    new: what was extracted of them; of a file that is gone, nothing. Tables without files stay as they are.
+    """
+    spark = new.schemas.sparkSession
+    store = Store(spark, path)
+    state = store.state()
+    if not state.version:
+        return save(new, path)
+    n = state.meta["parts"]
+    files = files.select("repo", F.col("path").alias("source_file")).distinct()
+    touched = [r[0] for r in files.select(part_of("repo", parts=n).alias("p")).distinct().collect()]  # at most n numbers
+    changes = {}
+    for name, df in new.named().items():
+        if {"repo", "source_file"} <= set(df.columns):
+            kept = store.read(name, state, touched).drop(PART).join(files, ["repo", "source_file"], "left_anti")
+            changes[name] = Change(kept.select(*df.columns).unionByName(df).withColumn(PART, part_of("repo", parts=n)), touched)
+    return store.commit(changes, state)
+
+
 def save_json(kb: Knowledge, path: str) -> None:
     """JSON lines, a folder for each table; nulls are written, so that all columns stand there."""
     for name, df in kb.named().items():

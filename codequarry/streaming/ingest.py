@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators.knowledge import Knowledge
 from codequarry.plans.pipeline import extract
+from codequarry.sources import stores
+from codequarry.sources.files import as_text
 
 FILES = "repo string, path string, content string"
 
@@ -43,3 +45,18 @@ def ingest(files: DataFrame, read: Callable[[], Knowledge], write: Callable[[Kno
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def ingest_changes(changes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """A stream of changed files (repo, path, change, content as bytes) into the store at path.
+
+    Each batch is extracted and becomes one version of the store, in which the records of its files replace the old
+    ones; those of deleted files go. A batch that comes twice gives the same state.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        new, _errors = extract(as_text(batch.where("change <> 'deleted'")))
+        stores.upsert_files(new, batch, path)
+
+    writer = changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -130,7 +130,7 @@ def test_answers_become_records(spark, tmp_path):
     kb = Knowledge.of(spark, contexts=answers.contexts(split, "m"), schemas=spark.createDataFrame([("r", "S", 1)], "repo string, name string, ord long"))
     s = answers.semantic_prompts(kb).first()
     assert '"name":"S"' in s.prompt and s.prompt.endswith("[]")
-    stored = answers.set_relationships(None, answers.built_relationships(*[spark.createDataFrame([(k,)], "name string") for k in "abc"]))
+    stored = answers.built_relationships(*[spark.createDataFrame([(k,)], "name string") for k in "abc"])
     assert {r.kind: json.loads(r.body)["name"] for r in stored.collect()} == {"data_routing": "a", "service_chains": "b", "service_map": "c"}
 
 
@@ -163,6 +163,10 @@ def test_enrichment_rows_never_fail(spark):
     assert enrich.first_json('say {"a": {"b": "}"}} and {x}') == '{"a": {"b": "}"}}' and enrich.first_json("none") is None
     ctx = enrich.split_context(spark.createDataFrame([('# T\n---METADATA---\n{"purpose": "p"}',)], "answer string")).first()
     assert ctx.markdown == "# T" and json.loads(ctx.json) == {"purpose": "p"}
+    answers_ = ['# T\ntext\n```json\n{"purpose_summary": "p"}\n```', '# T\n{"purpose_summary": "p"}', "# T {not json}", '# T {"other": 1}', "# T", None]
+    got = enrich.split_context(spark.createDataFrame([(a,) for a in answers_], "answer string")).collect()
+    assert [r.markdown for r in got] == ["# T\ntext", "# T", "# T {not json}", '# T {"other": 1}', "# T", ""]
+    assert json.loads(got[0].json) == json.loads(got[1].json) == {"purpose_summary": "p"}
 
 
 def test_vector_index(spark):

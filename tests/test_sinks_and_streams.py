@@ -5,7 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.operators import manifest
+from codequarry.plans import pipeline, plugins
 from codequarry.sources import changes, page_files, stores
+from codequarry.sources.versions import Store
+from codequarry.streaming import ingest
 
 
 def tree(folder):
@@ -85,3 +89,46 @@ def test_chunks_with_rows_without_ids(spark, tmp_path):
     (tmp_path / "lines/b.json").write_text("\n" + json.dumps([{"id": "c1", "text": "later"}, {"id": "z", "text": "1"}, {"id": "z", "text": "2"}], indent=1))
     got = {r.id: r.text for r in stores.load_chunks(spark, str(tmp_path / "lines")).collect()}
     assert got == {f"c{k}": str(k) for k in range(20)} | {"c1": "later", "z": "2"}
+
+
+def test_a_plugin_that_raises_loses_no_other_file(spark):
+    def headings(path, content):
+        for line in content.splitlines():
+            if line == "!":
+                raise ValueError("no")
+            yield {"name": line, "type": "heading", "fields": [{"name": "f", "type": "t"}], "relationships": []}
+
+    rows = [("r", "a.txt", "A\nB"), ("r", "b.txt", "C\n!"), ("r", "c.txt", "D"), ("r", "n.txt", None), ("r", "x.md", "E")]
+    kb, errors = pipeline.extract(spark.createDataFrame(rows, "repo string, path string, content string"), [plugins.plugin("text", "schemas", headings, [".txt"])])
+    got = [(r.source_file, r.name, r.fields[0].name) for r in kb.schemas.orderBy("ord").collect()]
+    assert got == [("a.txt", "A", "f"), ("a.txt", "B", "f"), ("b.txt", "C", "f"), ("c.txt", "D", "f")]
+    assert sorted((r.source_file, r.description.split(":")[0]) for r in errors.collect()) == [("b.txt", "ValueError"), ("n.txt", "AttributeError")]
+    with pytest.raises(Exception, match="must be a string"):
+        plugins.table_function(headings)(F.lit(1), F.lit("x")).collect()
+
+
+def test_changes_become_versions_of_a_store(spark, tmp_path):
+    repo, store = tmp_path / "shop", str(tmp_path / "kb")
+    repo.mkdir()
+    (repo / "a.py").write_text("class AService:\n    def f(self): pass\n")
+    (repo / "b.py").write_text("class BService:\n    def f(self): pass\n")
+    feed = lambda: changes.real_changes(changes.stream_changes(spark, str(tmp_path / "state"), str(repo)))
+
+    def names():
+        ingest.ingest_changes(feed(), store, str(tmp_path / "q")).awaitTermination()
+        return sorted(r.name for r in stores.load(spark, store).services.collect())
+
+    assert names() == ["AService", "BService"]
+    (repo / "a.py").write_text("class NewService:\n    def f(self): pass\n")
+    (repo / "b.py").unlink()
+    assert names() == ["NewService"] and names() == ["NewService"]
+    assert len(Store(spark, store).versions()) == 2
+    rows = spark.createDataFrame([("data_routing", "{}")], "kind string, body string")
+    assert stores.get_relationships(spark, store).count() == 0
+    stores.set_relationships(rows, store)
+    assert [tuple(r) for r in stores.get_relationships(spark, store).collect()] == [("data_routing", "{}")]
+
+
+def test_languages_for_a_model(spark):
+    paths = spark.createDataFrame([("a/B.PY",), ("c.toml",), ("d",), ("e.tsx",)], "p string")
+    assert [r[0] for r in paths.select(manifest.model_language(F.col("p"))).collect()] == ["python", "unknown", "unknown", "typescript"]
