@@ -54,7 +54,7 @@ def plugin(language: str, table: str, function: Function, extensions: Iterable[s
     """An extractor of a kind of record; the function's dicts have the columns of that table, missing ones are null."""
     columns = ", ".join(c for c in _fields(table))
     parsed = lambda rows: rows.where("record is not null").select("source_file", "pos", F.from_json("record", columns).alias("r")).select("source_file", "pos", "r.*")
-    failed = lambda rows: rows.where("description is not null").select("source_file", "description")
+    failed = lambda rows: rows.where("description is not null").select("source_file", "pos", "description")
     return Extractor(language, list(extensions), list(names), {table: parsed, "errors": failed}, lambda files: run(files, function))
 
 
