@@ -132,12 +132,13 @@ def stream_changes(spark: SparkSession, state: str, *roots: str, **options) -> D
     return spark.readStream.format("repository_changes").options(**options).option("state", state).load(",".join(roots))
 
 
-def real_changes(changes: DataFrame, expire: str | None = None) -> DataFrame:
+def real_changes(changes: DataFrame, expire: int | None = None) -> DataFrame:
     """The changes of a stream that change anything: repo, path, change, sha (of the content), content.
 
     Keeps the hash of each file's content as state. What has the content that it had (a replayed batch, a touched
     file) goes, a deletion of what isn't known goes, and kinds follow what is known: a file comes as added
-    once. Files that weren't heard of for `expire` (a duration such as "30 days") leave the state.
+    once. Files that weren't heard of for `expire` milliseconds leave the state;
+    that is not tested, and is for triggers by time: a query that ends when all is read (availableNow) did not end with it.
     """
     out = T.StructType().add("repo", "string").add("path", "string").add("change", "string").add("sha", "string").add("content", "binary")
     kept = T.StructType().add("sha", "string")

@@ -1,6 +1,7 @@
 """The versioned store, the term index and the vector collection."""
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -85,7 +86,7 @@ def test_parts_are_pruned_in_the_plan(spark, tmp_path):
     store.commit({"t": Change(spark.range(1000).withColumn(PART, part_of("id", parts=10)))})
     df = store.read("t", parts=[3])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(_part" in plan or "PartitionFilters: [(_part" in plan or "_part#" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*_part", plan)
     assert all(f"{PART}=3/" in f for f in df.inputFiles()) and 0 < df.count() < 1000
 
 

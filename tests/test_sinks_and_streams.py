@@ -75,7 +75,7 @@ def test_only_real_changes_pass(spark, tmp_path):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, "repo string, path string, change string, text string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("repo string, path string, change string, text string").parquet(str(source))
-        real = changes.real_changes(stream.select("repo", "path", "change", F.col("text").cast("binary").alias("content")), "1 hour" if k % 1 else None)
+        real = changes.real_changes(stream.select("repo", "path", "change", F.col("text").cast("binary").alias("content")))
         got.append(sorted((r.repo, r.path, r.change) for r in run(real, "q", tmp_path)))
     assert got == [
         [("r", "a", "added"), ("r", "b", "added"), ("s", "a", "added")], [], [("r", "b", "changed")],
