@@ -6,7 +6,9 @@ data flows come from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import cache_key, text
@@ -24,6 +26,14 @@ ANSWER = (
 #: What the metadata of a context answer may hold.
 METADATA = "purpose_summary string, domain string, when_to_use array<string>, data_ownership array<struct<entity:string,description:string,is_source_of_truth:boolean>>, service_dependencies array<struct<service:string,reason:string>>"
 
+#: What a semantic answer may hold; descriptions of APIs are by METHOD path.
+SEMANTIC = (
+    "entity_descriptions map<string,string>, field_descriptions map<string,map<string,string>>, api_descriptions map<string,string>, service_descriptions map<string,string>,"
+    "business_glossary array<struct<term:string,definition:string,related_schemas:array<string>,related_apis:array<string>>>,"
+    "query_recipes array<struct<question:string,steps:array<struct<action:string,service:string,purpose:string>>,answer_format:string>>"
+)
+RELATIONSHIP_KINDS = ["service_map", "data_routing", "service_chains"]
+
 
 def _or(c: str, default: str) -> Column:
     return F.coalesce(F.col(f"r.{c}"), F.lit(default)).alias(c)
@@ -101,6 +111,98 @@ def semantic_prompts(kb: Knowledge) -> DataFrame:
     return out.select("repo", prompt.alias("prompt"), F.substring(F.sha2(F.concat(text("context_markdown"), *lists[:2]), 256), 1, 20).alias("key"))
 
 
+def semantic_layers(answers: DataFrame, model: str) -> DataFrame:
+    """Rows of the semantic layers of semantic answers (repo, json): what is missing is empty; without JSON there is no row."""
+    a = answers.where("json is not null").withColumn("s", F.from_json("json", SEMANTIC))
+    empty = lambda c, none: F.coalesce(F.col(f"s.{c}"), none).alias(c)
+    return a.select(
+        F.col("repo").alias("repo_name"), empty("business_glossary", F.array()), empty("entity_descriptions", F.create_map().cast("map<string,string>")),
+        empty("field_descriptions", F.create_map().cast("map<string,map<string,string>>")), empty("query_recipes", F.array()),
+        F.current_timestamp().cast("string").alias("generated_at"), F.lit(model).alias("model"), F.xxhash64("repo").alias("ord"),
+    )
+
+
+def semantic_descriptions(answers: DataFrame) -> DataFrame:
+    """kind, repo, name, description, field_descriptions of semantic answers (repo, json).
+
+    kind is schema, api (named METHOD path) or service. Of a name that an answer gives twice, and of several answers on
+    a repository, one is taken: that of the last place, then the largest text.
+    """
+    s = answers.select("repo", F.from_json("json", SEMANTIC).alias("s"))
+
+    def each(kind: str, column: str, *values: Column) -> DataFrame:
+        return s.select("repo", F.posexplode(f"s.{column}").alias("pos", "name", "value")).select(F.lit(kind).alias("kind"), "repo", "name", "pos", *values)
+
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    plain = [F.col("value").alias("description"), none("map<string,string>", "fields")]
+    rows = each("schema", "entity_descriptions", *plain).union(each("api", "api_descriptions", *plain)).union(each("service", "service_descriptions", *plain))
+    rows = rows.union(each("schema", "field_descriptions", none("string", "description"), F.col("value").alias("fields")))
+    last = lambda c, tie: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("pos", tie))).alias(c)
+    return rows.groupBy("kind", "repo", "name").agg(last("description", F.col("description")), last("fields", F.to_json("fields"))).withColumnRenamed("fields", "field_descriptions")
+
+
+def apply_semantic(kb: Knowledge, answers: DataFrame) -> tuple[Knowledge, DataFrame]:
+    """Descriptions of semantic answers (repo, json) put into the records of their repositories.
+
+    Returns the tables, in which descriptions of schemas, of their fields and of services are replaced where an answer has
+    one, and the APIs with business_description. Records are joined by repository and name, so that a name that stands
+    in many repositories gets each one's own; a repository with very many records is split by their names.
+    """
+    told = semantic_descriptions(answers)
+    of = lambda kind: told.where(F.col("kind") == kind).select(F.col("repo").alias("__repo"), F.col("name").alias("__name"), F.col("description").alias("__new"), F.col("field_descriptions").alias("__fields"))
+    mine = lambda name: (F.col("repo") == F.col("__repo")) & (name == F.col("__name"))
+    new = F.coalesce("__new", "description")
+    fields = F.transform("fields", lambda f: f.withField("description", F.coalesce(F.try_element_at(F.col("__fields"), f["name"]), f["description"])))
+    described = F.when(F.col("__fields").isNotNull(), fields).otherwise(F.col("fields"))
+    schemas = kb.schemas.join(of("schema"), mine(F.col("name")), "left").withColumn("description", new).withColumn("fields", described).select(*kb.schemas.columns)
+    services = kb.services.join(of("service"), mine(F.col("name")), "left").withColumn("description", new).select(*kb.services.columns)
+    apis = kb.apis.join(of("api"), mine(F.concat(text("method"), F.lit(" "), text("path"))), "left").select(*kb.apis.columns, F.col("__new").alias("business_description"))
+    return replace(kb, schemas=schemas, services=services), apis
+
+
+def context_summaries(contexts: DataFrame) -> DataFrame:
+    """repo, ord and a short text of each context: purpose, domain, and lists of uses, entities and dependencies."""
+    lines = lambda title, c, line: F.when(F.size(c) > 0, F.concat(F.lit(f"**{title}:**\n"), F.array_join(F.transform(c, line), "\n")))
+    or_unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    dash = F.lit("- ")
+    head = lambda title, c: F.when(text(c) != "", F.concat(F.lit(f"**{title}:** "), c))
+    source = lambda e: F.when(e["is_source_of_truth"], " (source of truth)").otherwise("")
+    parts = [
+        F.concat(F.lit("### "), text("repo_name")), head("Purpose", "purpose"), head("Domain", "domain"), lines("When to use", "when_to_use", lambda w: F.concat(dash, text(w))),
+        lines("Data ownership", "data_ownership", lambda e: F.concat(dash, or_unknown(e["entity"]), F.lit(": "), text(e["description"]), source(e))),
+        lines("Dependencies", "service_dependencies", lambda d: F.concat(dash, or_unknown(d["service"]), F.lit(": "), text(d["reason"]))),
+    ]
+    return contexts.select(F.col("repo_name").alias("repo"), "ord", F.concat_ws("\n", *parts).alias("summary"))
+
+
+def relationship_prompts(contexts: DataFrame, most: int = 400_000) -> DataFrame:
+    """prompt, key and repo_count: the summaries of all contexts, in as many prompts as it takes.
+
+    A prompt's summaries start within `most` characters, so one is longer than that by less than its last summary. Where all
+    fit, there is one prompt, in the contexts' order; else they are dealt in the order of a hash. Places are found
+    with 1024 sums, and a window within each hash range.
+    """
+    each = context_summaries(contexts).withColumn("n", F.length("summary") + 2).withColumn("h", F.xxhash64("repo")).withColumn("range", F.shiftright("h", 54))
+    sums = each.groupBy("range").agg(F.sum("n").alias("sum"))
+    starts = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("start"))  # at most 1024 rows
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("h", "repo", "ord", "summary").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = each.withColumn("before", before).join(F.broadcast(starts), "range").withColumn("part", F.floor((F.col("start") + F.col("before")) / most))
+    # a prompt's summaries are bounded by `most`
+    parts = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("ord", "repo", "summary"))).alias("s"))
+    prompt = F.array_join(F.transform("s", lambda x: x["summary"]), "\n\n")
+    return parts.select(prompt.alias("prompt"), F.substring(F.sha2(prompt, 256), 1, 20).alias("key"), F.size("s").alias("repo_count"))
+
+
+def answered_relationships(answers: DataFrame) -> DataFrame:
+    """Relationships (kind, body) of answers (json): the items of their three lists, each one JSON object.
+
+    A list that is missing or is none gives nothing. The rows are those that stores.set_relationships takes.
+    """
+    lists = answers.select(F.from_json("json", ", ".join(f"{k} array<string>" for k in RELATIONSHIP_KINDS)).alias("r"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"r.{k}").alias("items")) for k in RELATIONSHIP_KINDS])
+    return lists.select(F.explode(pairs).alias("p")).select("p.kind", F.explode("p.items").alias("body"))
+
+
 def save_answers(answers: DataFrame, path: str) -> None:
     """Put answers (key, answer) into a stored cache; those without an answer are not kept."""
     answers.where("answer is not null").select("key", "answer").dropDuplicates(["key"]).write.mode("append").parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -76,12 +76,8 @@ def salvage_json(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("json", pick(column))
 
 
-def extract(files: DataFrame, cache: DataFrame | None, provider: Provider, rate_per_minute: float = 0, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """files (path, content) with key, answer, json, cached and error.
-
-    Answers of the cache (key, answer) are not asked for again. The rate holds for each task.
-    """
-    keyed = files.withColumn("key", cache_key("content", "path"))
+def _answered(keyed: DataFrame, cache: DataFrame | None, provider: Provider, rate_per_minute: float, inputs: list[str], make: Callable[..., str | None]) -> DataFrame:
+    """keyed (key, ...) with answer, cached and error. make gives a row's prompt of its inputs; none if it is too large."""
     if cache is None:
         keyed = keyed.withColumn("answer", F.lit(None).cast("string"))
     else:
@@ -90,25 +86,44 @@ def extract(files: DataFrame, cache: DataFrame | None, provider: Provider, rate_
     schema = T.StructType([*keyed.schema.fields, T.StructField("error", T.StringType())])
     pause = 60 / rate_per_minute if rate_per_minute else 0
 
-    def ask(path: str, content: str, answer: str | None) -> tuple[str | None, str | None]:
+    def ask(answer: str | None, *values) -> tuple[str | None, str | None]:
         if answer is not None:
             return answer, None
-        if len(content or "") > max_size:
+        prompt = make(*values)
+        if prompt is None:
             return None, "too large"
         try:
             time.sleep(pause)
-            return provider.complete(f"File: {path}\n\n{content}"), None
+            return provider.complete(prompt), None
         except Exception as e:  # a provider may raise anything; the row says what
             return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for b in batches:
             cols = {n: b.column(n) for n in b.schema.names}
-            done = [ask(*x) for x in zip(*[cols[c].to_pylist() for c in ("path", "content", "answer")], strict=True)]
+            done = [ask(*x) for x in zip(*[cols[c].to_pylist() for c in ("answer", *inputs)], strict=True)]
             cols |= {"answer": pa.array([a for a, _ in done], pa.string()), "error": pa.array([e for _, e in done], pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
-    return salvage_json(keyed.mapInArrow(run, schema), "answer")
+    return keyed.mapInArrow(run, schema)
+
+
+def extract(files: DataFrame, cache: DataFrame | None, provider: Provider, rate_per_minute: float = 0, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """files (path, content) with key, answer, json, cached and error.
+
+    Answers of the cache (key, answer) are not asked for again. The rate holds for each task.
+    """
+
+    def make(path: str, content: str) -> str | None:
+        return None if len(content or "") > max_size else f"File: {path}\n\n{content}"
+
+    keyed = files.withColumn("key", cache_key("content", "path"))
+    return salvage_json(_answered(keyed, cache, provider, rate_per_minute, ["path", "content"], make), "answer")
+
+
+def complete(prompts: DataFrame, cache: DataFrame | None, provider: Provider, rate_per_minute: float = 0) -> DataFrame:
+    """prompts (key, prompt) with answer, cached and error; cache and rate as in extract. A null prompt is an empty one."""
+    return _answered(prompts, cache, provider, rate_per_minute, ["prompt"], lambda prompt: prompt or "")
 
 
 def split_context(df: DataFrame, column: str = "answer", marker: str = "---METADATA---") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from oracle import spark_rows, sql_rows
 
-from codequarry.plans import answer_queries, extract_queries, index_queries  # noqa: F401  register their queries
+from codequarry.plans import analysis_queries, answer_queries, extract_queries, index_queries  # noqa: F401  register their queries
 from codequarry.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
