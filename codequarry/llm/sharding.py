@@ -13,14 +13,17 @@ one more partial partition, its share of the sums of the large groups, so that t
 what the large ones left uneven; in the last task the places of that share name the shards.
 
 A group of more bytes than a shard's fair share can't be balanced whole. Only such groups (fewer
-than the shards) are cut, into pieces by a hash of the id, which are then groups of their own.
+than the shards) are cut, into pieces by a hash of the id and the number of the copy within the id, which
+are then groups of their own; so rows of one id, or of none, are spread as well.
 
 Slots number a shard's rows without gaps: rows are numbered in chunks of about `chunk_rows`, and
-each chunk starts where those before it end, so no task holds a whole shard.
+each chunk starts where those before it end, so no task holds a whole shard. Copies of a text of more
+than a chunk and 1/MANY of all rows (fewer than MANY texts) are dealt to the chunks by their number too. Copies are numbered
+from their count, as rows of equal id and text are the same.
 
 Defined cases: a null text has size 1 and the crc32 of no bytes, and shares its group with empty
 texts; very long texts count with all their bytes; repeated rows get a slot each; rows with a null
-id are placed like others; ties in size go by the text's hash; an empty table gives no rows; other
+id are placed like others, however many have the same text; ties in size go by the text's hash; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -36,6 +39,7 @@ from codequarry.llm.common import materialize
 
 PIECES = 1024
 LARGE = 512
+MANY = 512
 
 
 def difference(sizes: list[list[int]], n_shards: int) -> tuple[list[int], list[list[int]]]:
@@ -112,6 +116,15 @@ def _combine(nodes: DataFrame, n_nodes: int, keys: list[str], n_shards: int, lar
     return made.where("places is not null").drop("sums"), made.where("sums is not null").select(F.col("parent").alias("node"), "sums"), n
 
 
+def _copies(rows: DataFrame, block: int) -> DataFrame:
+    """rows with copy, the number of a row among those of equal id and text, made from counts in blocks."""
+    same = ["id", "size", "crc", "text_key"]
+    counts = rows.groupBy(*same).agg(F.count("*").alias("m"))
+    blocks = counts.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(block).cast("long"))))
+    blocks = blocks.repartition("text_key", "id", "from")
+    return blocks.select(*same, F.explode(F.sequence("from", F.least("m", F.col("from") + block) - 1)).alias("copy"))
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = 100_000, chunk_rows: int = 50_000) -> DataFrame:
     """Per row: id, size, text_crc32, shard and slot."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -120,8 +133,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     texts = rows.groupBy("text_key").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     total, n, n_rows = texts.agg(F.sum("size"), F.count("*"), F.sum("n")).first()
     fair = (total or 0) / n_shards
-    cut = [bytes(r.text_key) for r in texts.where(F.col("size") > fair).collect()]  # fewer than n_shards
-    piece = F.when(F.col("text_key").isin(cut), F.pmod(F.xxhash64("id"), F.lit(PIECES))).otherwise(0) if cut else F.lit(0)
+    hot = texts.where((F.col("size") > fair) | (F.col("n") > max(chunk_rows, (n_rows or 0) / MANY))).collect()  # fewer than n_shards and MANY
+    many, cut = [bytes(r.text_key) for r in hot], [bytes(r.text_key) for r in hot if r.size > fair]
+    if many:
+        spread = F.col("text_key").isin(many)
+        rows = rows.where(~spread).withColumn("copy", F.lit(0).cast("long")).unionByName(_copies(rows.where(spread), chunk_rows))
+    else:
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    piece = F.when(F.col("text_key").isin(cut), F.pmod(F.pmod(F.xxhash64("id"), F.lit(PIECES)) + F.col("copy"), F.lit(PIECES))).otherwise(0) if cut else F.lit(0)
     rows = rows.withColumn("piece", piece.cast("int"))
     groups = rows.groupBy("text_key", "piece").agg(F.sum("size").alias("size"))
     is_large = F.col("size") > fair / LARGE
@@ -138,7 +157,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     where = where.select("text_key", "piece", F.col("place").alias("shard")).unionByName(large_to)
 
     chunks = max(1, -(-(n_rows or 0) // (n_shards * chunk_rows)))
-    out = rows.join(where, ["text_key", "piece"]).select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", "crc"), F.lit(chunks)).alias("chunk"))
+    out = rows.join(where, ["text_key", "piece"]).select("id", "size", "crc", "shard", F.pmod(F.pmod(F.xxhash64("id", "crc"), F.lit(chunks)) + F.col("copy"), F.lit(chunks)).alias("chunk"))
     out = materialize(out)
     ahead = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row for chunk_rows rows
     starts = out.groupBy("shard", "chunk").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")

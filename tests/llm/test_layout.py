@@ -17,6 +17,21 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd).selectExpr("*", "1 as shard", "2 as n", "3 as piece", "4 as id")
 
 
+def test_a_hot_text_without_ids_is_spread(spark):
+    """1000 rows of one text without an id and 1000 of one id, beside 1000 others."""
+    rows = spark.range(3000).selectExpr("if(id < 1000, null, if(id < 2000, 7, id)) as doc_id", "if(id < 1000, repeat('a', 18), if(id < 2000, repeat('b', 30), concat('t', id))) as text")
+    got = sharding.shard_by_bytes(rows, chunk_rows=50).collect()
+    total, slots = [0] * 8, [[] for _ in range(8)]
+    for r in got:
+        total[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == 3000 and sum(r.doc_id is None for r in got) == sum(r.doc_id == 7 for r in got) == 1000
+    assert max(total) - min(total) <= 60  # two rows of the longer text
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    again = sharding.shard_by_bytes(rows.repartition(3), chunk_rows=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_shards_balance_bytes_and_keep_equal_texts(spark, docs):
     rows = sharding.shard_digest(docs).collect()
     texts = docs.select("doc_id", "text").collect()
