@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from codequarry.llm import quality, toxicity
@@ -105,3 +107,38 @@ def test_a_giant_labelled_text_does_not_crowd_out_the_others(spark):
     model = toxicity.fit(docs.union(giant), labels, sample_chars=20_000)
     got = {r.doc_id: r.score for r in toxicity.score(docs.union(giant), model).collect()}
     assert min(got[k] for k in range(1, 60, 2)) > 0.5 > max(got[k] for k in range(0, 60, 2))
+
+
+def test_quality_by_brute_force(spark):
+    """Scores of whole small tables by plain zstandard calls, and a logistic curve fitted by plain gradient steps."""
+    small = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.quality_digest(docs, labels).collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    told = labels.where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    told = [(text[r.doc_id], int(r.quality)) for r in told if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    build, rest = told[0::2], told[1::2]
+
+    def compressor(k):
+        pieces = [t[a : a + 4096] for t, y in build if y == k for a in range(0, len(t), 4096)]
+        raw = b""
+        for p in sorted(pieces, key=lambda p: (xxhash.xxh3_64(p).intdigest(), p)):
+            if len(raw) + len(p) <= 512 * 1024:
+                raw += p
+        made = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=9)
+        return zstandard.ZstdCompressor(level=9, dict_data=made)
+
+    good, bad = compressor(1), compressor(0)
+    diff = lambda t: (len(bad.compress(t)) - len(good.compress(t))) / (len(t) + 1)
+    x, y = np.array([diff(t) for t, _ in rest]), np.array([y for _, y in rest])
+    scale = x.std() + 1e-9
+    a = b = 0.0
+    rate = 1 / (0.25 * ((x / scale) ** 2 + 1).sum() + 1)
+    for _ in range(20_000):
+        miss = 1 / (1 + np.exp(-(a * x / scale + b))) - y
+        a, b = a - rate * ((miss * x / scale).sum() + a), b - rate * (miss.sum() + b)
+    assert len(got) == len(text) > 500
+    for i, t in text.items():
+        assert np.isclose(got[i].size_difference, diff(t), atol=1e-12)
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-(a * diff(t) / scale + b))), atol=1e-6)
