@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. run() writes each stage's rows to the shared folder and reads them again for the next.
+
+Defined cases: no stage crashes on nulls in any column, on empty or very long texts, on repeated rows, on an
+empty table (which stays empty, with the same columns) or on columns that bear names of a stage's own, which are kept as
+they are. A row without text is clean to all stages; what each does with ties and equal rows stands in its module.
 """
 
 from codequarry.llm import decontaminate, near_dup, packing, secrets, toxicity
