@@ -2,16 +2,21 @@
 
 A tokenizer and a tree builder with implied tags make a tree of elements; visibility rules drop what
 a browser doesn't show; the rest is laid out as text. Blocks start on lines of their own, with a
-blank line around paragraphs, headings, lists and tables; list items get markers and are indented by
-their depth; cells of a table stand on a grid, with the columns and rows they span, and are padded so
-that columns align; white space collapses except in preformatted text. What is hidden by the property
-visibility hides its descendants until one is visible again. All options of a select are text.
+blank line around paragraphs, headings, lists and tables; list items get markers (numbers, letters or
+Roman numerals as the list's type says) and are indented by their depth; cells of a table stand on a
+grid, with the columns and rows they span, and are padded so that columns align; white space collapses
+except in preformatted text. A table's first thead comes first and its first tfoot last; spans end with
+their row group. What is hidden by the property visibility hides its descendants until one is visible
+again. Rules of style elements count where their selector is one of names, classes and ids without
+combinators, and outside of at-rules. All options of a select are text, and so are the labels of buttons
+and the values of text inputs, but not placeholders and passwords.
 
 Each page is one row and is rendered by itself, so any split of the table is a good one; nothing
 is shuffled. All loops are over explicit stacks, so deep nesting is no limit. Two limits keep the
 work and the output in proportion to the page: indents grow up to INDENT columns, and tables that
-are nested in TABLES others are laid out as blocks. As in browsers, colspan counts up to 1000; rowspan
-counts up to ROWS; numbers of more than nine digits are ignored.
+are nested in TABLES others, or whose spans would fill more than PLACES places for each cell, are laid
+out as blocks; no text is lost by it. By the rules of HTML, colspan counts up to 1000 and rowspan up to
+65534; numbers of more than nine digits are ignored.
 
 Defined cases: null and empty pages give empty text; very long pages are read whole; text without tags is a paragraph; unclosed
 comments, tags and quotes end with the page; unknown elements are inline; repeated rows are
@@ -61,7 +66,10 @@ IMPLIED_END = {
 SCOPE = _words("table td th caption button object template html body")
 _P, _TABLE = _words("p"), _words("table")
 CELLS = _words("td th tr tbody thead tfoot caption")
-INDENT, TABLES, ROWS = 64, 8, 100
+GROUPS = _words("thead tbody tfoot")
+LABELLED = _words("submit button reset")
+TYPED = _words("text search url tel email number date time month week datetime-local")
+INDENT, TABLES, PLACES = 64, 32, 100
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>?"""
@@ -73,6 +81,11 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NO_SHOW = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
 _SHOW = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+_RULE = re.compile(r"([^{};]*)([{};])")
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_VISIBLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(!\s*important)?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
 
@@ -158,8 +171,8 @@ def parse(page: str) -> Node:
         if name in RAW:
             stop = _RAW_END[name].search(page, at)
             inner = page[at : stop.start() if stop else n]
-            if name in ("textarea", "xmp"):
-                node.children.append(html.unescape(inner) if name == "textarea" else inner)
+            if name in ("textarea", "xmp", "style"):
+                node.children.append(html.unescape(inner) if name == "textarea" else inner)  # a style shows nothing itself
             at = stop.end() if stop else n
         elif name not in VOID:
             push(node)
@@ -185,18 +198,114 @@ def _foster(stack: list[Node], tables: list[int]) -> Node:
     return parent
 
 
-def displayed(node: Node) -> bool:
+class Styles:
+    """What the style elements of a page say of display and visibility."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, list[tuple]] = defaultdict(list)  # by the id, class or name that an element must have
+        order = 0
+        for sheet in sheets:
+            depth, head, at_rule = 0, "", False
+            for m in _RULE.finditer(_COMMENT.sub(" ", sheet)):
+                if m[2] == "{":
+                    depth += 1
+                    if depth == 1:
+                        head, at_rule, body = m[1].strip(), m[1].strip().startswith("@"), ""
+                elif depth:
+                    body += m[1] + ";" if depth == 1 else ""
+                    if m[2] == "}":
+                        depth -= 1
+                        if not depth and not at_rule:
+                            order += 1
+                            self.add(head, body, order)
+
+    def add(self, head: str, body: str, order: int) -> None:
+        for kind, pattern in (("display", _DISPLAY), ("visibility", _VISIBLE)):
+            found = [(bool(m[2]), m[1].lower()) for m in pattern.finditer(body)]
+            if not found:
+                continue
+            strong, value = max(enumerate(found), key=lambda x: (x[1][0], x[0]))[1]
+            for part in head.split(","):
+                m = _SELECTOR.fullmatch(part.strip())
+                if not m or not m[0]:
+                    continue
+                needs = re.findall(r"[.#][\w-]+", m[2])
+                tag = (m[1] or "*").lower()
+                rank = (strong, sum(x[0] == "#" for x in needs), sum(x[0] == "." for x in needs), tag != "*", order)
+                self.rules[needs[0] if needs else tag].append((kind, rank, tag, needs, value))
+
+    def of(self, node: Node) -> dict[str, tuple]:
+        """For display and visibility the strongest rule that holds: its rank and value."""
+        best: dict[str, tuple] = {}
+        if not self.rules:
+            return best
+        has = {node.tag, "*"}
+        if node.attrs:
+            has |= {"." + c for c in (node.attr("class") or "").split()}
+            own = node.attr("id")
+            has |= {"#" + own} if own else set()
+        for key in has & self.rules.keys():
+            for kind, rank, tag, needs, value in self.rules[key]:
+                if tag in ("*", node.tag) and has.issuperset(needs) and (kind not in best or rank > best[kind][0]):
+                    best[kind] = (rank, value)
+        return best
+
+
+def sheets_of(root: Node) -> list[str]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            out += [c for c in node.children if isinstance(c, str)]
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
+def displayed(node: Node, rules: dict[str, tuple]) -> bool:
     if node.tag in HIDDEN or (node.tag == "dialog" and node.attr("open") is None):
         return False
-    return not (node.attrs and (node.attr("hidden") is not None or _NO_SHOW.search(node.attr("style") or "")))
+    rank, value = rules.get("display", (None, None))
+    style = (node.attr("style") or "") if node.attrs else ""
+    if style and _NO_SHOW.search(style):
+        return False
+    if value and (rank[0] or not _DISPLAY.search(style)):  # an important rule is stronger than the element's own style
+        return value != "none"
+    return not (node.attrs and node.attr("hidden") is not None)
 
 
-def shows(node: Node, outer: bool) -> bool:
+def shows(node: Node, outer: bool, rules: dict[str, tuple]) -> bool:
     """Whether text straight in a node is visible, given that of its parent."""
     own = _SHOW.search(node.attr("style") or "") if node.attrs else None
+    rank, value = rules.get("visibility", (None, None))
+    if value and (rank[0] or not own):
+        return value == "visible"
     return own[1].lower() == "visible" if own else outer
 
 
+def label_of(node: Node) -> str:
+    """What an input shows: a button's label, a text field's value."""
+    kind = (node.attr("type") or "text").strip().lower()
+    return (node.attr("value") or "") if kind in LABELLED or kind in TYPED else ""
+
+
+def number(n: int, kind: str) -> str:
+    """An item's number as an ordered list's type writes it; what a type can't write is decimal."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(ord(kind) + k) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
 class Page:
     """Lines of text with an indent for each open list."""
 
@@ -249,39 +358,53 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
-    """Rows of (text, columns, rows that a cell spans) as rows of (first column, columns, lines).
+def grid(groups: list[list[list[tuple[str, int, int]]]]) -> list[list[tuple[int, int, list[str]]]] | None:
+    """Rows of (text, columns, rows that a cell spans), by row group, as rows of (first column, columns, lines).
 
-    A column that a cell from above still spans holds an empty cell. Columns in which no cell starts
-    are left out.
+    Columns that a cell from above still spans hold one empty cell; a span ends with its row group, and a row
+    without cells counts for it. Columns in which no cell starts are left out. None if spans would fill more than
+    PLACES places for each cell.
     """
-    taken: dict[int, int] = {}  # column: rows that it stays taken
+    room = PLACES * (PLACES + sum(len(row) for rows in groups for row in rows))
     out = []
-    for row in rows:
-        at, cells, new = 0, [], []
-
-        def skip(at: int, cells: list) -> int:
-            while taken.get(at):
-                cells.append((at, 1, [""]))
-                at += 1
-            return at
-
-        for text, span, down in row:
-            at = skip(at, cells)
-            cells.append((at, span, text.split("\n")))
-            if down > 1:
-                new += [(c, down) for c in range(at, at + span)]
-            at += span
-        skip(at, cells)
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n - 1 for c, n in new}
-        out.append(cells)
+    for rows in groups:
+        taken: list[tuple[int, int, int]] = []  # first column, the one after the last, rows left; disjoint and in order
+        for row in rows:
+            room -= len(taken)
+            if room < 0:
+                return None
+            at, i, cells, new = 0, 0, [], []
+            for text, span, down in [*row, (None, 0, 0)]:
+                while i < len(taken) and taken[i][0] <= at:
+                    if taken[i][1] > at:
+                        cells.append((at, taken[i][1] - at, [""]))
+                        at = taken[i][1]
+                    i += 1
+                if text is not None:
+                    cells.append((at, span, text.split("\n")))
+                    if down > 1:
+                        new.append((at, at + span, down - 1))
+                    at += span
+            old, taken, k = [(a, b, n - 1) for a, b, n in taken if n > 1], [], 0
+            for a, b, n in old:  # a new span may cover the start of an old one
+                while k < len(new) and new[k][0] <= a:
+                    taken.append(new[k])
+                    k += 1
+                a = max(a, taken[-1][1]) if taken else a
+                if a < b:
+                    taken.append((a, b, n))
+            taken += new[k:]
+            if row:
+                out.append(cells)
     starts = sorted({at for cells in out for at, _, _ in cells})
     return [[(k := bisect_left(starts, at), max(1, bisect_left(starts, at + span) - k), lines) for at, span, lines in cells] for cells in out]
 
 
-def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+def table_lines(groups: list[list[list[tuple[str, int, int]]]]) -> list[str]:
     """Lines of the rows, each column as wide as its widest cell of one column."""
-    cells = grid(rows)
+    cells = grid(groups)
+    if cells is None:
+        return [line for rows in groups for row in rows for text, _, _ in row for line in text.split("\n")]
     wide = [0] * max((at + span for row in cells for at, span, _ in row), default=0)
     for row in cells:
         for at, span, lines in row:
@@ -306,13 +429,30 @@ def _number(s: str | None, default: int) -> int:
     return int(s) if s and re.fullmatch(r"-?[0-9]{1,9}", s.strip()) else default
 
 
+def _rows(groups: list[tuple[str, list]]) -> list:
+    """The rows of the row group that is open; rows straight in a table make one of their own."""
+    if not groups:
+        groups.append(("", []))
+    return groups[-1][1]
+
+
+def _in_place(groups: list[tuple[str, list]]) -> list[list]:
+    """The row groups with the first thead at the top and the first tfoot at the bottom."""
+    head = next((k for k, (tag, _) in enumerate(groups) if tag == "thead"), None)
+    foot = next((k for k, (tag, _) in enumerate(groups) if tag == "tfoot"), None)
+    order = [k for k in (head,) if k is not None] + [k for k in range(len(groups)) if k not in (head, foot)] + [k for k in (foot,) if k is not None]
+    return [groups[k][1] for k in order]
+
+
 def render(page: str | None) -> str:
     """The visible text of a page."""
     out = Page()
     pages, tables, lists = [], [], []
     pre = flat = 0  # open preformatted elements; tables that are laid out as blocks
     seen = [True]  # visibility of the open elements
-    todo: list = [(parse(page or ""), False)]
+    root = parse(page or "")
+    styles = Styles(sheets_of(root))
+    todo: list = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
@@ -321,14 +461,19 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not displayed(node):
+            rules = styles.of(node)
+            if not displayed(node, rules):
+                continue
+            if tag == "input":
+                if shows(node, seen[-1], rules) and (label := label_of(node)):
+                    out.text(f" {label} ", pre > 0)
                 continue
             if tag == "br":
                 if out.gap or not out.line:
                     out.put("")
                 out.end_line(True)
                 continue
-            seen.append(shows(node, seen[-1]))
+            seen.append(shows(node, seen[-1], rules))
             if tag == "table" and (flat or len(tables) >= TABLES):
                 flat += 1
             if tag == "details" and node.attr("open") is None:
@@ -343,14 +488,14 @@ def render(page: str | None) -> str:
             if tag in ("ul", "ol", "menu"):
                 step = -1 if node.attr("reversed") is not None else 1
                 items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
-                lists.append([tag == "ol", _number(node.attr("start"), items if step < 0 else 1), step])
+                lists.append([(node.attr("type") or "1").strip() if tag == "ol" else "", _number(node.attr("start"), items if step < 0 else 1), step])
             elif tag == "li":
                 todo.append((node, (out.indent, out.marker)))
-                numbered, n, step = lists[-1] if lists else (False, 0, 0)
+                numbered, n, step = lists[-1] if lists else ("", 0, 0)
                 if numbered:
                     n = _number(node.attr("value"), n)
                     lists[-1][1] = n + step
-                out.marker = f"{n}. " if numbered else "- "
+                out.marker = f"{number(n, numbered)}. " if numbered else "- "
             elif tag in ("dd", "blockquote"):
                 todo.append((node, (out.indent, out.marker)))
                 out.indent += "  " if len(out.indent) < INDENT else ""
@@ -358,8 +503,10 @@ def render(page: str | None) -> str:
                 tables.append(([], []))
                 pages.append(out)
                 out = Page()
+            elif tag in GROUPS and tables and not flat:
+                tables[-1][0].append((tag, []))
             elif tag == "tr" and tables and not flat:
-                tables[-1][0].append([])
+                _rows(tables[-1][0]).append([])
             pre += tag in ("pre", "textarea", "xmp")
             if tag not in ("li", "dd", "blockquote"):
                 todo.append((node, True))
@@ -375,6 +522,8 @@ def render(page: str | None) -> str:
             lists.pop()
         elif leaving is not True:
             out.indent, out.marker = leaving
+        if tag in GROUPS and tables:
+            tables[-1][0].append(("", []))  # what follows is no longer in this group
         if tag in ("td", "th", "caption"):
             text, out = out.done(), pages.pop()
             if not tables:
@@ -382,14 +531,15 @@ def render(page: str | None) -> str:
             elif tag == "caption":
                 tables[-1][1].append(text)
             else:
-                if not tables[-1][0]:
-                    tables[-1][0].append([])
+                rows = _rows(tables[-1][0])
+                if not rows:
+                    rows.append([])
                 down = _number(node.attr("rowspan"), 1)
-                tables[-1][0][-1].append((text, max(1, min(1000, _number(node.attr("colspan"), 1))), ROWS if down == 0 else max(1, min(ROWS, down))))
+                rows[-1].append((text, max(1, min(1000, _number(node.attr("colspan"), 1))), 65534 if down == 0 else max(1, min(65534, down))))
         elif tag == "table":
-            rows, captions = tables.pop()
+            groups, captions = tables.pop()
             stray, out = out.done(), pages.pop()
-            for line in [*captions, *([stray] if stray else []), *table_lines([r for r in rows if r])]:
+            for line in [*captions, *([stray] if stray else []), *table_lines(_in_place(groups))]:
                 for part in line.split("\n"):
                     if part.strip():
                         out.due(1)

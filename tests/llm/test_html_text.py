@@ -30,6 +30,16 @@ CASES = [
     ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td colspan=2>wide one<tr><td>x<td>y</table>", "A | B\n  | C\nwide one\nx | y"),
     ("<div style='visibility:hidden'>no <span style='visibility: visible'>yes</span> no</div><p>z", "yes\n\nz"),
     ("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math> <svg><text>label</text><title>no</title></svg><select><option>one<option>two</select>", "x= label\none\ntwo"),
+    ("<table><thead><tr><th rowspan=2>H<th>K</thead><tbody><tr><td>a<td>b</table>", "H | K\na | b"),
+    ("<table><tfoot><tr><td>sum<td>3</tfoot><tr><td>a<td>1<tr><td>b<td>2<thead><tr><th>n<th>v</thead></table>", "n   | v\na   | 1\nb   | 2\nsum | 3"),
+    ("<table><tr><td rowspan=2 colspan=3>A<td>x<tr><td>B</table>", "A | x\n  | B"),
+    ("<table><tr><td rowspan=0>A<td>x<tr><td>y<tbody><tr><td>B<td>z</table>", "A | x\n  | y\nB | z"),
+    ("<table><tr><td rowspan=2>A<td>x<tr></tr><tr><td>y<td>z</table>", "A | x\ny | z"),
+    ("Name <input value='Ada'><input type=submit value='Send'><input type=hidden value=no><input type=password value=no><input type=checkbox value=no><button>Go</button>", "Name Ada Send Go"),
+    ("<input hidden value=no><span style='visibility:hidden'><input value=no></span>a", "a"),
+    ("<style>/* .z{} */ .x, p.y{color:red;display:none} #k{visibility:hidden}</style><p class='a x'>no<p class=y>no<div class=y>yes</div><b id=k>no</b><p>z", "yes\n\nz"),
+    ("<style>@media print{.x{display:none}} .h{display:none!important} div{display:none} .s{display:block}</style><p class=x>x<p class=h style='display:block'>no<div>no</div><div class=s>s</div>", "x\n\ns"),
+    ("<ol type=a><li>x<li value=27>y</ol><ol type=I><li value=4>z<li value=-1>w</ol>", "a. x\naa. y\n\nIV. z\n-1. w"),
     ("<datalist><option>no</datalist><p>word<p" + " word" * 3, "word\n\n".strip()),
     ("<p>" + "long " * 40_000, ("long " * 40_000).strip()),
     ("<h1>T</h1>" + "<div>" * 5000 + "deep", "T\n\ndeep"),
@@ -85,6 +95,23 @@ def test_nesting_costs_and_gives_what_the_page_is_long(part):
     assert seconds[1] < 3 * seconds[0] + 1
 
 
+def test_spans_have_no_bound_of_their_own():
+    page = "<table><tr><td rowspan=5000>A<td>r0" + "".join(f"<tr><td>r{k}" for k in range(1, 5000)) + "<tr><td>B<td>z</table>"
+    lines = render(page).split("\n")
+    assert lines[0] == "A | r0" and lines[4999] == "  | r4999" and lines[5000] == "B | z"
+
+
+def test_spans_that_fill_too_much_are_blocks():
+    n = 3000
+    out = render("<table>" + "".join(f"<tr><td rowspan=65534 colspan=1000>c{k}" for k in range(n)) + "</table>")
+    assert out.split("\n") == [f"c{k}" for k in range(n)]
+
+
+def test_nested_tables_keep_their_grids():
+    page = "<table><tr><td>a<td>" * 20 + "in" + "</table>" * 20
+    assert render(page) == "a | " * 20 + "in"
+
+
 def test_deep_nesting_takes_linear_time():
     assert render("<div>" * 60_000 + "<p>deep<p>er" + "</span>" * 1000) == "deep\n\ner"
 
