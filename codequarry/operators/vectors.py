@@ -28,7 +28,7 @@ def hashing_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def encode(df: DataFrame, text_col: str = "text", encoder: Encoder = hashing_encoder) -> DataFrame:
+def encode(df: DataFrame, encoder: Encoder, text_col: str = "text") -> DataFrame:
     """df with an embedding of each row's text."""
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -40,9 +40,9 @@ def encode(df: DataFrame, text_col: str = "text", encoder: Encoder = hashing_enc
     return df.mapInArrow(run, schema)
 
 
-def index_chunks(current: DataFrame | None, chunks: DataFrame, encoder: Encoder = hashing_encoder) -> DataFrame:
+def index_chunks(current: DataFrame | None, chunks: DataFrame, encoder: Encoder) -> DataFrame:
     """The index with the chunks put in: of equal ids the last one, new ones in place of old ones."""
-    new = encode(keep_last(chunks, "id"), encoder=encoder)
+    new = encode(keep_last(chunks, "id"), encoder)
     if current is None:
         return new
     return current.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)

@@ -12,10 +12,11 @@ from codequarry.operators import answers, enrich
 from codequarry.operators.enrich import Provider
 from codequarry.operators.knowledge import Knowledge, summary
 from codequarry.operators.manifest import file_tree, in_skipped_dir, is_binary, manifest
-from codequarry.plans.pipeline import extract
+from codequarry.plans.pipeline import extracted
 from codequarry.sources import stores
 from codequarry.sources.files import as_text, discover_local, read_files
 from codequarry.sources.shared import new_folder
+from codequarry.streaming.lease import single_flight
 from codequarry.streaming.progress import ProgressLog
 
 
@@ -88,9 +89,9 @@ def analyze(files: DataFrame, asker: Asker | None = None) -> Analysis:
     written into the shared folder once, for all that is made of them.
     """
     spark = files.sparkSession
-    kb, errors = extract(files)
     found = ("schemas", "apis", "services", "dependencies")
-    kb, errors = replace(kb, **{n: _written(getattr(kb, n)) for n in found}), _written(errors)
+    with extracted(files) as (kb, errors):
+        kb, errors = replace(kb, **{n: _written(getattr(kb, n)) for n in found}), _written(errors)
     if asker is None:
         counts = files.groupBy("repo").agg(F.count("*").cast("int").alias("file_count"))
         none = spark.createDataFrame([], "kind string, body string")
@@ -108,13 +109,14 @@ def analyze(files: DataFrame, asker: Asker | None = None) -> Analysis:
     return Analysis(kb, apis, relationships, repositories, errors)
 
 
-def crawl(spark: SparkSession, roots: list[str], out: str, log: ProgressLog, asker: Asker | None = None, then: Callable[[Knowledge], None] | None = None, exclude: list[str] = ()) -> Analysis:
+def crawl(spark: SparkSession, roots: list[str], out: str, log: ProgressLog, asker: Asker | None = None, then: Callable[[Knowledge], None] | None = None, exclude: list[str] = (), stale_seconds: float = 3600) -> Analysis:
     """A whole run over the repositories below roots, its stages in the log: out/store is a new version, out/docs the pages.
 
     then is called with the stored tables at the end. If a stage fails, the run ends as failed in the log and the store
-    keeps the version it had.
+    keeps the version it had. Runs into the same folder come one at a time: a second one raises Busy, unless the first
+    has given no sign of life for stale_seconds.
     """
-    with log.job("crawl") as job:
+    with single_flight(spark, f"{out}/lease", "crawl", stale_seconds), log.job("crawl") as job:
         job.stage("discover", "Scanning local directories")
         repos = [str(p) for p in discover_local(list(roots), list(exclude))]
         job.log(f"Found {len(repos)} local repositories")
@@ -127,7 +129,7 @@ def crawl(spark: SparkSession, roots: list[str], out: str, log: ProgressLog, ask
         job.stage("output", "Generating output files")
         stores.save(made.kb, f"{out}/store")
         stores.set_relationships(made.relationships, f"{out}/store")
-        stores.save_tree(stores.load(spark, f"{out}/store"), f"{out}/docs")
+        stores.save_tree(stores.load(spark, f"{out}/store"), f"{out}/docs", stores.get_relationships(spark, f"{out}/store"))
         job.stage("reloading", "Reloading knowledge base")
         if then:
             then(stores.load(spark, f"{out}/store"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -89,9 +90,28 @@ def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_
     for all tables; a lost part is made again. Python, YAML, TOML and JSON files that can't be parsed
     give an error row, the other extractors take what matches. strict_dispatch takes files by
     extension only, so that dependency files known by name are left out where their extension is
-    another extractor's or no one's.
+    another extractor's or no one's. What is kept stays for the session; extracted() frees it.
     """
-    files = files.select("repo", "path", "content").persist(StorageLevel.DISK_ONLY)
+    return _extract(files, extractors, strict_dispatch, [])
+
+
+@contextmanager
+def extracted(files: DataFrame, extractors: list[Extractor] | None = None, strict_dispatch: bool = False) -> Iterator[tuple[Knowledge, DataFrame]]:
+    """extract() for a block that writes what it needs: files and parses that were kept are freed at its end."""
+    kept: list[DataFrame] = []
+    try:
+        yield _extract(files, extractors, strict_dispatch, kept)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def _extract(files: DataFrame, extractors: list[Extractor] | None, strict_dispatch: bool, kept: list[DataFrame]) -> tuple[Knowledge, DataFrame]:
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return kept[-1]
+
+    files = keep(files.select("repo", "path", "content"))
     parts: dict[str, list[DataFrame]] = {}
     extractors = extractors or default_extractors()
     turns = max(32, len(extractors))
@@ -101,7 +121,7 @@ def extract(files: DataFrame, extractors: list[Extractor] | None = None, strict_
         mine = F.lower(suffix_of(F.col("path"))).isin(x.extensions) | name_of(F.col("path")).isin(x.names)
         # repository and path travel as one, since extractors know a file by its path only
         own = files.where(mine).select(F.concat_ws("\x01", "repo", "path").alias("path"), "content")
-        own = x.prepare(own).persist(StorageLevel.DISK_ONLY) if x.prepare else own
+        own = keep(x.prepare(own)) if x.prepare else own
         for table, f in x.tables.items():
             parts.setdefault(table, []).append(f(own).withColumn("__turn", F.lit(turn)))
     tables = {}

@@ -227,20 +227,45 @@ def save_markdown(kb: Knowledge, path: str) -> None:
     pages(kb).withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").json(path)
 
 
-def tree(kb: Knowledge, relationships: dict | None = None) -> DataFrame:
-    """The files of the documentation: markdown/... with its index, context/REPOSITORY/context.md, context/relationships.json."""
+def relationship_files(rows: DataFrame, part_chars: int = 1 << 26) -> DataFrame:
+    """file, body of relationships (kind, body): context/relationships.json, an object with a list for each kind.
+
+    Of more than part_chars characters, parts of about that size, context/relationships-00000.json and so on, each an
+    object of the same form. No rows, no file. Lists are in the order of their bodies' texts.
+    """
+    total = rows.agg(F.sum(F.length("body"))).first()[0]
+    if total is None:
+        return rows.sparkSession.createDataFrame([], "file string, body string")
+    parts = max(1, -(-total // part_chars))
+    part = F.pmod(F.xxhash64("kind", "body", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    lists = rows.withColumn("part", part).groupBy("part", "kind").agg(F.concat_ws(",\n", F.sort_array(F.collect_list("body"))).alias("b"))
+    listed = F.to_json(F.array("kind"))
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    entry = F.concat(quoted, F.lit(": [\n"), "b", F.lit("\n]"))
+    body = F.concat(F.lit("{\n"), F.concat_ws(",\n", F.sort_array(F.collect_list(entry))), F.lit("\n}"))
+    name = F.lit("context/relationships.json") if parts == 1 else F.format_string("context/relationships-%05d.json", "part")
+    return lists.groupBy("part").agg(body.alias("body")).select(name.alias("file"), "body")
+
+
+def tree(kb: Knowledge, relationships: DataFrame | dict | None = None) -> DataFrame:
+    """The files of the documentation: markdown/... with its index, context/REPOSITORY/context.md, context/relationships.json.
+
+    relationships: rows (kind, body), or one object.
+    """
     spark = kb.schemas.sparkSession
     own = pages(kb).where(~F.startswith("file", F.lit("contexts/"))).select(F.concat(F.lit("markdown/"), "file").alias("file"), "body")
     name = safe_filename(F.coalesce("repo_name", F.lit("unknown")))
     contexts = kb.contexts.select(F.concat(F.lit("context/"), name, F.lit("/context.md")).alias("file"), F.coalesce("context_markdown", F.lit("")).alias("body"), "ord")
     contexts = keep_last(contexts, "file").drop("ord")
     single = [("markdown/index.md", index_page(kb))]
-    if relationships:
+    if isinstance(relationships, DataFrame):
+        own = own.unionByName(relationship_files(relationships))
+    elif relationships:
         single.append(("context/relationships.json", json.dumps(relationships, indent=2)))
     return own.unionByName(contexts).unionByName(spark.createDataFrame(single, "file string, body string"))
 
 
-def save_tree(kb: Knowledge, path: str, relationships: dict | None = None) -> None:
+def save_tree(kb: Knowledge, path: str, relationships: DataFrame | dict | None = None) -> None:
     """The documentation as files below path, written by the tasks; the tree is replaced when all of it is written."""
     write_tree(tree(kb, relationships), path)
 

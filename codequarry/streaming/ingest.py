@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators.knowledge import Knowledge
-from codequarry.plans.pipeline import extract
+from codequarry.plans.pipeline import extracted
 from codequarry.sources import stores
 from codequarry.sources.files import as_text
 
@@ -30,16 +30,17 @@ def ingest(files: DataFrame, read: Callable[[], Knowledge], write: Callable[[Kno
     def put(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        old, new = read().named(), extract(batch)[0].named()
         repos = batch.select("repo").distinct()
-        merged = {}
-        for name, df in old.items():
-            if "repo" not in df.columns:
-                merged[name] = df
-            else:
-                kept = df.join(repos, "repo", "left_anti").select(*df.columns)
-                merged[name] = kept.unionByName(new[name].select(*df.columns))
-        write(Knowledge(**merged))
+        with extracted(batch) as (found, _errors):
+            old, new = read().named(), found.named()
+            merged = {}
+            for name, df in old.items():
+                if "repo" not in df.columns:
+                    merged[name] = df
+                else:
+                    kept = df.join(repos, "repo", "left_anti").select(*df.columns)
+                    merged[name] = kept.unionByName(new[name].select(*df.columns))
+            write(Knowledge(**merged))
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -55,8 +56,8 @@ def ingest_changes(changes: DataFrame, path: str, checkpoint: str, once: bool =
     def put(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        new, _errors = extract(as_text(batch.where("change <> 'deleted'")))
-        stores.upsert_files(new, batch, path)
+        with extracted(as_text(batch.where("change <> 'deleted'"))) as (new, _errors):
+            stores.upsert_files(new, batch, path)
 
     writer = changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -171,8 +171,8 @@ def test_enrichment_rows_never_fail(spark):
 
 def test_vector_index(spark):
     chunks = spark.createDataFrame([("a", "user service", 1), ("b", "payment api", 2), ("a", "user table", 3)], "id string, text string, ord long")
-    index = vectors.index_chunks(None, chunks)
-    index = vectors.index_chunks(index, spark.createDataFrame([("b", "payment page", 1)], "id string, text string, ord long"))
+    index = vectors.index_chunks(None, chunks, vectors.hashing_encoder)
+    index = vectors.index_chunks(index, spark.createDataFrame([("b", "payment page", 1)], "id string, text string, ord long"), vectors.hashing_encoder)
     assert {r.id: r.text for r in index.collect()} == {"a": "user table", "b": "payment page"}
     at = vectors.hashing_encoder(["user table"])[0].tolist()
     best = vectors.search(index, at, 1).first()
