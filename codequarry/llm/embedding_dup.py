@@ -8,11 +8,14 @@ how many each query has, and those of a spanning forest, so a large group costs
 its square; the forests are joined to components.
 
 A query whose beam holds nothing but hits is repeated with a beam twice as wide, until it holds
-something else. Besides, a fixed number of classes is compared with all classes by brute force; if
-the links found are fewer than `recall` of those, all is searched again with beams twice as wide.
+something else. Besides, a fixed number of classes, half of them from those that links were found of, so that
+there is something to measure however rare links are, is compared with all classes by brute force. If
+the shares of their links that a search finds are less than `recall` in the mean over these classes,
+beams are made twice as wide until they are not, and all is searched again with the last width.
 
 Cost: n_shards searches for each class. The number of shards is fixed until a shard would hold
-more than `shard_rows` classes.
+more than `shard_rows` classes. A task holds a shard as arrays: vectors twice (double and single precision,
+12 bytes a component) and 24 neighbours of 4 bytes, some 2.4 GB for 250,000 vectors of 768 components.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and
 rows with a null id, are linked with nothing; vectors of other lengths are never linked; repeated
@@ -24,8 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codequarry.llm.common import components, forget, materialize
 
@@ -197,14 +202,24 @@ def _build(pdf):
     return pdf[["dim", "shard", "kind", "pos", "node", "n", "v", "near", "upper"]]
 
 
-def _graph(rows: list) -> tuple[Graph, list, np.ndarray]:
-    """Of Arrow columns of a shard's graph rows: the graph, its nodes and their numbers of vectors."""
-    cols = {k: [x for b in rows for x in b[k]] for k in ("pos", "node", "n", "v", "near", "upper")}
-    order = np.argsort(cols["pos"])
-    level = np.array([len(cols["upper"][i]) for i in order])
-    near = [np.array([cols["near"][i] for i in order], np.int32)]
-    near += [np.array([cols["upper"][i][k - 1] for i in order if len(cols["upper"][i]) >= k], np.int32) for k in range(1, level.max() + 1)]
-    return Graph(np.array([cols["v"][i] for i in order], np.float64), level, near), [cols["node"][i] for i in order], np.array([cols["n"][i] for i in order])
+def _array(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    """A column of lists of one length as rows of an array."""
+    n = sum(b.num_rows for b in batches)
+    return np.concatenate([b.column(b.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False) for b in batches]).reshape(n, -1)
+
+
+def _list(batches: list[pa.RecordBatch], name: str) -> list:
+    return [x for b in batches for x in b.column(b.schema.get_field_index(name)).to_pylist()]
+
+
+def _graph(batches: list[pa.RecordBatch]) -> tuple[Graph, list, np.ndarray]:
+    """Of a shard's graph rows: the graph, its nodes and their numbers of vectors."""
+    order = np.argsort(_list(batches, "pos"))
+    nodes, upper = _list(batches, "node"), _list(batches, "upper")
+    level = np.array([len(upper[i]) for i in order])
+    near = [_array(batches, "near")[order]]
+    near += [np.array([upper[i][k - 1] for i in order if len(upper[i]) >= k], np.int32) for k in range(1, level.max() + 1)]
+    return Graph(_array(batches, "v")[order], level, near), [nodes[i] for i in order], np.array(_list(batches, "n"))[order]
 
 
 class Forest:
@@ -230,19 +245,18 @@ class Forest:
         return out
 
 
-def _search(batches, beam: int, least: float, type_, asked):
+def _search(batches, beam: int, least: float, type_, tell: bool):
     """Rows come sorted by shard and block, a graph's before its queries; both may span batches.
 
-    Gives per query with links: their number of vectors, those of the forest, and all if it is asked.
+    Gives per query with links: their number of vectors, those of the forest, and all if they are to be told.
     """
     key, rows, graph, forest = None, [], None, Forest()
     for b in batches:
-        b = b.to_pydict()
-        keys = list(zip(b["dim"], b["shard"], b["block"], b["kind"], strict=True))
+        keys = list(zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dim", "shard", "block", "kind")], strict=True))
         ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
         at = 0
         for end in ends if keys else []:
-            part, k = {c: x[at:end] for c, x in b.items()}, keys[at]
+            part, k = b.slice(at, end - at), keys[at]
             at = end
             if k[3] == 0:
                 if k != key:
@@ -253,22 +267,27 @@ def _search(batches, beam: int, least: float, type_, asked):
                 continue  # no graph: the shard is empty
             graph = graph or _graph(rows)
             g, nodes, n = graph
-            found = g.linked(np.array(part["v"], np.float64), beam, least)
-            links = [(q, [nodes[i] for i in f if nodes[i] != q], sum(int(n[i]) for i in f if nodes[i] != q)) for q, f in zip(part["node"], found, strict=True)]
+            found = g.linked(_array([part], "v"), beam, least)
+            links = [(q, [nodes[i] for i in f if nodes[i] != q], sum(int(n[i]) for i in f if nodes[i] != q)) for q, f in zip(_list([part], "node"), found, strict=True)]
             links = [x for x in links if x[1]]
             many = pa.list_(type_)
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array([q for q, _, _ in links], type_),
                 "n": pa.array([w for _, _, w in links], pa.int64()),
                 "forest": pa.array([forest.new(q, x) for q, x, _ in links], many),
-                "links": pa.array([x if q in asked.value else None for q, x, _ in links], many),
+                "links": pa.array([x if tell else None for _, x, _ in links], many),
             })
 
 
-def _audit(classes: DataFrame, least: float, queries: int, id_type: str):
-    """All links of so many classes by brute force, as (node, other); and a broadcast of these classes."""
+def _audit(classes: DataFrame, found: DataFrame, least: float, queries: int, id_type: str):
+    """All links of so many classes by brute force, as (node, other); and these classes, as rows (node).
+
+    Half of them are from those with links in found.
+    """
     spark = classes.sparkSession
-    asked = classes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(queries).select("node", "dim", "v").collect()
+    first = lambda df: df.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(queries // 2).select("node", "dim", "v")
+    linked = classes.join(found.select("node").distinct(), "node", "left_semi")
+    asked = list({r.node: r for r in first(linked).unionByName(first(classes)).collect()}.values())
     by_dim = {}
     for r in asked:
         by_dim.setdefault(r.dim, []).append((r.node, r.v))
@@ -276,14 +295,13 @@ def _audit(classes: DataFrame, least: float, queries: int, id_type: str):
 
     def compare(batches):
         for b in batches:
-            b = b.to_pydict()
-            out = []
+            out, dims = [], b.column(b.schema.get_field_index("dim"))
             for d, (nodes, q) in sent.value.items():
-                at = [i for i, x in enumerate(b["dim"]) if x == d]
-                if at:
-                    v = np.array([b["v"][i] for i in at], np.float64)
+                same = b.filter(pc.equal(dims, d))
+                if same.num_rows:
+                    v, others = _array([same], "v"), _list([same], "node")
                     cos = (v @ q.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1))
-                    out += [{"node": nodes[j], "other": b["node"][at[i]]} for i, j in np.argwhere(cos >= least) if nodes[j] != b["node"][at[i]]]
+                    out += [{"node": nodes[j], "other": others[i]} for i, j in np.argwhere(cos >= least) if nodes[j] != others[i]]
             yield pa.RecordBatch.from_pylist(out, schema) if out else pa.RecordBatch.from_pydict({f.name: pa.array([], f.type) for f in schema}, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -291,7 +309,7 @@ def _audit(classes: DataFrame, least: float, queries: int, id_type: str):
     t = to_arrow_type(classes.schema["node"].dataType)
     schema = pa.schema([("node", t), ("other", t)])
     truth = classes.select("node", "dim", "v").mapInArrow(compare, f"node {id_type}, other {id_type}")
-    return truth, spark.sparkContext.broadcast({r.node for r in asked})
+    return truth, spark.createDataFrame([(r.node,) for r in asked], T.StructType([T.StructField("node", classes.schema["node"].dataType)]))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, beam: int = 32, n_shards: int = 8, shard_rows: int = 250_000, blocks: int = 3, audit_queries: int = 512, recall: float = 0.99) -> DataFrame:
@@ -311,22 +329,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     shard = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_shards)).cast("int")
     dealt = classes.select("node", "v", "n", "dim", shard.alias("shard"))
     graphs = materialize(dealt.repartition(n_shards, "shard").groupBy("dim", "shard").applyInPandas(_build, _GRAPH.format(id=id_type)))
-    per_block = F.explode(F.array(*[F.lit(k) for k in range(blocks)]))
-    left = graphs.withColumn("block", per_block)
     empty = lambda kind: F.lit(None).cast(kind)
-    right = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("pos"), "node", "n", "v", empty("array<int>").alias("near"), empty("array<array<int>>").alias("upper"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
-    both = left.unionByName(right).repartition(n_shards * blocks, "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
-    truth, asked = _audit(classes, least, audit_queries, id_type)
-    truth = materialize(truth)
-    n_true = truth.count()
     schema = f"node {id_type}, n long, forest array<{id_type}>, links array<{id_type}>"
-    while True:
-        found = materialize(both.mapInArrow(lambda it, beam=beam: _search(it, beam, least, arrow_type, asked), schema))
-        pairs = found.where("links is not null").select("node", F.explode("links").alias("other"))
-        if not n_true or truth.join(pairs, ["node", "other"], "left_semi").count() >= recall * n_true or beam >= shard_rows:
-            break
-        forget(found)
+
+    def searched(queries: DataFrame, beam: int, blocks: int, tell: bool) -> DataFrame:
+        left = graphs.withColumn("block", F.explode(F.array(*[F.lit(k) for k in range(blocks)])))
+        right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("pos"), "node", "n", "v", empty("array<int>").alias("near"), empty("array<array<int>>").alias("upper"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
+        both = left.unionByName(right).repartition(n_shards * blocks, "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind")
+        return both.mapInArrow(lambda it: _search(it, beam, least, arrow_type, tell), schema)
+
+    found, first = materialize(searched(classes, beam, blocks, False)), beam
+    truth, asked = _audit(classes, found, least, audit_queries, id_type)
+    truth = materialize(truth)
+    audited = classes.join(F.broadcast(asked), "node", "left_semi")  # audit_queries rows at most
+
+    def measured(beam: int) -> float:
+        """The mean share of links found, over the audited classes with links; 1 if none has any."""
+        pairs = searched(audited, beam, 1, True).select("node", F.explode("links").alias("other")).withColumn("hit", F.lit(1.0))
+        each = truth.join(pairs, ["node", "other"], "left").groupBy("node").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+        return each.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
+
+    while measured(beam) < recall and beam < shard_rows:
         beam *= 2
+    if beam > first:
+        forget(found)
+        found = materialize(searched(classes, beam, blocks, False))
     weights = found.groupBy("node").agg(F.sum("n").alias("others"))
     edges = found.select("node", F.explode("forest").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     labels = components(edges)

@@ -83,5 +83,25 @@ def test_a_shard_is_searched_with_full_recall(vectors):
     assert hit >= 0.995 * truth.sum() and hit == sum(map(len, found))
 
 
+def test_rare_links_are_audited(spark):
+    """One pair in 2,000 vectors: the audit has classes with links to measure."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 24))
+    x[1] = x[0] + 0.01
+    classes = spark.createDataFrame([(i, 1, 24, v.tolist()) for i, v in enumerate(x)], "node long, n long, dim int, v array<double>")
+    found = spark.createDataFrame([(0, 1), (1, 1)], "node long, n long")
+    truth, asked = embedding_dup._audit(classes, found, 0.95, 8, "bigint")
+    assert {tuple(r) for r in truth.collect()} == {(0, 1), (1, 0)} and asked.count() <= 8
+
+
+def test_beams_widen_until_the_audit_passes(spark, vectors):
+    """From beams of one node, the audit leads to wide enough ones."""
+    ids, x = vectors
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dup.near_duplicates(df, beam=1).collect()}
+    want = brute(ids, x.astype(np.float64))
+    assert sum(min(got[i], want[i][0]) for i in want) >= 0.98 * sum(n for n, _ in want.values())
+
+
 def test_empty_table(spark):
     assert embedding_dup.embedding_dup_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
