@@ -44,7 +44,7 @@ class Lease:
         return meta | {"stale": meta["holder"] is not None and meta["seen"] < self.clock() - self.stale_seconds}
 
     def take(self, name: str) -> bool:
-        """Whether the lease was free or stale and is now held by this object; True means that a stale run was replaced."""
+        """Hold the lease if it is free or stale, else raise Busy. Returns whether a stale run was replaced."""
         now, held = self.store.state(), self.state()
         if held["holder"] is not None and not held["stale"]:
             raise Busy(f"{held['name']} is running since {held['since']:.0f}")
