@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,12 +32,15 @@ SAMPLE_PER_CELL = 256  # rows that k-means learns from
 NO_CELL = -1  # of vectors without a direction: null, zero, or not finite
 ASKED = 64  # stored vectors that the number of probes is measured with
 NEAR = 10
+ROWS, QUERIES = 4096, 8192  # of a cell, and of the queries sent to it, that one group multiplies
+AT_A_TIME = 1 << 22  # products, or numbers of vectors, that a task holds at a time
+NEARLY = 1e-12  # more than products of unit vectors are off by
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     """Unit rows; those without a direction are NaN."""
     out = np.full((len(column), size), np.nan)
-    fits = np.array([v.is_valid and len(v) == size for v in column], bool)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False)
     if fits.any():
         flat = column.filter(pa.array(fits)).flatten()
         out[fits] = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -49,6 +53,53 @@ def _angle(dots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(dots, -1, 1))
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of vectors that all have a direction."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What functions.cosine gives for each pair of rows: sums run from the first entry to the last, so that not a bit differs."""
+    dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+    norm = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    with np.errstate(all="ignore"):
+        return np.where(norm > 0, dot(a, b) / norm, np.nan)
+
+
+def _best(limit: int):
+    """A group's rows and queries to each query's best rows by cosine, then by id."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        names = ["__q", "__k", "similarity"]
+        if not len(rows) or not len(asked):
+            return pa.table([asked["__q"].slice(0, 0), rows["__k"].slice(0, 0), pa.array([], pa.float64())], names=names)
+        rows = rows.take(pc.sort_indices(rows["__k"], null_placement="at_start"))
+        x, q = _vectors(rows["__x"]), _vectors(asked["__v"])
+        # of equal vectors, no more than the first by id can be hits
+        _, same = np.unique(x.view(f"V{x.shape[1] * 8}")[:, 0], return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        nth = np.arange(len(x)) - np.searchsorted(same[order], same[order])
+        kept = np.sort(order[nth < limit])
+        x, ux, uq, k = x[kept], _unit(x[kept]), _unit(q), min(limit, len(kept))
+        who, at, sim = [], [], []
+        for part in np.array_split(np.arange(len(q)), max(1, len(q) * len(x) // AT_A_TIME)):
+            dots = uq[part] @ ux.T
+            least = np.partition(dots, len(x) - k, axis=1)[:, len(x) - k] - NEARLY
+            w, a = np.nonzero(dots >= least[:, None])
+            pieces = np.array_split(np.arange(len(w)), max(1, len(w) * x.shape[1] // AT_A_TIME))
+            c = np.concatenate([_cosines(x[a[p]], q[part[w[p]]]) for p in pieces])
+            order = np.lexsort((a, -c, w))
+            w, a, c = w[order], a[order], c[order]
+            top = np.arange(len(w)) - np.searchsorted(w, w) < limit
+            who.append(part[w[top]])
+            at.append(kept[a[top]])
+            sim.append(c[top])
+        sim = np.concatenate(sim)
+        return pa.table([asked["__q"].take(pa.array(np.concatenate(who))), rows["__k"].take(pa.array(np.concatenate(at))), pa.array(sim, mask=np.isnan(sim))], names=names)
+
+    return run
+
+
 def learn_cells(rows: DataFrame, vec_col: str, cells: int | None = None, seed: int = 1) -> np.ndarray:
     """Unit centres of cells; as many as the root of the number of rows, unless given.
 
@@ -107,6 +158,7 @@ class Collection:
             self.cell_ids = np.array([r.cell for r in rows if r.cell != NO_CELL], int)
             self.centres = np.array([r.centre for r in rows if r.cell != NO_CELL]).reshape(len(self.cell_ids), -1 if len(self.cell_ids) else 0)
             self.widest = np.array([r.widest for r in rows if r.cell != NO_CELL])
+            self.sizes = np.array([r.n for r in rows if r.cell != NO_CELL], int)
 
     # building ----------------------------------------------------------------------------
 
@@ -167,26 +219,39 @@ class Collection:
     def search_many(self, queries: DataFrame, limit: int = 10, probes: int | None = None, query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
         """The nearest rows for each of many queries: query_id, id, similarity, rank.
 
-        Queries are sent to their nearest cells and joined with the rows there; each task keeps a query's best
-        rows before they are gathered.
+        Queries are sent to their nearest cells, or to all rows at once if all cells are read. The rows of a cell and its
+        queries are dealt into blocks of a bounded size by a hash; each pair of blocks is one group, which multiplies
+        them and keeps a query's best rows, before these are gathered.
         """
         key, vec, n = self.meta["id"], self.meta["vector"], probes or self.meta["probes"]
         centres, ids = self.centres, self.cell_ids
+        whole = n >= len(ids)
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = _matrix(b.column(1), centres.shape[1])
                 good = np.flatnonzero(np.isfinite(x).all(1))
-                cells = ids[np.argsort(-(x[good] @ centres.T), axis=1, kind="stable")[:, :n]]
-                row = pa.array(np.repeat(good, cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(cells.reshape(-1).astype(np.int32))], ["__q", "__v", PART])
+                for at in np.array_split(good, max(1, len(good) * len(ids) // AT_A_TIME)):
+                    cells = np.zeros((len(at), 1), int) if whole else ids[np.argsort(-(x[at] @ centres.T), axis=1, kind="stable")[:, :n]]
+                    row = pa.array(np.repeat(at, cells.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(cells.reshape(-1).astype(np.int32))], ["__q", "__v", PART])
 
         asked = queries.select(F.col(query_id).alias("__q"), F.col(query_vec).alias("__v"))
         routed = asked.mapInArrow(route, T.StructType([*asked.schema.fields]).add(PART, "integer"))
-        pairs = self.rows().select(key, vec, PART).join(routed, PART)
-        scored = pairs.select("__q", key, cosine(F.col(vec), F.col("__v")).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("similarity"), key))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("__q", query_id)
+        sent = {r[PART]: r["count"] for r in routed.groupBy(PART).count().collect()}  # at most MOST_CELLS
+        held = {0: int(self.sizes.sum())} if whole else dict(zip(ids.tolist(), self.sizes.tolist(), strict=True))
+        blocks = [(c, -(-max(held[c], 1) // ROWS), -(-m // QUERIES)) for c, m in sent.items()]
+        blocks = F.broadcast(self.spark.createDataFrame(blocks, f"{PART} int, __rows int, __queries int"))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = self.rows().where(F.col(PART) != NO_CELL).select(F.col(key).alias("__k"), F.col(vec).alias("__x"), (F.lit(0) if whole else F.col(PART)).alias(PART))
+        rows = rows.join(blocks, PART).select(PART, deal("__k", "__rows").alias("__r"), every("__queries").alias("__s"), "__k", "__x")
+        routed = routed.join(blocks, PART).select(PART, every("__rows").alias("__r"), deal("__q", "__queries").alias("__s"), "__q", "__v")
+        found = T.StructType([T.StructField("__q", asked.schema["__q"].dataType), T.StructField("__k", rows.schema["__k"].dataType), T.StructField("similarity", T.DoubleType())])
+        pair = (PART, "__r", "__s")
+        best = rows.groupBy(*pair).cogroup(routed.groupBy(*pair)).applyInArrow(_best(limit), found)
+        rank = F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("similarity"), "__k"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnsRenamed({"__q": query_id, "__k": key})
 
     def similar_to(self, item, limit: int = 5, exact: bool = False) -> DataFrame:
         """The rows nearest to a stored one, without it; none if it isn't there."""

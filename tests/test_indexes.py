@@ -6,9 +6,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codequarry.operators import knowledge, search, vectors
+from codequarry.functions import cosine
+from codequarry.operators import knowledge, search, vector_index, vectors
 from codequarry.operators.knowledge import Knowledge
 from codequarry.operators.term_index import TermIndex, term_grams
 from codequarry.operators.vector_index import NO_CELL, Collection
@@ -185,6 +187,26 @@ def test_a_search_reads_few_cells_with_the_recall_asked_for(spark, collection):
     assert len(read) == c.meta["probes"] and one.first().id == 0
 
 
+def test_many_queries_are_multiplied_in_blocks_to_the_same_bits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "ROWS", 64)
+    monkeypatch.setattr(vector_index, "QUERIES", 16)
+    monkeypatch.setattr(vector_index, "AT_A_TIME", 4096)
+    x = clustered(300, seed=4).astype(np.float32)
+    x = np.concatenate([x, x[:1].repeat(150, 0), 3 * x[:40]])  # copies, and others of the same direction
+    rows = [(k, "a", v.tolist(), 0) for k, v in enumerate(x)] + [(1000, "a", None, 0), (1001, "a", [0.0] * 16, 0)]
+    df = spark.createDataFrame(rows, KIND)
+    c = Collection.build(df, str(tmp_path / "c"))
+    asked = df.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = df.where("id < 1000").crossJoin(asked.where("query_id < 1000")).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    want = pairs.withColumn("rank", rank).where("rank <= 10").select("query_id", "id", "similarity", "rank")
+    got = c.search_many(asked, 10, len(c.cell_ids))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan  # no row for each pair
+    assert {(r.query_id, r.rank) for r in c.search_many(asked, 3, 1).collect()} >= {(k, 1) for k in range(0, 300, 5)}
+
+
 def test_a_collection_is_opened_again_and_upserted(spark, collection):
     df, c = collection
     c = Collection(spark, c.store.folder)
