@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TASKS_PER_CORE = 4
+
 
 def keep_first(df: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """The row of smallest order for each key; aggregated on the map side, so a hot key is no burden."""
@@ -24,6 +26,14 @@ def head(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*(order or ("ord",))).limit(n)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks, before work that is dear for each of them.
+
+    A table of short rows is a file or two of few row groups, so one or two tasks would do all of it.
+    """
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def substring_pairs(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
     """Distinct (a, b) of which one contains the other, case ignored; empty values are left out.
 

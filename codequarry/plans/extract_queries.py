@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import enrich, manifest
 from codequarry.operators.extract import configs, golang, java, jsts, pyast, sdl
+from codequarry.operators.tables import spread
 from codequarry.plans.queries import query
 from codequarry.plans.tables import table
 
 
 def _files(spark, sf_dir, source: str, path: str, *parts: str) -> DataFrame:
     """Files from rows of a table: path and parts are SQL expressions; parts are joined."""
-    return table(spark, sf_dir, source).selectExpr(f"{path} as path", f"concat({', '.join(parts)}) as content")
+    return spread(table(spark, sf_dir, source)).selectExpr(f"{path} as path", f"concat({', '.join(parts)}) as content")
 
 
 def _fields(df: DataFrame, *more: str) -> DataFrame:
