@@ -11,6 +11,7 @@ from codequarry.operators.extract import pyast
 SF = "/root/testdata/sf0.001"
 SPREAD = [
     "py_routes",
+    "py_models",
 ]
 
 
