@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 SPREAD = [
     "py_routes",
     "py_models",
+    "py_services",
 ]
 
 
