@@ -13,6 +13,7 @@ SPREAD = [
     "py_routes",
     "py_models",
     "py_services",
+    "js_services",
 ]
 
 
