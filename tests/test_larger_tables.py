@@ -14,6 +14,7 @@ SPREAD = [
     "py_models",
     "py_services",
     "js_services",
+    "java_services",
 ]
 
 
