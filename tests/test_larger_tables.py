@@ -15,6 +15,7 @@ SPREAD = [
     "py_services",
     "js_services",
     "java_services",
+    "java_entities",
 ]
 
 
