@@ -16,6 +16,7 @@ SPREAD = [
     "js_services",
     "java_services",
     "java_entities",
+    "sql_columns",
 ]
 
 
