@@ -17,6 +17,7 @@ SPREAD = [
     "java_services",
     "java_entities",
     "sql_columns",
+    "prisma_fields",
 ]
 
 
