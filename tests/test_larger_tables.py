@@ -18,6 +18,7 @@ SPREAD = [
     "java_entities",
     "sql_columns",
     "prisma_fields",
+    "java_relations",
 ]
 
 
