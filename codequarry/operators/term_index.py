@@ -2,13 +2,14 @@
 
 `postings` has a row (gram, kind, rec) for each distinct trigram of a record's texts, lower-cased and
 ended by two marks, so that a trigram begins at every character. A text that contains a term contains
-all of the term's trigrams; a term of one or two characters is the beginning of a trigram. Postings are
-bucketed by the gram's hash and sorted within files; the records' own tables are bucketed by a hash of
-the record, and rec tells the bucket.
+all of the term's trigrams; a term of one or two characters is the beginning of a trigram. rec is a hash
+of the texts: records of equal texts share one, so a package that very many repositories use has one
+record's postings. Postings are bucketed by the gram's hash and sorted within files; the records' own
+tables are bucketed by rec and sorted by it.
 
 A lookup takes the rarest trigrams of its term, intersects their postings, and reads these records
 from their buckets; the operators then work on those rows as on the whole tables and decide
-exactly, so their results are the same. If a term's rarest trigram stands in more than `most` records, or
+exactly, so their results are the same. If a term's rarest trigram stands in more than `most` recs, or
 the term is empty, the table is read as it is.
 """
 
@@ -56,6 +57,10 @@ def _kind_of(kind: str, column: str) -> str:
     return _parse_datatype_string(SCHEMAS[kind])[column].dataType.simpleString()
 
 
+def _lowered(kind: str) -> Column:
+    return F.transform(searched_texts(kind), lambda t: F.lower(t))
+
+
 def grams_of(texts: Column) -> Column:
     """Distinct trigrams of an array of texts, case ignored."""
 
@@ -90,19 +95,19 @@ class TermIndex:
 
     @classmethod
     def build(cls, kb: Knowledge, folder: str, parts: int = 64, gram_parts: int = 16, most: int = 100_000) -> TermIndex:
-        """Store the tables and their postings as one version. most: records of a term beyond which a table is read whole."""
+        """Store the tables and their postings as one version. most: recs of a term beyond which a table is read whole."""
         spark = kb.schemas.sparkSession
         store = Store(spark, folder)
         changes = {}
         for name, df in kb.named().items():
-            spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c == "repo" or c == "repo_name"], "ord"), F.lit(parts)).cast("int")
-            changes[name] = Change(df.withColumn(PART, spread).withColumn(REC, F.monotonically_increasing_id()), sort=(REC,))
+            numbered = df.withColumn(REC, F.xxhash64(_lowered(name)))
+            changes[name] = Change(numbered.withColumn(PART, F.pmod(F.col(REC), F.lit(parts)).cast("int")), sort=(REC,))
 
         def postings(state: State) -> tuple[dict[str, Change], dict]:
             every = None
             for name in changes:
-                one = store.read(name, state)  # numbers of records are read as they were written
-                grams = one.select(F.lit(name).alias("kind"), REC, F.col(PART).alias("bucket"), F.explode(grams_of(searched_texts(name))).alias("gram"))
+                one = store.read(name, state).select(REC, F.col(PART).alias("bucket"), _lowered(name).alias("texts")).distinct()  # copies lie side by side in a bucket
+                grams = one.select(F.lit(name).alias("kind"), REC, "bucket", F.explode(grams_of(F.col("texts"))).alias("gram"))
                 every = grams if every is None else every.unionByName(grams)
             dealt = every.withColumn(PART, F.pmod(F.xxhash64("gram"), F.lit(gram_parts)).cast("int"))
             frequent = every.groupBy("kind", "gram").agg(F.count("*").alias("n")).withColumn(PART, F.pmod(F.xxhash64("gram"), F.lit(gram_parts)).cast("int"))

@@ -135,6 +135,21 @@ def test_lookups_by_index_are_lookups_by_scan(indexed, value):
     assert rows_of(index.list_recipes(value)) == rows_of(knowledge.list_recipes(kb.semantic_layers, value))
 
 
+def test_records_of_equal_texts_share_postings(spark, tmp_path):
+    def built(copies):
+        rows = [(f"repo-{k}", f"Pkg-{k % 40}", "pip" if k % 3 else None, k) for k in range(40 * copies)]
+        kb = Knowledge.of(spark, dependencies=spark.createDataFrame(rows, "repo string, name string, ecosystem string, ord long"))
+        return kb, TermIndex.build(kb, str(tmp_path / f"{copies}"), parts=4, gram_parts=2)
+
+    size = lambda index: index.store.read("postings", index.state).count()
+    (_, few), (kb, many) = built(3), built(30)
+    assert size(few) == size(many)  # ten times the rows before
+    want = knowledge.dependency_usage(kb.dependencies, "PKG-12").select("repo", "name", "count", "ord")
+    got = many.dependency_usage("PKG-12").select("repo", "name", "count", "ord")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 30
+    assert many.look_up(["pkg-12"], "dependencies")["dependencies"].buckets < 4
+
+
 def test_an_index_reads_candidates(indexed):
     _, index = indexed
     some, none = (index.look_up([t], "schemas")["schemas"] for t in ("needle", "absent words"))
