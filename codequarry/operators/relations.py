@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text
 from codequarry.operators.knowledge import find_contains
-from codequarry.operators.tables import keep_first, substring_pairs
+from codequarry.operators.extract import none
+from codequarry.operators.tables import keep_first, spread, substring_pairs
+
+SALTS = 32  # parts that the sources of one entity are dealt into
 
 
 def _first_name(found: DataFrame) -> DataFrame:
@@ -44,10 +47,14 @@ def data_routing(contexts: DataFrame) -> DataFrame:
     owned = _owned(contexts).where("entity <> ''")
     copies = owned.where("not is_source").select("entity", F.col("repo").alias("other"), F.col("description").alias("notes"), F.struct("ord", "pos").alias("o"))
     copy = F.struct("o", F.col("other").alias("service"), F.lit("eventual").alias("freshness"), "notes")
+    # a list is sorted once for its entity; sources of one entity lie in many tasks, as each of their rows holds the list
+    lists = copies.groupBy("entity").agg(F.array_sort(F.collect_list(copy)).alias("c"))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     source = owned.where("is_source").select("entity", "repo", "description", "ord", "pos")
-    joined = source.join(copies, "entity", "left").groupBy("entity", "repo", "description", "ord", "pos")
-    rows = joined.agg(F.array_sort(F.collect_list(F.when(F.col("other") != F.col("repo"), copy))).alias("c"))
-    also = F.transform("c", lambda c: F.struct(c["service"].alias("service"), c["freshness"].alias("freshness"), c["notes"].alias("notes")))
+    source = spread(source.withColumn("salt", F.pmod(F.xxhash64("repo", "ord", "pos"), F.lit(SALTS)).cast("int")), "entity", "salt")
+    rows = source.join(lists, ["entity", "salt"], "left")
+    others = F.filter(F.coalesce("c", none(lists.schema["c"].dataType.simpleString())), lambda c: c["service"] != F.col("repo"))
+    also = F.transform(others, lambda c: F.struct(c["service"].alias("service"), c["freshness"].alias("freshness"), c["notes"].alias("notes")))
     return rows.select("entity", F.col("repo").alias("source_of_truth"), also.alias("also_available_in"), F.col("description").alias("query_this_when"), "ord", "pos")
 
 

@@ -26,12 +26,12 @@ def head(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*(order or ("ord",))).limit(n)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over tasks, before work that is dear for each of them.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt evenly over tasks, or by the hash of keys, before work that is dear for each of them.
 
     A table of short rows is a file or two of few row groups, so one or two tasks would do all of it.
     """
-    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def substring_pairs(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:

@@ -6,7 +6,9 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.operators import relations
 from codequarry.operators.extract import pyast
+from codequarry.operators.knowledge import Knowledge
 
 SF = "/root/testdata/sf0.001"
 SPREAD = [
@@ -30,6 +32,19 @@ def test_files_of_one_row_group_are_dealt_over_tasks(spark, name):
     assert most <= 4 * all_ / len(tasks)
 
 
+def test_routing_makes_no_row_for_each_pair(spark):
+    rows = [(f"r{k}" if k else None, [("E", f"d{k}", k % 2 == 0), ("F" if k % 4 else "", None, None)], k) for k in range(40)]
+    rows += [("r3", [("E", "of r3", True), ("G", "alone", True)], 40)]
+    kb = Knowledge.of(spark, contexts=spark.createDataFrame(rows, "repo_name string, data_ownership array<struct<entity:string,description:string,is_source_of_truth:boolean>>, ord long"))
+    routed = relations.data_routing(kb.contexts)
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # lists are made before sources meet them
+    got = {(r.entity, r.ord): [(c.service, c.notes) for c in r.also_available_in] for r in routed.collect()}
+    copies = [(f"r{k}", f"d{k}") for k in range(1, 40, 2)]
+    assert got.keys() == {("E", k) for k in range(0, 41, 2)} | {("G", 40)} and got["G", 40] == []
+    assert got["E", 0] == [] and got["E", 2] == copies and got["E", 40] == [c for c in copies if c[0] != "r3"]
+
+
 def test_statements_are_walked_in_the_order_of_the_tree():
     source = "x = [lambda: 1]\nif x:\n    class A(Base):\n        é: int = 'é'; y: str\r\nelse:\n    try: pass\n    except E:\n        def f(a=(lambda: 2)): ...\n    finally:\n        class B(Base): z: int = 1\nmatch x:\n    case 1:\n        async def g():\n            class C(Base):\n                q: int = \"\"\"\r\n\f\"\"\"\n"
     tree = ast.parse(source)
