@@ -4,8 +4,8 @@
 ended by two marks, so that a trigram begins at every character. A text that contains a term contains
 all of the term's trigrams; a term of one or two characters is the beginning of a trigram. rec is a hash
 of the texts: records of equal texts share one, so a package that very many repositories use has one
-record's postings. Postings are bucketed by the gram's hash and sorted within files; the records' own
-tables are bucketed by rec and sorted by it.
+record's postings. Postings are bucketed by kind and the gram's hash and sorted within files; the records' own
+tables are bucketed by rec and sorted by it. Tables can be indexed one by one, when they are first searched.
 
 A lookup takes the rarest trigrams of its term, intersects their postings, and reads these records
 from their buckets; the operators then work on those rows as on the whole tables and decide
@@ -32,16 +32,17 @@ GRAM, END = 3, "\x00\x00"
 CHUNK = 512  # characters that trigrams are taken of at a time, so that long texts take linear time
 RAREST = 3  # trigrams of a term whose postings are read
 REC = "_rec"
+SEARCHED = ("schemas", "apis", "services", "dependencies", "semantic_layers")
 
 
 def searched_texts(kind: str) -> Column:
-    """The texts of a record that searches and lookups look into."""
-    names = lambda c, part: F.transform(F.coalesce(c, F.array().cast(_kind_of(kind, c))), lambda x: text(x[part]))
+    """The texts of a record that searches and lookups look into, lower-cased."""
+    names = lambda c, part: F.transform(F.coalesce(c, F.array().cast(_kind_of(kind, c))), lambda x: F.lower(text(x[part])))
     plain = {
         "schemas": ("name", "description"), "apis": ("path", "method", "handler", "description"), "services": ("name", "description"),
         "dependencies": ("name", "ecosystem"), "data_flows": ("source", "target"), "contexts": ("repo_name",), "semantic_layers": ("repo_name",),
     }[kind]
-    texts = F.array(*map(text, plain))
+    texts = F.array(*[F.lower(text(c)) for c in plain])  # no lambda where there are no nested texts: Spark compiles none
     if kind == "schemas":
         texts = F.concat(texts, names("fields", "name"), names("fields", "type"), names("fields", "description"))
     elif kind == "services":
@@ -57,10 +58,6 @@ def _kind_of(kind: str, column: str) -> str:
     return _parse_datatype_string(SCHEMAS[kind])[column].dataType.simpleString()
 
 
-def _lowered(kind: str) -> Column:
-    return F.transform(searched_texts(kind), lambda t: F.lower(t))
-
-
 def grams_of(texts: Column) -> Column:
     """Distinct trigrams of an array of texts, case ignored."""
 
@@ -94,41 +91,35 @@ class TermIndex:
         self.state = self.store.state(version)
 
     @classmethod
-    def build(cls, kb: Knowledge, folder: str, parts: int = 64, gram_parts: int = 16, most: int = 100_000) -> TermIndex:
-        """Store the tables and their postings as one version. most: recs of a term beyond which a table is read whole."""
+    def build(cls, kb: Knowledge, folder: str, parts: int = 64, gram_parts: int = 16, most: int = 100_000, kinds: tuple[str, ...] = tuple(SCHEMAS)) -> TermIndex:
+        """Store the tables of kinds and their postings as one version. most: recs of a term beyond which a table is read whole."""
         spark = kb.schemas.sparkSession
-        store = Store(spark, folder)
-        changes = {}
-        for name, df in kb.named().items():
-            numbered = df.withColumn(REC, F.xxhash64(_lowered(name)))
-            changes[name] = Change(numbered.withColumn(PART, F.pmod(F.col(REC), F.lit(parts)).cast("int")), sort=(REC,))
-
-        def postings(state: State) -> tuple[dict[str, Change], dict]:
-            every = None
-            for name in changes:
-                one = store.read(name, state).select(REC, F.col(PART).alias("bucket"), _lowered(name).alias("texts")).distinct()  # copies lie side by side in a bucket
-                grams = one.select(F.lit(name).alias("kind"), REC, "bucket", F.explode(grams_of(F.col("texts"))).alias("gram"))
-                every = grams if every is None else every.unionByName(grams)
-            dealt = every.withColumn(PART, F.pmod(F.xxhash64("gram"), F.lit(gram_parts)).cast("int"))
-            frequent = every.groupBy("kind", "gram").agg(F.count("*").alias("n")).withColumn(PART, F.pmod(F.xxhash64("gram"), F.lit(gram_parts)).cast("int"))
-            return {"postings": Change(dealt, sort=("gram", "kind")), "grams": Change(frequent, sort=("gram", "kind"))}, {}
-
-        store.commit(changes, meta={"parts": parts, "gram_parts": gram_parts, "most": most}, then=postings)
+        _store(Store(spark, folder), kb, kinds, {"parts": parts, "gram_parts": gram_parts, "most": most, "kinds": list(kinds)}, None)
         return cls(spark, folder)
 
+    def having(self, kb: Knowledge, *kinds: str) -> TermIndex:
+        """This index with the tables of these kinds: those that it lacks are stored, nothing else is written or read."""
+        lacking = tuple(k for k in kinds if k not in self.state.meta["kinds"])
+        if not lacking:
+            return self
+        _store(self.store, kb, lacking, self.state.meta | {"kinds": [*self.state.meta["kinds"], *lacking]}, self.state)
+        return TermIndex(self.spark, self.store.folder)
+
     def table(self, kind: str) -> DataFrame:
         """A whole table."""
         return self.store.read(kind, self.state).select(*_columns(kind))
 
     def _at(self, name: str, kinds: list[str], grams: list[str]) -> DataFrame:
         """Rows of postings or grams with one of these trigrams, from the buckets of their hashes."""
-        parts = {xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}
-        parts = {(h - (1 << 64 if h >> 63 else 0)) % self.state.meta["gram_parts"] for h in parts}
+        n = self.state.meta["gram_parts"]
+        hashes = {xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}
+        parts = {_first(k, n) + (h - (1 << 64 if h >> 63 else 0)) % n for h in hashes for k in kinds}
         return self.store.read(name, self.state, parts).where(F.col("kind").isin(kinds) & F.col("gram").isin(grams))
 
     def _from(self, name: str, kinds: list[str], start: str) -> DataFrame:
-        """Rows of postings or grams with a trigram that begins so, from all buckets."""
-        return self.store.read(name, self.state).where(F.col("kind").isin(kinds) & F.col("gram").startswith(start))
+        """Rows of postings or grams with a trigram that begins so, from all buckets of these kinds."""
+        parts = _gram_parts(kinds, self.state.meta["gram_parts"])
+        return self.store.read(name, self.state, parts).where(F.col("kind").isin(kinds) & F.col("gram").startswith(start))
 
     def candidates(self, terms: list[str], kinds: list[str]) -> tuple[DataFrame | None, set[str]]:
         """((kind, rec, bucket) of records that may contain any of the terms, the kinds that a scan is no dearer for)."""
@@ -159,6 +150,8 @@ class TermIndex:
 
     def look_up(self, terms: list[str], *kinds: str) -> dict[str, Looked]:
         """The records of each table that may contain any of the terms."""
+        if lacking := set(kinds) - set(self.state.meta["kinds"]):
+            raise LookupError(f"not indexed: {', '.join(sorted(lacking))}")
         found, scanned = self.candidates(list(dict.fromkeys(terms)), list(kinds))
         buckets: dict[str, set[int]] = {k: set() for k in kinds}
         if found is not None:
@@ -187,8 +180,7 @@ class TermIndex:
         return search.hits(self._matching(query), query)
 
     def _matching(self, query: str) -> Knowledge:
-        kinds = ("schemas", "apis", "services", "dependencies", "semantic_layers")
-        found = self.look_up(query.split() or [""], *kinds)  # a text with no term of the query scores nothing
+        found = self.look_up(query.split() or [""], *SEARCHED)  # a text with no term of the query scores nothing
         return Knowledge.of(self.spark, **{k: x.rows for k, x in found.items()})
 
     def _rows(self, kind: str, term: str) -> DataFrame:
@@ -217,6 +209,39 @@ class TermIndex:
         return knowledge.dependency_usage(self._rows("dependencies", name), name)
 
 
+def _first(kind: str, n: int) -> int:
+    """The first of the n buckets of a kind's postings."""
+    return n * list(SCHEMAS).index(kind)
+
+
+def _gram_parts(kinds: list[str] | tuple[str, ...], n: int) -> list[int]:
+    return [_first(k, n) + i for k in kinds for i in range(n)]
+
+
+def _store(store: Store, kb: Knowledge, kinds: tuple[str, ...], meta: dict, base: State | None) -> None:
+    """Tables, then their postings, then the numbers of recs, which are counted from the stored postings; on top of base, or in place of all."""
+    parts, n = meta["parts"], meta["gram_parts"]
+    replaced = None if base is None else _gram_parts(kinds, n)
+    tables = {}
+    for name in kinds:
+        numbered = kb.named()[name].withColumn(REC, F.xxhash64(searched_texts(name)))
+        tables[name] = Change(numbered.withColumn(PART, F.pmod(F.col(REC), F.lit(parts)).cast("int")), sort=(REC,))
+
+    def postings(state: State) -> tuple[dict[str, Change], dict]:
+        every = []
+        for name in kinds:
+            one = store.read(name, state).select(REC, F.col(PART).alias("bucket"), searched_texts(name).alias("texts")).distinct()  # copies lie side by side in a bucket
+            grams = one.select(F.lit(name).alias("kind"), REC, "bucket", F.explode(grams_of(F.col("texts"))).alias("gram"))
+            every.append(grams.withColumn(PART, F.lit(_first(name, n)) + F.pmod(F.xxhash64("gram"), F.lit(n)).cast("int")))
+        return {"postings": Change(reduce(DataFrame.unionByName, every), replaced, sort=("gram", "kind"))}, {}
+
+    def numbers(state: State) -> tuple[dict[str, Change], dict]:
+        frequent = store.read("postings", state, replaced).groupBy("kind", "gram", PART).agg(F.count("*").alias("n"))
+        return {"grams": Change(frequent.select("kind", "gram", "n", PART), replaced, sort=("gram", "kind"))}, {}
+
+    store.commit(tables, base, meta=meta, then=(postings, numbers))
+
+
 def _columns(kind: str) -> list[str]:
     from pyspark.sql.types import _parse_datatype_string
 

@@ -174,7 +174,7 @@ class Collection:
         def rest(state: State) -> tuple[dict[str, Change], dict]:
             return {"cells": Change(_cells(store, state, centres, known))}, {"probes": _probes(store, state, centres, known)}
 
-        store.commit({"vectors": Change(_in_cells(rows, vec_col, centres))}, meta=meta, then=rest)
+        store.commit({"vectors": Change(_in_cells(rows, vec_col, centres))}, meta=meta, then=(rest,))
         return cls(spark, folder)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> Collection:
@@ -186,7 +186,7 @@ class Collection:
         touched = [r[0] for r in old_places.select(PART).union(new.select(PART)).distinct().collect()]  # numbers of cells
         kept = self.store.read("vectors", self.state, touched).join(rows.select(key), key, "left_anti")
         cells = lambda state: ({"cells": Change(_cells(self.store, state, self.centres, self.cell_ids))}, {})
-        self.store.commit({"vectors": Change(kept.select(*new.columns).unionByName(new), touched)}, self.state, then=cells)
+        self.store.commit({"vectors": Change(kept.select(*new.columns).unionByName(new), touched)}, self.state, then=(cells,))
         return Collection(self.spark, self.store.folder)
 
     # reading -----------------------------------------------------------------------------

@@ -243,3 +243,20 @@ def test_collections_of_few_or_no_vectors(spark, tmp_path):
     assert none.search_exact([1.0], 5).count() == 0 and none.search([1.0], 5).count() == 0
     one = Collection.build(spark.createDataFrame([(1, "a", [1.0, 2.0], 0)], KIND), str(tmp_path / "one"))
     assert [r.id for r in one.search([2.0, 1.0], 5).collect()] == [1]
+
+
+def test_a_lookup_indexes_the_table_it_looks_into(spark, tmp_path):
+    """index_find_api and index_dependency_usage built the postings of all tables before."""
+    rows = spark.createDataFrame([(f"r{k}", f"Pkg-{k}", k) for k in range(30)], "repo string, name string, ord long")
+    kb = Knowledge.of(spark, dependencies=rows, apis=rows.selectExpr("repo", "name as path", "ord"))
+    first = TermIndex.build(kb, str(tmp_path), parts=4, gram_parts=2, kinds=("apis",))
+    assert set(first.state.tables) == {"apis", "postings", "grams"}
+    assert first.find_api("PKG-12").count() == 1
+    with pytest.raises(LookupError):
+        first.dependency_usage("pkg-12")
+    both = first.having(kb, "apis", "dependencies")
+    assert both.dependency_usage("pkg-12").count() == both.find_api("pkg-12").count() == 1
+    runs = lambda index, name: set(index.state.tables[name]["parts"].items())
+    assert runs(first, "apis") == runs(both, "apis") and runs(first, "postings") < runs(both, "postings")
+    assert both.having(kb, "dependencies") is both
+    assert rows_of(both.find_exact("apis", "path", "pkg-7")) == rows_of(knowledge.find_exact(kb.apis, "path", "pkg-7"))
