@@ -260,3 +260,14 @@ def test_a_lookup_indexes_the_table_it_looks_into(spark, tmp_path):
     assert runs(first, "apis") == runs(both, "apis") and runs(first, "postings") < runs(both, "postings")
     assert both.having(kb, "dependencies") is both
     assert rows_of(both.find_exact("apis", "path", "pkg-7")) == rows_of(knowledge.find_exact(kb.apis, "path", "pkg-7"))
+
+
+def test_numbers_of_records_are_counted_from_stored_postings(spark, tmp_path, monkeypatch):
+    """They were made of the tables' texts once more before."""
+    rows = spark.createDataFrame([(f"r{k}", f"Pkg-{k}", k) for k in range(30)], "repo string, name string, ord long")
+    read, names = Store.read, []
+    monkeypatch.setattr(Store, "read", lambda self, name, *more: (names.append(name), read(self, name, *more))[1])
+    index = TermIndex.build(Knowledge.of(spark, dependencies=rows), str(tmp_path), parts=4, gram_parts=2, kinds=("dependencies",))
+    assert names == ["dependencies", "postings"]
+    n = {r.gram: r.n for r in index.store.read("grams", index.state).collect()}
+    assert n["pkg"] == 30 and n["-12"] == 1
