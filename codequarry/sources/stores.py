@@ -14,7 +14,7 @@ from codequarry.operators import render
 from codequarry.operators.knowledge import Knowledge
 from codequarry.operators.tables import keep_last
 from codequarry.sources.page_files import write_tree
-from codequarry.sources.versions import PART, Change, State, Store, part_of
+from codequarry.sources.versions import FEW, PART, Change, State, Store, part_of
 
 
 def _repo(df: DataFrame) -> str:
@@ -24,7 +24,7 @@ def _repo(df: DataFrame) -> str:
 def save(kb: Knowledge, path: str, parts: int = 16) -> State:
     """All tables as one new version of the store at path, bucketed by repository. Readers see it when it is whole."""
     store = Store(kb.schemas.sparkSession, path)
-    return store.commit({n: Change(df.withColumn(PART, part_of(_repo(df), parts=parts))) for n, df in kb.named().items()}, meta={"parts": parts})
+    return store.commit({n: Change(df.withColumn(PART, part_of(_repo(df), parts=parts)), few=parts <= FEW) for n, df in kb.named().items()}, meta={"parts": parts})
 
 
 def load(spark: SparkSession, path: str, version: int | None = None, repo: str | None = None) -> Knowledge:
@@ -43,7 +43,7 @@ def load(spark: SparkSession, path: str, version: int | None = None, repo: str |
 
 
 def upsert(new: Knowledge, path: str, repos: DataFrame | None = None) -> State:
-    """Records of repositories in place of the stored ones, in all tables; only their buckets are written anew.
+    """Records of repositories in place of the stored ones, in all tables; only the buckets of a table that hold or get some are written anew.
 
     repos: the repositories, as column repo; those that new has records of, unless given. One that is given
     without records is taken out of the store.
@@ -58,11 +58,19 @@ def upsert(new: Knowledge, path: str, repos: DataFrame | None = None) -> State:
         repos = reduce(DataFrame.union, [df.select(F.col(_repo(df)).alias("repo")) for df in new.named().values()])
     repos = repos.select("repo").distinct()
     touched = [r[0] for r in repos.select(part_of("repo", parts=n).alias("p")).distinct().collect()]  # at most n numbers
-    changes = {}
+    held = []  # of each table, the buckets that hold records of these repositories or get some
     for name, df in new.named().items():
         key = _repo(df)
-        kept = store.read(name, state, touched).drop(PART).join(repos.withColumnRenamed("repo", key), key, "left_anti")
-        changes[name] = Change(kept.select(*df.columns).unionByName(df).withColumn(PART, part_of(key, parts=n)), touched)
+        old = store.read(name, state, touched).join(repos.withColumnRenamed("repo", key), key, "left_semi").select(PART)
+        held.append(old.union(df.select(part_of(key, parts=n))).select(F.lit(name).alias("name"), F.col(PART).alias("p")))
+    held = {(r.name, r.p) for r in reduce(DataFrame.union, held).distinct().collect()}  # at most n numbers for each table
+    if outside := sorted({(name, p) for name, p in held if p not in touched}):
+        raise ValueError(f"rows outside of the replaced parts {outside[:10]}")
+    changes = {}
+    for name, df in new.named().items():
+        key, own = _repo(df), [p for p in touched if (name, p) in held]
+        kept = store.read(name, state, own).drop(PART).join(repos.withColumnRenamed("repo", key), key, "left_anti")
+        changes[name] = Change(kept.select(*df.columns).unionByName(df).withColumn(PART, part_of(key, parts=n)), own, guarded=touched)
     return store.commit(changes, state)
 
 

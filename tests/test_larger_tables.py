@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from codequarry.operators import relations
 from codequarry.operators.extract import pyast
 from codequarry.operators.knowledge import Knowledge
+from codequarry.sources import stores
+from codequarry.sources.versions import PART, Change, Store, WriteConflict
 
 SF = "/root/testdata/sf0.001"
 SPREAD = [
@@ -53,3 +55,23 @@ def test_statements_are_walked_in_the_order_of_the_tree():
     assert found == [n for n in ast.walk(tree) if isinstance(n, kinds)] and len(found) == 5
     cut = pyast.LINE.findall(source)
     assert [pyast.segment(n, cut) for n in found] == [ast.get_source_segment(source, n) for n in found]
+
+
+def test_an_upsert_writes_only_what_it_changes(spark, tmp_path):
+    """It wrote the buckets of its repositories in all tables before, and a save shuffled all rows."""
+    rows = spark.createDataFrame([(f"r{k}", f"n{k}", k) for k in range(40)], "repo string, name string, ord long")
+    store, folder = Store(spark, str(tmp_path)), str(tmp_path)
+    first = stores.save(Knowledge.of(spark, services=rows, dependencies=rows.where("ord < 20")), folder)
+    one = rows.where("repo = 'r30'").withColumn("name", F.lit("new"))
+    second = stores.upsert(Knowledge.of(spark, services=one), folder)
+    assert second.tables["dependencies"]["parts"] == first.tables["dependencies"]["parts"]  # r30 has none
+    changed = {p for p, run in second.tables["services"]["parts"].items() if first.tables["services"]["parts"].get(p) != run}
+    assert len(changed) == 1
+    assert sorted(r.name for r in stores.load(spark, folder).services.collect()) == sorted(["new", *(f"n{k}" for k in range(40) if k != 30)])
+    assert stores.load(spark, folder).dependencies.count() == 20
+    stores.upsert(Knowledge.of(spark, services=rows.where("repo = 'r3'")), folder)  # its dependencies go
+    assert {r.repo for r in stores.load(spark, folder).dependencies.collect()} == {f"r{k}" for k in range(20)} - {"r3"}
+    with pytest.raises(ValueError):
+        stores.upsert(Knowledge.of(spark, services=rows), folder, rows.where("repo = 'r3'").select("repo"))
+    with pytest.raises(WriteConflict):  # the bucket of r30 was changed since
+        store.commit({"services": Change(rows.withColumn(PART, F.lit(0)).limit(0), [], guarded=changed)}, first)
