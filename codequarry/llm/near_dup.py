@@ -18,6 +18,9 @@ in parts of SPREAD members, and itself in pairs of blocks of BLOCK members, so n
 no link that changes a component is skipped, apart from the chance that no band agrees (6.8e-4 at
 similarity 0.8, 1.2e-5 at 0.85) and `miss`.
 
+Steps that are read twice are written down. So none is computed twice, and no plan is long: the driver plans
+a query anew after each of its stages, and a long one takes most of its memory.
+
 Defined cases: null and empty texts, and texts of white space, have the empty set and are linked
 with nothing; a text of fewer than k words has its whole sequence as one shingle; repeated rows are
 answered one by one; each row of an id that repeats with other texts has the component of its own
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import components, materialize
+from codequarry.llm.common import components, forget, materialize
 
 BANDS, ROWS = 24, 6
 LANE, LANES = 64, 24
@@ -202,7 +205,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
 
     # hubs: every bucket names some, and its members are compared with them
     named_hubs = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HUBS)]
-    hubs = members.groupBy("key", "m").agg(F.explode(F.array_distinct(F.array(*named_hubs))).alias("hub"))
+    hubs = materialize(members.groupBy("key", "m").agg(F.explode(F.array_distinct(F.array(*named_hubs))).alias("hub")))
     partners = hubs.groupBy("hub").agg(F.max(_shares(F.col("m"), SPREAD)).alias("salts"))
     hub_info = info.join(partners, F.col("node") == F.col("hub")).select("hub", "salts", F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
     salted = hubs.join(hub_info, "hub").select("key", "hub", "salts", "b_n", "b_bits", F.explode(F.sequence(F.lit(0), _shares(F.col("m"), SPREAD) - 1)).alias("salt"))
@@ -212,12 +215,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     pairs = known.join(salted, ["key", "salt"]).where((F.col("node") != F.col("hub")) & ok)
     best = F.slice(F.array_sort(F.collect_set(F.struct(unequal.alias("unequal"), "hub", "salts"))), 1, TRIES)
     pairs = pairs.groupBy("node").agg(best.alias("best")).select("node", F.explode("best").alias("p"))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("p.hub").alias("b"), spread(F.col("p.salts")).alias("salt"))
+    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("p.hub").alias("b"), spread(F.col("p.salts")).alias("salt")))
     spots = partners.select(F.col("hub").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     label = components(_linked(pairs, sets, spots, percent))
+    forget(pairs)
 
     # what is left: pairs of a bucket that stand in different components, block by block
-    named = info.join(label, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("component"))
+    named = materialize(info.join(label, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("component")))
     known = members.join(named.join(classes.select("node", "bands"), "node"), "node")
     mixed = members.join(named.select("node", "component"), "node").groupBy("key", "m").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), _shares(F.col("m"), SPREAD) - 1)).alias("salt"))
@@ -228,16 +232,17 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     first = F.expr("try_element_at(bands, cast(array_position(zip_with(bands, b_bands, (x, y) -> x = y), true) as int))") == F.col("key")
     once = (F.col("block") < F.col("other")) | (F.col("node") < F.col("b"))
     rest = left.join(right, ["key", "block", "other"]).where(once & (F.col("component") != F.col("b_component")) & ok & first)
-    rest = rest.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.lit(0).alias("salt"))
+    rest = materialize(rest.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), F.lit(0).alias("salt")))
     more = _linked(rest, sets, rest.select("b", "salt").distinct(), percent)
+    forget(rest)
     one, two = (named.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")) for e in "ab")
     merged = components(more.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
     label = named.select("node", "component").join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
 
-    of = classes.select("cls", "node", "id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = materialize(classes.select("cls", "node", "id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
     names = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    of = of.join(names, "component").select("cls", F.col("best.id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("first"))
+    of = materialize(of.join(names, "component").select("cls", F.col("best.id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("first")))
     out = rows.select("id", "h", "n", "cls").join(of, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "h", "n", "cls", component.alias("component_id"), "first")

@@ -100,3 +100,12 @@ def test_empty_table(spark):
 def test_bounds_widen_with_the_batches():
     most = near_dup.most_unequal(0.85, 1e-5)
     assert most == sorted(most) and all(n * 64 * 0.075 < m for n, m in zip(near_dup.BATCHES, most, strict=True))
+
+
+def test_no_step_has_a_long_plan(spark):
+    """The driver plans a query anew after each of its stages, so a long plan takes most of its memory."""
+    rows = [(i, " ".join(f"w{(i // 2) * 40 + j}" for j in range(40)) + (" x" if i % 2 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for out in (near_dup.near_dup_digest(docs), near_dup.drop_near_duplicates(docs)):
+        assert out._jdf.queryExecution().executedPlan().toString().count(" Exchange ") <= 4
+        assert out.count() in (20, 40)
