@@ -20,14 +20,24 @@ def _files(spark, sf_dir, source: str, path: str, *parts: str) -> DataFrame:
     return spread(table(spark, sf_dir, source)).selectExpr(f"{path} as path", f"concat({', '.join(parts)}) as content")
 
 
+def _each(df: DataFrame, items: str, nth: str, item: str) -> DataFrame:
+    """One row for each item of a list, with its place.
+
+    Before an inner explode Spark puts a filter on the list (not null, not empty) and moves it below the step that
+    makes the list, which is then made three times for each record. An outer one has no such filter.
+    """
+    rest = [c for c in df.columns if c != items]
+    return df.select(*rest, F.posexplode_outer(items).alias(nth, item)).where(F.col(nth).isNotNull())
+
+
 def _fields(df: DataFrame, *more: str) -> DataFrame:
     """One row for each field of each record."""
-    each = df.select("source_file", "name", "type", F.posexplode("fields").alias("nth", "f"))
+    each = _each(df.select("source_file", "name", "type", "fields"), "fields", "nth", "f")
     return each.select("source_file", F.col("name").alias("record"), "type", "nth", F.col("f.name").alias("field"), F.col("f.type").alias("kind"), F.array_join("f.constraints", ",").alias("constraints"), *[F.col(f"f.{m}").alias(m) for m in more])
 
 
 def _links(df: DataFrame) -> DataFrame:
-    return df.select("source_file", "name", F.explode("relationships").alias("r")).select("source_file", F.col("name").alias("record"), F.col("r.type").alias("type"), F.col("r.target").alias("target"), F.col("r.field").alias("field"))
+    return _each(df.select("source_file", "name", "relationships"), "relationships", "nth", "r").select("source_file", F.col("name").alias("record"), F.col("r.type").alias("type"), F.col("r.target").alias("target"), F.col("r.field").alias("field"))
 
 
 def _ddl(spark, sf_dir):
@@ -216,7 +226,7 @@ def _py(spark, sf_dir):
  ['id', 'brand' || p_size, 'size', 'tags', 'size', 'tags'][k] AS field, ['Integer', 'String', 'int', 'list[...]', 'int', 'list[...]'][k] AS kind, ['primary_key', 'not_null,unique', '', '', 'ge=' || p_size || ',le=99', ''][k] AS constraints FROM part, range(1, 7) r(k)"""
 )
 def py_models(spark, sf_dir):
-    return _fields(pyast.schemas(pyast.parse(_py(spark, sf_dir))))
+    return _fields(pyast.schemas(pyast.parse(_py(spark, sf_dir), kinds=["schema"])))
 
 
 @query("SELECT 'py/' || p_partkey || '.py' AS source_file, 'Part' || p_partkey || 'Service' AS name, 'Keeps parts.' AS description, 'find' || p_size || '(id int, other Any) Part Finds.' AS methods, 'Repo' || p_size AS dependencies FROM part")

@@ -34,6 +34,23 @@ def test_files_of_one_row_group_are_dealt_over_tasks(spark, name):
     assert most <= 4 * all_ / len(tasks)
 
 
+@pytest.mark.parametrize("name", ["py_models"])
+def test_lists_of_a_record_are_made_once(spark, name):
+    """A filter on the list, moved below the step that makes it, made it two or three times."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "+- Filter" in line or line.startswith("Filter")]
+    assert filters and not any(f in line for line in filters for f in ("regexp_", "RLIKE", "from_json"))
+
+
+def test_only_records_of_the_kinds_asked_for_leave_python(spark):
+    source = "class A(Base):\n    x: int = 1\nclass BService:\n    def f(self): ...\n@app.get('/p')\ndef g(): ...\nclass CService(BaseModel):\n    y: str\n"
+    files = spark.createDataFrame([("a.py", source), ("b.py", "def broken(:"), ("c.py", None)], "path string, content string")
+    all_ = pyast.parse(files).collect()
+    assert {r.kind for r in all_} == {"schema", "service", "api", "error"}
+    for kinds in (["service"], ["schema", "api"], ["error"], []):
+        assert sorted(pyast.parse(files, kinds=kinds).collect()) == sorted(r for r in all_ if r.kind in kinds)
+
+
 def test_routing_makes_no_row_for_each_pair(spark):
     rows = [(f"r{k}" if k else None, [("E", f"d{k}", k % 2 == 0), ("F" if k % 4 else "", None, None)], k) for k in range(40)]
     rows += [("r3", [("E", "of r3", True), ("G", "alone", True)], 40)]
