@@ -233,18 +233,18 @@ def py_models(spark, sf_dir):
 def py_services(spark, sf_dir):
     args = lambda m: F.array_join(F.transform(m["params"], lambda p: F.concat_ws(" ", p["name"], p["type"])), ", ")
     m = F.array_join(F.transform("methods", lambda x: F.concat(x["name"], F.lit("("), args(x), F.lit(") "), F.concat_ws(" ", x["returns"], x["docstring"]))), ";")
-    return pyast.services(pyast.parse(_py(spark, sf_dir))).select("source_file", "name", "description", m.alias("methods"), F.array_join("dependencies", ",").alias("dependencies"))
+    return pyast.services(pyast.parse(_py(spark, sf_dir), kinds=["service"])).select("source_file", "name", "description", m.alias("methods"), F.array_join("dependencies", ",").alias("dependencies"))
 
 
 @query("SELECT 'py/' || p_partkey || '.py' AS source_file, ['GET', 'POST', 'PUT'][k] AS method, ['/p/' || p_partkey, '/r/' || p_size, '/r/' || p_size][k] AS path, ['get' || p_size, 'both', 'both'][k] AS handler FROM part, range(1, 4) r(k)")
 def py_routes(spark, sf_dir):
-    return pyast.apis(pyast.parse(_py(spark, sf_dir))).select("source_file", "method", "path", "handler")
+    return pyast.apis(pyast.parse(_py(spark, sf_dir), kinds=["api"])).select("source_file", "method", "path", "handler")
 
 
 @query("SELECT 'e/' || s_suppkey || '.py' AS source_file, true AS failed FROM supplier WHERE s_nationkey % 2 = 0")
 def py_errors(spark, sf_dir):
     files = _files(spark, sf_dir, "supplier", "concat('e/', s_suppkey, '.py')", "if(s_nationkey % 2 = 0, 'def broken(:', 'x = 1')")
-    return pyast.errors(pyast.parse(files)).select("source_file", F.contains("description", F.lit("SyntaxError")).alias("failed"))
+    return pyast.errors(pyast.parse(files, kinds=["error"])).select("source_file", F.contains("description", F.lit("SyntaxError")).alias("failed"))
 
 
 @query("SELECT 'r/' || s_suppkey || '/requirements.txt' AS source_file, ['a-' || s_nationkey, 'b'][k] AS name, ['1.' || s_suppkey, NULL][k] AS version FROM supplier, range(1, 3) r(k)")
