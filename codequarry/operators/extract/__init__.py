@@ -74,6 +74,8 @@ def rows(files: DataFrame, records: Column, **columns) -> DataFrame:
 # matches and bodies by position -------------------------------------------------------------
 
 CHUNK = 4096  # characters of a piece of a file; a cut joins only the pieces that it lies in
+RUN = r"\G[^{}]*+[{}]"  # up to the next brace, from the last one on; a long end without braces is read once
+FEW = 4  # hits of a file whose bodies are found one by one, each by a pass over the braces behind it
 
 
 def running(items: Column, state: Column, made: str, step, part: int = 256) -> Column:
@@ -108,7 +110,7 @@ def places(text: Column, pattern: str) -> Column:
 
 def braces(text: Column) -> Column:
     """All braces as struct<level, at, up>: the depth outside of the brace, its offset, and whether it opens."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.endswith(p, F.lit("{")).alias("up")))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.endswith(p, F.lit("{")).alias("up")))
 
     def step(s: Column, x: Column) -> tuple[Column, Column]:
         depth = s["depth"] + F.when(x["up"], 1).otherwise(-1)
@@ -138,6 +140,24 @@ def closed(text: Column, hits: Column) -> Column:
     return F.reverse(F.filter(let(F.array_sort(braces(text)), ends), lambda h: h["m"].isNotNull()))
 
 
+def closed_each(text: Column, hits: Column) -> Column:
+    """As closed, for a few hits: braces are counted from each hit on, without lists of their places and sorts."""
+
+    def end(h: Column) -> Column:
+        runs = F.regexp_extract_all(F.substring(text, h["at"] + 1, F.length(text)), F.lit(RUN), F.lit(0))
+        start = F.struct(F.lit(0).alias("depth"), h["at"].alias("at"), F.lit(-1).alias("end"))
+
+        def step(s: Column, p: Column) -> Column:
+            up, at = F.endswith(p, F.lit("{")), s["at"] + F.length(p)
+            depth = F.when(up, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+            last = (s["end"] < 0) & (s["depth"] == 1) & ~up
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when(last, at - 1).otherwise(s["end"]).alias("end"))
+
+        return F.aggregate(runs, start, step, lambda s: s["end"])
+
+    return F.transform(hits, lambda h: F.struct(h["at"].alias("at"), h["m"].alias("m"), end(h).alias("end")))
+
+
 def chunks(text: Column) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK))
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(CHUNK)))
@@ -167,5 +187,5 @@ def sections(text: Column, pattern: str, before: int = 0, ahead: int = 0, bodies
 
         return F.transform(w["h"], one)
 
-    found_ = let(places(text, pattern), lambda h: F.when(F.size(h) > 0, closed(text, h)).otherwise(none("array<struct<at:int,m:string,end:int>>"))) if bodies else places(text, pattern)
+    found_ = let(places(text, pattern), lambda h: F.when(F.size(h) > FEW, closed(text, h)).otherwise(closed_each(text, h))) if bodies else places(text, pattern)
     return let(F.struct(chunks(text).alias("c"), found_.alias("h")), of)

@@ -18,7 +18,7 @@ MONGOOSE_FIELD = r"(\w+)\s*:\s*(?:\{\s*type\s*:\s*(\w+)|(\w+))"
 PRISMA = r"model\s+(\w+)\s*\{([^}]+)\}"
 PRISMA_FIELD = r"^(\w+)\s+(\w+)(\[\])?\??(\s+.+)?"
 SERVICE_NAMES = r"Service|Handler|Controller|Manager|Repository"
-METHOD = r"(?:async\s+)?(\w+)\s*\(([^)]*)\)(?:\s*:\s*([^{]+))?\s*\{"
+METHOD = r"(?:async\s+)?(?<!\w)(\w+)\s*\(([^)]*)\)(?:\s*:\s*([^{]+))?\s*\{"
 NOT_METHODS = ["constructor", "if", "for", "while", "switch"]
 CONSTRUCTOR = r"constructor\s*\(([^)]+)\)"
 INJECTED = r"(?:private|public)\s+\w+\s*:\s*(\w+)"
@@ -74,7 +74,9 @@ def services(files: DataFrame) -> DataFrame:
     given = lambda r: F.regexp_extract(F.left(F.concat(r["m"], r["ahead"]), F.lit(2000)), U + CONSTRUCTOR, 1)
     named = lambda r: F.regexp_extract(r["m"], U + CLASS, 1)
     classes = F.filter(sections(F.col("content"), CLASS, ahead=2000), lambda r: named(r).rlike(SERVICE_NAMES))
-    found_ = rows(files, classes, name=named, type=lambda r: F.lit("service"), methods=lambda r: methods(r["body"]), dependencies=lambda r: F.transform(found(given(r), INJECTED, 1), lambda m: m["g1"]))
+    # methods are made with the class: a filter on a column that is made after it would make them twice
+    with_ = F.transform(classes, lambda r: F.struct(r["m"].alias("m"), r["ahead"].alias("ahead"), methods(r["body"]).alias("methods")))
+    found_ = rows(files, with_, name=named, type=lambda r: F.lit("service"), methods=lambda r: r["methods"], dependencies=lambda r: F.transform(found(given(r), INJECTED, 1), lambda m: m["g1"]))
     return found_.where("size(methods) > 0")
 
 

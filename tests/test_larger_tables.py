@@ -1,13 +1,15 @@
 """Work that is dear for each row is dealt over tasks, however few the files and row groups of a table."""
 
 import ast
+import random
+import time
 
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import relations
-from codequarry.operators.extract import pyast
+from codequarry.operators.extract import closed, closed_each, jsts, places, pyast
 from codequarry.operators.knowledge import Knowledge
 from codequarry.sources import stores
 from codequarry.sources.versions import PART, Change, Store, WriteConflict
@@ -34,7 +36,7 @@ def test_files_of_one_row_group_are_dealt_over_tasks(spark, name):
     assert most <= 4 * all_ / len(tasks)
 
 
-@pytest.mark.parametrize("name", ["py_models"])
+@pytest.mark.parametrize("name", ["py_models", "js_services"])
 def test_lists_of_a_record_are_made_once(spark, name):
     """A filter on the list, moved below the step that makes it, made it two or three times."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
@@ -51,6 +53,24 @@ def test_only_records_of_the_kinds_asked_for_leave_python(spark):
         assert sorted(pyast.parse(files, kinds=kinds).collect()) == sorted(r for r in all_ if r.kind in kinds)
 
 
+def test_bodies_of_few_hits_are_those_of_many(spark):
+    rng = random.Random(7)
+    texts = ["", "class", "}}class{", "class {{}", "é𝄞class é { } class }", *("".join(rng.choices(["{", "}", "class ", "é", "𝄞x\n"], [4, 4, 2, 3, 3], k=rng.randint(1, 60))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string").withColumn("h", places(F.col("content"), "class"))
+    got = df.select("k", closed(F.col("content"), F.col("h")).alias("many"), closed_each(F.col("content"), F.col("h")).alias("few")).collect()
+    assert all(r.many == r.few for r in got) and sum(len(r.few) for r in got) > 300
+
+
+@pytest.mark.parametrize(("services", "code", "names"), [(jsts.services, "class AService { s = '%s'; xasync(b: C) { } }\n// %s", ["xasync"])])
+def test_long_words_and_ends_without_braces_are_read_once(spark, services, code, names):
+    """The time grew with the square of a word's length, and of that of the text behind the last brace."""
+    files = spark.createDataFrame([("a", code % ("a" * 200_000, "; " * 100_000))], "path string, content string")
+    start = time.perf_counter()
+    [row] = services(files).collect()
+    assert time.perf_counter() - start < 20
+    assert [m.name for m in row.methods] == names
+
+
 def test_routing_makes_no_row_for_each_pair(spark):
     rows = [(f"r{k}" if k else None, [("E", f"d{k}", k % 2 == 0), ("F" if k % 4 else "", None, None)], k) for k in range(40)]
     rows += [("r3", [("E", "of r3", True), ("G", "alone", True)], 40)]
