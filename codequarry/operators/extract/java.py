@@ -14,7 +14,7 @@ SERVICE = r"@(?:Service|Component|Repository|Controller|RestController)\s*(?:\([
 METHOD = r"(?:@\w+(?:\([^)]*\))?\s*)*(?:public|protected|private)\s+(\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)"
 RELATIONS = [(r"(?s)@OneToMany.*?(\w+)\s+(\w+)", "one_to_many"), (r"(?s)@ManyToOne.*?(\w+)\s+(\w+)", "many_to_one"), (r"(?s)@OneToOne.*?(\w+)\s+(\w+)", "one_to_one"), (r"(?s)@ManyToMany.*?(\w+)\s+(\w+)", "many_to_many")]
 INJECTED = [r"@Autowired\s+(?:private\s+)?(\w+)", r"private\s+final\s+(\w+)\s+\w+;"]
-REPOSITORY_CALL = r"(\w+)Repository\."
+REPOSITORY_CALL = r"(?<!\w)(\w+)Repository\."
 CLASS_PATH = r"""@RequestMapping\s*\(["']([^"']+)["']"""
 MAPPINGS = [("GetMapping", "GET"), ("PostMapping", "POST"), ("PutMapping", "PUT"), ("DeleteMapping", "DELETE"), ("PatchMapping", "PATCH")]
 MAPPING = r"""\s*\(\s*(?:value\s*=\s*)?["']([^"']*)["']"""
