@@ -36,7 +36,7 @@ def test_files_of_one_row_group_are_dealt_over_tasks(spark, name):
     assert most <= 4 * all_ / len(tasks)
 
 
-@pytest.mark.parametrize("name", ["py_models", "js_services", "java_entities", "sql_columns", "prisma_fields"])
+@pytest.mark.parametrize("name", ["py_models", "js_services", "java_entities", "sql_columns", "prisma_fields", "java_relations"])
 def test_lists_of_a_record_are_made_once(spark, name):
     """A filter on the list, moved below the step that makes it, made it two or three times."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
