@@ -170,11 +170,12 @@ def cut(pieces: Column, at: Column, n: Column) -> Column:
     return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (at - first * CHUNK + 1).cast("int"), n)
 
 
-def sections(text: Column, pattern: str, before: int = 0, ahead: int = 0, bodies: bool = True) -> Column:
+def sections(text: Column, pattern: str, before: int = 0, ahead: int = 0, bodies: bool = True, rest: bool = False) -> Column:
     """Each match of a pattern as struct<m, body, before, ahead>, in the order of the file.
 
     m: the match; body: from the match to the brace that closes the first one opened behind it, "" if
-    none does; before and ahead: so many characters before and behind the match.
+    none does; before and ahead: so many characters before and behind the match; rest, if asked for: from the
+    body's end to the next match.
     """
 
     def of(w: Column) -> Column:
@@ -182,10 +183,14 @@ def sections(text: Column, pattern: str, before: int = 0, ahead: int = 0, bodies
             body = F.when(h["end"] >= 0, cut(w["c"], h["at"], h["end"] - h["at"] + 1)).otherwise("") if bodies else F.lit("")
             start = F.greatest(h["at"] - before, F.lit(0))
             head = cut(w["c"], start, h["at"] - start) if before else F.lit("")
-            rest = cut(w["c"], h["at"] + F.length(h["m"]), F.lit(ahead)) if ahead else F.lit("")
-            return F.struct(h["m"].alias("m"), body.alias("body"), head.alias("before"), rest.alias("ahead"))
+            tail = cut(w["c"], h["at"] + F.length(h["m"]), F.lit(ahead)) if ahead else F.lit("")
+            more = [F.when((h["end"] >= 0) & (h["end"] < h["next"]), cut(w["c"], h["end"] + 1, h["next"] - h["end"] - 1)).otherwise("").alias("rest")] if rest else []
+            return F.struct(h["m"].alias("m"), body.alias("body"), head.alias("before"), tail.alias("ahead"), *more)
 
         return F.transform(w["h"], one)
 
     found_ = let(places(text, pattern), lambda h: F.when(F.size(h) > FEW, closed(text, h)).otherwise(closed_each(text, h))) if bodies else places(text, pattern)
+    if rest:
+        next_ = lambda a, b: F.struct(a["at"].alias("at"), a["m"].alias("m"), a["end"].alias("end"), F.coalesce(b["at"], F.length(text)).alias("next"))
+        found_ = let(found_, lambda h: F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), next_))
     return let(F.struct(chunks(text).alias("c"), found_.alias("h")), of)

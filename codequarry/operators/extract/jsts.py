@@ -20,7 +20,8 @@ PRISMA_FIELD = r"^(\w+)\s+(\w+)(\[\])?\??(\s+.+)?"
 SERVICE_NAMES = r"Service|Handler|Controller|Manager|Repository"
 METHOD = r"(?:async\s+)?(?<!\w)(\w+)\s*\(([^)]*)\)(?:\s*:\s*([^{]+))?\s*\{"
 NOT_METHODS = ["constructor", "if", "for", "while", "switch"]
-CONSTRUCTOR = r"constructor\s*\(([^)]+)\)"
+CONSTRUCTOR = r"constructor\s*\((?:([^)]++)\)|[^)]++\z)"  # without a ) up to the end there is none, and the text isn't read again for each word
+NO_CLASS = r"(?s)^.*?(?=(?<!\w)class(?!\w)|\z)"
 INJECTED = r"(?:private|public)\s+\w+\s*:\s*(\w+)"
 SECTIONS = [("runtime", "dependencies"), ("dev", "devDependencies"), ("peer", "peerDependencies"), ("optional", "optionalDependencies")]
 
@@ -69,14 +70,18 @@ def prisma_models(files: DataFrame) -> DataFrame:
 
 
 def services(files: DataFrame) -> DataFrame:
-    """Classes named like services that have methods, with the types their constructors are given."""
+    """Classes named like services that have methods, with the types that their own constructors are given.
+
+    Constructors are sought in the whole body and, as braces in strings may end it too early, on to the next class.
+    """
     methods = lambda body: F.transform(F.filter(found(body, METHOD, 3), lambda m: ~m["g1"].isin(NOT_METHODS)), lambda m: method(m["g1"], m["g2"], F.when(m["g3"] != "", strip(m["g3"]))))
-    given = lambda r: F.regexp_extract(F.left(F.concat(r["m"], r["ahead"]), F.lit(2000)), U + CONSTRUCTOR, 1)
+    own = lambda r: F.concat(r["body"], F.regexp_extract(r["rest"], U + NO_CLASS, 0))
+    given = lambda r: F.regexp_extract(own(r), U + CONSTRUCTOR, 1)
     named = lambda r: F.regexp_extract(r["m"], U + CLASS, 1)
-    classes = F.filter(sections(F.col("content"), CLASS, ahead=2000), lambda r: named(r).rlike(SERVICE_NAMES))
+    classes = F.filter(sections(F.col("content"), CLASS, rest=True), lambda r: named(r).rlike(SERVICE_NAMES))
     # methods are made with the class: a filter on a column that is made after it would make them twice
-    with_ = F.transform(classes, lambda r: F.struct(r["m"].alias("m"), r["ahead"].alias("ahead"), methods(r["body"]).alias("methods")))
-    found_ = rows(files, with_, name=named, type=lambda r: F.lit("service"), methods=lambda r: r["methods"], dependencies=lambda r: F.transform(found(given(r), INJECTED, 1), lambda m: m["g1"]))
+    with_ = F.transform(classes, lambda r: F.struct(r["m"].alias("m"), given(r).alias("given"), methods(r["body"]).alias("methods")))
+    found_ = rows(files, with_, name=named, type=lambda r: F.lit("service"), methods=lambda r: r["methods"], dependencies=lambda r: F.transform(found(r["given"], INJECTED, 1), lambda m: m["g1"]))
     return found_.where("size(methods) > 0")
 
 

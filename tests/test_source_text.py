@@ -238,3 +238,26 @@ def test_several_records_in_one_file(spark):
     files = spark.createDataFrame([("a.ts", MESSY_TS)], "path string, content string")
     got = [(r.name, [m.name for m in r.methods], list(r.dependencies)) for r in jsts.services(files).collect()]
     assert [g[0] for g in got] == ["UserService", "OrderService"] and "find" in got[0][1] and got[0][2] == ["Repo"]
+
+
+def test_a_constructor_is_found_wherever_it_stands_in_its_class(spark):
+    """Only the first 2000 characters behind a class's start were searched, be they its own or another's."""
+    filler = "".join(f"  step{k}(x: number): void {{ run(x); }}\n" for k in range(300))
+    wide = ", ".join(f"private p{k}: Type{k}" for k in range(200))  # begins before the 2000th character and ends behind it
+    long = lambda name, given: f"export class {name}Service {{\n{filler}  constructor({given}) {{ }}\n}}\n"
+    far = "/* " + "é𝄞 " * 5000 + "*/"
+    files = {
+        "late.ts": long("Late", "private a: A, public b: B"),
+        "wide.ts": f"class WideService {{ f() {{ }}\n  constructor({wide}) {{ }}\n}}\n",
+        "far.ts": f"{far}\nclass FarService {{ f() {{ }} {far}\n  constructor(private c: C) {{ }} }}",
+        "own.ts": "class NoneService { f() { } }\nclass Other { constructor(private d: D) { } }\nclass NextService { constructor(private e: E) { } g() { } }\n",
+        "many.ts": "".join(long(f"M{k}", f"private a: A{k}") for k in range(8)),
+        "early.ts": f"class EarlyService {{ f() {{ }} end = '}}';\n{filler}  constructor(private a: A) {{ }}\n}}\nclass Box<T> implements Face {{ constructor(private t: T) {{ }} }}\n",
+        "face.ts": "class FaceService { f() { } }\nclass Box<T> implements Face { constructor(private t: T) { } }\n",
+        "lost.ts": f"class LostService {{ f() {{ }} {filler} constructor(private a: A) {{ }}",
+    }
+    got = {(r.source_file, r.name): list(r.dependencies) for r in jsts.services(spark.createDataFrame(list(files.items()), "path string, content string")).collect()}
+    assert got == {
+        ("late.ts", "LateService"): ["A", "B"], ("wide.ts", "WideService"): [f"Type{k}" for k in range(200)], ("far.ts", "FarService"): ["C"],
+        ("own.ts", "NoneService"): [], ("own.ts", "NextService"): ["E"], ("early.ts", "EarlyService"): ["A"], ("face.ts", "FaceService"): [], **{("many.ts", f"M{k}Service"): [f"A{k}"] for k in range(8)},
+    }
